@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslens.operators import chunking
+from corpuslens.session import spread
 from corpuslens.sources import sections as sc
 
 
@@ -15,7 +16,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents by project (source)."""
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents")).select(
         F.col("source").alias("project_id"),
         F.col("doc_id").cast("string").alias("document_id"),
         F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("document_name"),

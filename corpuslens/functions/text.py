@@ -9,7 +9,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Unicode white space, and the patterns and limits that define each term kind.
-SPACE = r"[\s\x1c-\x1f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+SPACE = r"(?U)[\s\x1c-\x1f]"
+SPACE_CHARS = (
+    " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 SEPARATOR_ID = (
     r"(?<![a-z0-9])(?=[a-z0-9]*[.\-/_+:])[a-z0-9][a-z0-9._\-/:+]*[a-z0-9](?![a-z0-9])"
 )
@@ -20,28 +24,38 @@ COLLAPSED_SEPARATORS = r"[.\-/_:\s]+"
 GRAM = 3
 MIN_SIMILAR_LENGTH = 5
 
-# Full case folding where it differs from lower case.
+# Full case folding where it differs from lower case (besides ß).
 FOLDINGS = {
-    "ß": "ss", "ſ": "s", "ς": "σ", "ŉ": "ʼn", "ǰ": "ǰ", "ẖ": "ẖ", "ẗ": "ẗ", "ẘ": "ẘ",
+    "ſ": "s", "ς": "σ", "ŉ": "ʼn", "ǰ": "ǰ", "ẖ": "ẖ", "ẗ": "ẗ", "ẘ": "ẘ",
     "ẙ": "ẙ", "ẚ": "aʾ", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl",
     "ﬅ": "st", "ﬆ": "st",
 }
 
 
 def strip(col: Column) -> Column:
-    return F.regexp_replace(col, rf"^{SPACE}+|{SPACE}+$", "")
+    return F.trim(col, F.lit(SPACE_CHARS))
 
 
 def rstrip(col: Column) -> Column:
-    return F.regexp_replace(col, rf"{SPACE}+$", "")
+    return F.rtrim(col, F.lit(SPACE_CHARS))
+
+
+def has_text(col: Column) -> Column:
+    """Anything but white space; decided at the first such character."""
+    return col.rlike(r"(?U)[^\s\x1c-\x1f]")
 
 
 def casefold(col: Column) -> Column:
-    """Caseless form; text that is all ASCII takes the short way."""
-    folded = F.lower(col)
+    """Caseless form.  ASCII text, and text without the rarer letters, takes the short way."""
+    plain = F.replace(F.lower(col), F.lit("ß"), F.lit("ss"))
+    full = plain
     for source, target in FOLDINGS.items():
-        folded = F.replace(folded, F.lit(source), F.lit(target))
-    return F.when(F.octet_length(col) == F.char_length(col), F.lower(col)).otherwise(folded)
+        full = F.replace(full, F.lit(source), F.lit(target))
+    return (
+        F.when(F.octet_length(col) == F.char_length(col), F.lower(col))
+        .when(plain.rlike("[" + "".join(FOLDINGS) + "]"), full)
+        .otherwise(plain)
+    )
 
 
 def words(col: Column) -> Column:

@@ -32,19 +32,19 @@ def chunk_text(
     check_window(size, overlap)
     step = size - overlap
     count = F.size("_words")
-    windows = F.when(count <= size, F.lit(1)).otherwise(
-        F.ceil((count - size) / F.lit(step)).cast("int") + 1
+    last = F.when(count <= size, F.lit(0)).otherwise(
+        F.ceil((count - size) / F.lit(step)).cast("int")
     )
     pieces = F.transform(
-        F.sequence(F.lit(0), windows - 1),
+        F.sequence(F.lit(0), last),
         lambda at: F.struct(
             F.array_join(F.slice("_words", at * step + 1, F.lit(size)), " ").alias("text"),
             F.least(F.lit(size), count - at * step).alias("token_count"),
         ),
     )
     return (
-        sections.withColumn("_words", tx.words(F.col("text")))
-        .where(count > 0)
+        sections.where(tx.has_text(F.col("text")))
+        .withColumn("_words", tx.words(F.col("text")))
         .select(*KEYS, "meta", F.posexplode(pieces).alias("local_index", "piece"))
         .select(
             *KEYS,

@@ -12,9 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.functions import text as tx
+from corpuslens.functions.joins import join_small
 from corpuslens.functions.ordered import top_per_key
-from corpuslens.operators.postings import CHUNK_KEYS, build_postings, query_terms
+from corpuslens.operators.postings import CHUNK_KEYS, chunk_terms, explode_terms, query_terms
 from corpuslens.schema import stable_order
+from corpuslens.session import durable
 
 # Tier scores and thresholds.
 EXACT, CONTAINED, SIMILAR = 5, 3, 2
@@ -91,10 +93,12 @@ def similar(left: Column, right: Column) -> Column:
     )
 
 
-def scope_vocabulary(postings: DataFrame, terms: DataFrame) -> DataFrame:
+def scope_vocabulary(postings: DataFrame, terms: DataFrame, scoped: bool = True) -> DataFrame:
     """Distinct identifiers per project, and per document where a query names one."""
     identifiers = postings.where(F.col("kind").isin("w", "d"))
     by_project = identifiers.select("project_id", F.lit("").alias("scope"), "kind", "surface")
+    if not scoped:
+        return by_project.distinct()
     scopes = terms.where(F.col("scope") != "").select("project_id", "scope").distinct()
     by_document = identifiers.withColumnRenamed("document_id", "scope").join(
         scopes, ["project_id", "scope"], "left_semi"
@@ -134,7 +138,7 @@ def similarity_candidates(mine: DataFrame, vocabulary: DataFrame) -> DataFrame:
         F.col("theirs_at") < F.col("theirs_prefix")
     )
     return (
-        right.join(left, ["project_id", "scope", "gram"])
+        join_small(right, left, ["project_id", "scope", "gram"])
         .where((mine_leads | theirs_leads) & (F.col("mine") != F.col("theirs")))
         .select("project_id", "scope", "mine", "theirs")
         .distinct()
@@ -146,8 +150,10 @@ def identifier_tiers(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
     has nothing stronger anywhere in its project or document."""
     identifiers = terms.where(F.col("kind").isin("w", "d"))
     keys = ["project_id", "scope"]
-    exact = identifiers.where("kind = 'w'").select(*keys, "query_id", "gid", "surface").join(
-        vocabulary.where("kind = 'w'"), [*keys, "surface"]
+    exact = join_small(
+        vocabulary.where("kind = 'w'"),
+        identifiers.where("kind = 'w'").select(*keys, "query_id", "gid", "surface"),
+        [*keys, "surface"],
     ).select(*keys, "query_id", "gid", "kind", "surface", F.lit(EXACT).alias("tier"))
 
     pairs = similarity_candidates(identifiers, vocabulary)
@@ -168,7 +174,10 @@ def identifier_tiers(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
             ),
             [*keys, "mine"],
         )
-        .join(vocabulary.withColumnRenamed("surface", "theirs"), [*keys, "theirs"])
+        .join(
+            # Which kinds the matched surface has in the vocabulary.
+            vocabulary.withColumnRenamed("surface", "theirs"), [*keys, "theirs"]
+        )
         .select(
             *keys,
             "query_id",
@@ -183,8 +192,10 @@ def identifier_tiers(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
         )
         .where(F.col("tier").isNotNull())
     )
-    best = exact.unionByName(loose).groupBy(*keys, "query_id", "gid", "kind", "surface").agg(
-        F.max("tier").alias("tier")
+    best = durable(
+        exact.unionByName(loose)
+        .groupBy(*keys, "query_id", "gid", "kind", "surface")
+        .agg(F.max("tier").alias("tier"))
     )
     # A group's surfaces are few next to the postings they stand for, so its strongest tier is
     # found here, before any posting is read.
@@ -204,7 +215,7 @@ def score_postings(postings: DataFrame, terms: DataFrame, tiers: DataFrame) -> D
         "project_id", "scope", "query_id", "gid", "kind", "surface", "tier",
         F.lit(0).alias("weight"),
     ).unionByName(general)
-    hits = postings.join(lookups, ["project_id", "kind", "surface"]).where(
+    hits = join_small(postings, lookups, ["project_id", "kind", "surface"]).where(
         (F.col("scope") == "") | (F.col("scope") == F.col("document_id"))
     )
     by_group = hits.groupBy("query_id", *CHUNK_KEYS, "gid").agg(
@@ -248,11 +259,13 @@ def retrieve_keyword(
     """Top chunks per query by lexical score.
 
     ``queries``: query_id, project_id, query, optional document_id.  Pass stored ``postings`` to
-    skip tokenising ``chunks``.  ``limit`` narrows the cut per query, up to ``top_k``."""
-    index = build_postings(chunks) if postings is None else postings
+    skip tokenising ``chunks``; without them the terms are cut once, since both the vocabulary and
+    the scores read them.  ``limit`` narrows the cut per query, up to ``top_k``."""
+    index = explode_terms(durable(chunk_terms(chunks))) if postings is None else postings
     scoped = with_scope(queries)
-    terms = query_terms(scoped)
-    tiers = identifier_tiers(terms, scope_vocabulary(index, terms))
+    terms = durable(query_terms(scoped))
+    vocabulary = scope_vocabulary(index, terms, "document_id" in queries.columns)
+    tiers = identifier_tiers(terms, vocabulary)
     scored = score_postings(index, terms, tiers)
     ranked = top_per_key(
         scored, ["query_id"], [F.col("keyword_score").desc(), *stable_order()], top_k, "rank"

@@ -57,12 +57,21 @@ def with_terms(df: DataFrame, text: str = "text") -> DataFrame:
     ).drop("_folded", "_marked", "_whole", "_inner", "_plain")
 
 
+def chunk_terms(chunks: DataFrame) -> DataFrame:
+    """One row per active chunk with its terms: the compact form to keep between passes."""
+    return with_terms(chunks.where("is_active").select(*CHUNK_KEYS, "text")).select(
+        *CHUNK_KEYS, "terms"
+    )
+
+
 def build_postings(chunks: DataFrame) -> DataFrame:
     """(chunk, kind, surface), each once, for active chunks: an inverted index as a table."""
-    return (
-        with_terms(chunks.where("is_active").select(*CHUNK_KEYS, "text"))
-        .select(*CHUNK_KEYS, F.explode("terms").alias("term"))
-        .select(*CHUNK_KEYS, "term.kind", "term.surface")
+    return explode_terms(chunk_terms(chunks))
+
+
+def explode_terms(terms: DataFrame) -> DataFrame:
+    return terms.select(*CHUNK_KEYS, F.explode("terms").alias("term")).select(
+        *CHUNK_KEYS, "term.kind", "term.surface"
     )
 
 

@@ -21,35 +21,36 @@ FALLBACK_NAME = "upload.bin"
 SECTION_COLUMNS = ("project_id", "document_id", "document_name", "section_index", "text", "meta")
 
 
-def _numbered_lines(content: Column) -> Column:
-    """Right-trimmed non-blank lines with their 1-based numbers, any line ending."""
-    plain = F.regexp_replace(F.regexp_replace(content, "^﻿", ""), "\r\n?", "\n")
-    lines = F.transform(
-        F.split(plain, "\n"),
-        lambda line, at: F.struct((at + 1).alias("number"), tx.rstrip(line).alias("line")),
+def _trimmed_lines(content: Column) -> Column:
+    """Right-trimmed lines, any line ending, without a byte order mark."""
+    plain = F.replace(
+        F.replace(F.ltrim(content, F.lit("\ufeff")), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n")
     )
-    return F.filter(lines, lambda item: item["line"] != "")
+    return F.transform(F.split(plain, "\n"), tx.rstrip)
 
 
 def text_sections(
     documents: DataFrame, content: str = "text", markdown: bool = False
 ) -> tuple[DataFrame, DataFrame]:
     """One section per text document, and the documents without any text."""
-    lines = documents.withColumn("_lines", _numbered_lines(F.col(content)))
-    kept = lines.where(F.size("_lines") > 0)
-    last = F.element_at("_lines", -1)
-    details = {"line_start": F.col("_lines")[0]["number"], "line_end": last["number"]}
+    filled = tx.has_text(F.col(content))
+    lines = documents.where(filled).withColumn("_lines", _trimmed_lines(F.col(content)))
+    numbers = F.filter(
+        F.transform("_lines", lambda line, at: F.when(line != "", at + 1)),
+        lambda number: number.isNotNull(),
+    )
+    details = {"line_start": F.array_min(numbers), "line_end": F.array_max(numbers)}
     if markdown:
         details["format"] = F.lit("markdown")
-    sections = kept.select(
+    sections = lines.select(
         "project_id",
         "document_id",
         "document_name",
         F.lit(0).alias("section_index"),
-        tx.strip(F.array_join(F.transform("_lines", lambda item: item["line"]), "\n")).alias("text"),
+        tx.strip(F.array_join(F.filter("_lines", lambda line: line != ""), "\n")).alias("text"),
         schema.meta(**details).alias("meta"),
     )
-    rejected = lines.where(F.size("_lines") == 0).select(
+    rejected = documents.where(~F.coalesce(filled, F.lit(False))).select(
         "project_id", "document_id", "document_name", F.lit(NO_TEXT).alias("error_message")
     )
     return sections, rejected
