@@ -1 +1,10 @@
+"""Registered queries over the given tables."""
 
+from __future__ import annotations
+
+
+def load():
+    """(queries, oracles) of all catalog modules."""
+    from corpuslens.catalog import registry, search  # noqa: F401
+
+    return registry.QUERIES, registry.ORACLES

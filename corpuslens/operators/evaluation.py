@@ -71,11 +71,12 @@ def match_answers(rows: DataFrame, key: str, aliases: DataFrame | None = None) -
 
 def parse_verdicts(rows: DataFrame, raw: str = "judge_raw_response") -> DataFrame:
     """Judge reply to passed, score within 0..1, reason; an unreadable one keeps an error."""
-    reply = F.from_json(raw, "passed string, score string, reason string")
-    number = F.col("_reply.score").try_cast("double")
-    told = F.lower(F.col("_reply.passed"))
-    passed = ~told.isin("false", "0", "0.0", "", "null", "[]", "{}")
-    bad = F.col("_reply.passed").isNull() | (F.col("_reply.score").isNotNull() & number.isNull())
+    reply = F.from_json(raw, "map<string,string>")
+    has = lambda key: F.coalesce(F.map_contains_key("_reply", F.lit(key)), F.lit(False))
+    number = F.col("_reply")["score"].try_cast("double")
+    told = F.lower(F.coalesce(F.col("_reply")["passed"], F.lit("")))
+    passed = ~told.isin("false", "0", "0.0", "", "[]", "{}")
+    bad = ~has("passed") | (has("score") & number.isNull())
     ok = F.col(raw).isNotNull() & ~bad
     return (
         rows.withColumn("_reply", reply)
@@ -90,7 +91,7 @@ def parse_verdicts(rows: DataFrame, raw: str = "judge_raw_response") -> DataFram
                 ),
             ),
         )
-        .withColumn("judge_reason", F.when(ok, tx.strip(F.coalesce("_reply.reason", F.lit("")))))
+        .withColumn("judge_reason", F.when(ok, tx.strip(F.coalesce(F.col("_reply")["reason"], F.lit("")))))
         .withColumn("judge_error", F.when(F.col(raw).isNotNull() & bad, F.lit(BAD_VERDICT)))
         .drop("_reply")
     )
