@@ -5,6 +5,6 @@ from __future__ import annotations
 
 def load():
     """(queries, oracles) of all catalog modules."""
-    from corpuslens.catalog import registry, search  # noqa: F401
+    from corpuslens.catalog import corpus, grids, registry, search, usage  # noqa: F401
 
     return registry.QUERIES, registry.ORACLES

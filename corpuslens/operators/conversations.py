@@ -207,11 +207,11 @@ def list_conversations(
     return listed if limit is None else listed.limit(limit)
 
 
-def conversation_messages(messages: DataFrame, project_id: str, conversation_id: str) -> DataFrame:
-    """One conversation of one project, oldest first."""
-    return messages.where(
-        (F.col("project_id") == project_id) & (F.col("conversation_id") == conversation_id)
-    ).orderBy("created_at", "message_id")
+def conversation_messages(messages: DataFrame, asked: DataFrame) -> DataFrame:
+    """Messages of the asked (project_id, conversation_id) pairs, oldest first."""
+    return messages.join(asked.select(*CONVERSATION).distinct(), [*CONVERSATION], "left_semi").orderBy(
+        *CONVERSATION, "created_at", "message_id"
+    )
 
 
 def accept_feedback(feedback: DataFrame, messages: DataFrame) -> DataFrame:

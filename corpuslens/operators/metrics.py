@@ -96,17 +96,14 @@ def natural_order(documents: DataFrame) -> DataFrame:
 
 
 def list_documents(
-    documents: DataFrame,
-    project_id: str,
-    status: str | None = None,
-    limit: int = 50,
-    offset: int = 0,
+    documents: DataFrame, status: str | None = None, limit: int = 50, offset: int = 0
 ) -> DataFrame:
-    """One page of a project's documents, newest first."""
-    page = documents.where(F.col("project_id") == project_id)
-    if status is not None:
-        page = page.where(F.col("status") == status)
-    return page.orderBy(F.col("created_at").desc(), "document_id").offset(offset).limit(limit)
+    """One page per project, newest first; filter ``documents`` for the page of one project."""
+    listed = documents if status is None else documents.where(F.col("status") == status)
+    newest = [F.col("created_at").desc(), F.col("document_id")]
+    return top_per_key(listed, ["project_id"], newest, offset + limit, "position").where(
+        F.col("position") > offset
+    )
 
 
 def list_projects(projects: DataFrame) -> DataFrame:
