@@ -5,6 +5,14 @@ from __future__ import annotations
 
 def load():
     """(queries, oracles) of all catalog modules."""
-    from corpuslens.catalog import corpus, grids, registry, search, usage  # noqa: F401
+    from corpuslens.catalog import (  # noqa: F401
+        corpus,
+        grids,
+        quality,
+        registry,
+        search,
+        tableqa,
+        usage,
+    )
 
     return registry.QUERIES, registry.ORACLES

@@ -107,7 +107,7 @@ raw_cells AS (
          [CAST(o_orderkey AS VARCHAR), o_orderstatus, o_orderpriority || CASE WHEN o_orderkey % 10 = 0 THEN ' [nested table: gift]' ELSE '' END, strftime(o_orderdate, '%Y-%m-%d')][i + 1],
          1, i = 1 AND o_orderkey % 3 = 0 AND n - 1 + cap + lab > 0, false, i = 2 AND o_orderkey % 10 = 0
   FROM placed, range(4) t(i) WHERE NOT (i = 3 AND o_orderkey % 7 = 0)),
-widths AS (SELECT c_custkey, max(w) AS width FROM (SELECT c_custkey, r, sum(span) AS w FROM raw_cells GROUP BY ALL) GROUP BY c_custkey),
+widths AS (SELECT c_custkey, CAST(max(w) AS BIGINT) AS width FROM (SELECT c_custkey, r, sum(span) AS w FROM raw_cells GROUP BY ALL) GROUP BY c_custkey),
 row_list AS (SELECT c_custkey, r, bool_or(marked) AS marked, bool_or(nested) AS nested FROM raw_cells GROUP BY ALL),
 spread AS (SELECT c_custkey, r, c + i AS col, v, cont FROM raw_cells, range(4) t(i) WHERE i < span),
 padded AS (
@@ -247,9 +247,7 @@ def table_sections(spark, sf_dir):
 def table_chunks(spark, sf_dir):
     """Greedy row groups with caption and header repeated."""
     found = sections(spark, sf_dir).where("meta.type = 'table'")
-    return chunking.seal_metadata(
-        chunking.assign_chunk_index(chunking.chunk_table(found, 40))
-    ).select(
+    return chunking.chunk_table(found, 40).select(
         "document_id", "meta.data_row_start", "meta.data_row_end", "meta.total_rows",
         "meta.table_chunk_type", "text",
     )

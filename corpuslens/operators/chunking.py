@@ -14,10 +14,19 @@ from corpuslens.functions.ordered import dense_index
 
 CHUNK_SIZE = 800
 CHUNK_OVERLAP = 120
-ROW_RANGE = ("data_row_start", "data_row_end", "total_rows")
 KEYS = ("project_id", "document_id", "document_name", "section_index")
 
 
+def sealed(section_meta: Column, **learned: Column) -> Column:
+    """Section metadata plus what chunking adds to it."""
+    return schema.meta(
+        section_meta,
+        section_index=F.col("section_index"),
+        chunker_version=F.lit(schema.CHUNKER_VERSION),
+        **learned,
+    )
+
+
 def check_window(size: int, overlap: int) -> None:
     if size <= 0:
         raise ValueError("chunk_size must be positive")
@@ -45,6 +54,7 @@ def chunk_text(
     return (
         sections.where(tx.has_text(F.col("text")))
         .withColumn("_words", tx.words(F.col("text")))
+        .withColumn("meta", sealed(F.col("meta")))
         .select(*KEYS, "meta", F.posexplode(pieces).alias("local_index", "piece"))
         .select(
             *KEYS,
@@ -52,7 +62,6 @@ def chunk_text(
             F.col("piece.text").alias("text"),
             F.col("piece.token_count").alias("token_count"),
             "meta",
-            *[F.lit(None).cast("int").alias(name) for name in ROW_RANGE],
         )
     )
 
@@ -161,10 +170,13 @@ def chunk_table(sections: DataFrame, size: int = CHUNK_SIZE) -> DataFrame:
             "local_index",
             text.alias("text"),
             tokens.alias("token_count"),
-            "meta",
-            first.alias("data_row_start"),
-            last.alias("data_row_end"),
-            total.alias("total_rows"),
+            sealed(
+                F.col("meta"),
+                data_row_start=first,
+                data_row_end=last,
+                total_rows=total,
+                table_chunk_type=table_chunk_kind(first, last, total),
+            ).alias("meta"),
         )
     )
 
@@ -192,23 +204,6 @@ def assign_chunk_index(chunks: DataFrame, single_section: bool = False) -> DataF
     return numbered.drop("local_index")
 
 
-def seal_metadata(chunks: DataFrame) -> DataFrame:
-    """Write what chunking learned into ``meta``: section, version and, for tables, the range."""
-    ranged = F.col("data_row_start").isNotNull()
-    kind = table_chunk_kind(F.col("data_row_start"), F.col("data_row_end"), F.col("total_rows"))
-    return chunks.withColumn(
-        "meta",
-        schema.meta(
-            F.col("meta"),
-            section_index=F.col("section_index"),
-            chunker_version=F.lit(schema.CHUNKER_VERSION),
-            chunk_index=F.when(ranged, F.col("chunk_index")),
-            table_chunk_type=F.when(ranged, kind).otherwise(F.col("meta.table_chunk_type")),
-            **{name: F.col(name) for name in ROW_RANGE},
-        ),
-    ).drop(*ROW_RANGE)
-
-
 HASHED_META = (
     "section_index", "table_chunk_type", "table_index", "data_row_start", "data_row_end",
     "data_row", "page_number", "line_start", "line_end", "sheet_name", "row_start",
@@ -240,7 +235,10 @@ def chunk_sections(
         )
     else:
         pieces = chunk_text(sections, size, overlap)
-    numbered = seal_metadata(assign_chunk_index(pieces, single_section))
+    numbered = assign_chunk_index(pieces, single_section)
+    if tables:
+        at = F.when(F.col("meta.type") == "table", F.col("chunk_index"))
+        numbered = numbered.withColumn("meta", schema.meta(F.col("meta"), chunk_index=at))
     return numbered.withColumn("content_hash", chunk_hash())
 
 
