@@ -27,10 +27,11 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names for cuts; a private one is made only where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
-        named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", named)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        named = context.getCheckpointDir()
     return named.rstrip("/")
 
 
