@@ -51,8 +51,13 @@ def match_answers(rows: DataFrame, key: str, aliases: DataFrame | None = None) -
     """Add ``notes_matched``: every expected point is covered; without notes it is true.
 
     ``rows``: key, answer, expected_notes; ``aliases``: point, phrases array<string>."""
-    asked = rows.select(key, normalise(F.col("answer")).alias("_answer"), F.explode(points(F.col("expected_notes"))).alias("_raw"))
-    asked = asked.withColumn("_point", normalise(F.col("_raw")))
+    # The answer is normalised once per row, before its points are spread.
+    prepared = rows.where(F.col("expected_notes").isNotNull()).withColumn(
+        "_answer", normalise(F.col("answer"))
+    )
+    asked = prepared.select(
+        key, "_answer", F.explode(points(F.col("expected_notes"))).alias("_raw")
+    ).withColumn("_point", normalise(F.col("_raw")))
     if aliases is None:
         asked = asked.withColumn("_aliases", F.lit(None).cast("array<string>"))
     else:

@@ -78,7 +78,8 @@ def expand_grid(cells: DataFrame) -> DataFrame:
         F.struct(F.lit("").alias("text"), F.lit(False).alias("continues")),
         F.col("column_count") - F.size("_cells"),
     )
-    padded = wide.join(shape, [*KEY]).withColumn("_cells", F.concat("_cells", padding))
+    # Read once for plain tables and several times for merged ones.
+    padded = durable(wide.join(shape, [*KEY]).withColumn("_cells", F.concat("_cells", padding)))
     keep = [*TABLE, "row_index", "column_count", "raw", "marked", "nested"]
     plain = padded.where(~F.col("_merged")).select(
         *keep, F.transform("_cells", lambda c: c["text"]).alias("values")

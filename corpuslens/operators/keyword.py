@@ -35,9 +35,7 @@ _CODES = "".join(chr(ord("!") + at) for at in range(len(_BY_RARITY)))
 
 def _grams(surface: Column) -> Column:
     """Trigrams recoded so that plain sorting puts rare ones first."""
-    return F.array_sort(
-        F.transform(tx.trigrams(surface), lambda gram: F.translate(gram, _BY_RARITY, _CODES))
-    )
+    return F.sort_array(tx.trigrams(F.translate(surface, _BY_RARITY, _CODES)))
 
 
 def _needed(size: Column) -> Column:
@@ -79,17 +77,22 @@ def _final_number(surface: Column) -> Column:
 
 
 def similar(left: Column, right: Column) -> Column:
-    """Trigram overlap of at least half the smaller set, unless one contains the other or both
-    end in different numbers."""
+    """Neither contains the other, and they do not end in different numbers.  The trigram
+    overlap itself is tested on the pairs before."""
     left_end, right_end = _final_number(left), _final_number(right)
     numbers_differ = (left_end != "") & (right_end != "") & (left_end != right_end)
-    mine, theirs = tx.trigrams(left), tx.trigrams(right)
-    shared = F.size(F.array_intersect(mine, theirs))
+    return ~F.contains(left, right) & ~F.contains(right, left) & ~numbers_differ
+
+
+def overlapping(pairs: DataFrame) -> DataFrame:
+    """Pairs sharing at least half the smaller trigram set; contained pairs share all of it."""
+    shared = F.size(F.array_intersect("_mine", "_theirs"))
+    smaller = F.least(F.size("_mine"), F.size("_theirs"))
     return (
-        ~F.contains(left, right)
-        & ~F.contains(right, left)
-        & ~numbers_differ
-        & (shared / F.least(F.size(mine), F.size(theirs)) >= MIN_OVERLAP)
+        pairs.withColumn("_mine", tx.trigrams(F.col("mine")))
+        .withColumn("_theirs", tx.trigrams(F.col("theirs")))
+        .where(shared / smaller >= MIN_OVERLAP)
+        .drop("_mine", "_theirs")
     )
 
 
@@ -156,7 +159,7 @@ def identifier_tiers(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
         [*keys, "surface"],
     ).select(*keys, "query_id", "gid", "kind", "surface", F.lit(EXACT).alias("tier"))
 
-    pairs = similarity_candidates(identifiers, vocabulary)
+    pairs = overlapping(similarity_candidates(identifiers, vocabulary))
     mine, theirs = F.col("mine"), F.col("theirs")
     shorter_mine = F.char_length(mine) <= F.char_length(theirs)
     contained = F.when(shorter_mine, boundary_contained(mine, theirs)).otherwise(
@@ -264,7 +267,8 @@ def retrieve_keyword(
     index = explode_terms(durable(chunk_terms(chunks))) if postings is None else postings
     scoped = with_scope(queries)
     terms = durable(query_terms(scoped))
-    vocabulary = scope_vocabulary(index, terms, "document_id" in queries.columns)
+    # The vocabulary is read by each tier; cutting it keeps the index to two reads in all.
+    vocabulary = durable(scope_vocabulary(index, terms, "document_id" in queries.columns))
     tiers = identifier_tiers(terms, vocabulary)
     scored = score_postings(index, terms, tiers)
     ranked = top_per_key(

@@ -23,6 +23,9 @@ def _tagged(surfaces: Column, kind: str) -> Column:
 
 def with_terms(df: DataFrame, text: str = "text") -> DataFrame:
     """Add ``terms``: the distinct lexical terms of a text, one pass per pattern."""
+    mixes = F.col("_folded").rlike("[a-z][0-9]|[0-9][a-z]")
+    none = F.array().cast("array<string>")
+    ascii_only = F.octet_length(text) == F.char_length(text)
     staged = (
         df.withColumn("_folded", tx.casefold(F.col(text)))
         .withColumn("_marked", F.array_distinct(tx.separator_identifiers(F.col("_folded"))))
@@ -32,12 +35,19 @@ def with_terms(df: DataFrame, text: str = "text") -> DataFrame:
                 F.concat(
                     "_marked",
                     F.transform("_marked", tx.normalized_identifier),
-                    tx.mixed_words(tx.without_separator_identifiers(F.col("_folded"))),
+                    # Most texts have no letter beside a digit and need no second look.
+                    F.when(
+                        mixes,
+                        tx.mixed_words(tx.without_separator_identifiers(F.col("_folded"))),
+                    ).otherwise(none),
                 )
             ),
         )
         .withColumn(
-            "_inner", F.array_distinct(tx.mixed_words(F.array_join("_marked", " ")))
+            "_inner",
+            F.when(
+                mixes, F.array_distinct(tx.mixed_words(F.array_join("_marked", " ")))
+            ).otherwise(none),
         )
         .withColumn(
             "_plain",
@@ -52,7 +62,7 @@ def with_terms(df: DataFrame, text: str = "text") -> DataFrame:
             _tagged(F.col("_whole"), "w"),
             _tagged(F.col("_inner"), "d"),
             _tagged(F.col("_plain"), "a"),
-            _tagged(tx.cjk_terms(F.col(text)), "c"),
+            _tagged(F.when(ascii_only, none).otherwise(tx.cjk_terms(F.col(text))), "c"),
         ).cast(_TERMS),
     ).drop("_folded", "_marked", "_whole", "_inner", "_plain")
 
