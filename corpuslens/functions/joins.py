@@ -26,3 +26,10 @@ def join_small(
     if small.limit(max_rows + 1).count() <= max_rows:
         return large.join(F.broadcast(small), list(on), how)
     return large.join(small.hint("merge"), list(on), how)
+
+
+def of_asked_projects(chunks: DataFrame, queries: DataFrame) -> DataFrame:
+    """Chunks of the projects that are asked about; on a store written by project the others are
+    not even read."""
+    asked = queries.select("project_id").distinct()
+    return join_small(chunks, asked, ["project_id"], "left_semi")

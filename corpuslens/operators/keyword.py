@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.functions import text as tx
-from corpuslens.functions.joins import join_small
+from corpuslens.functions.joins import join_small, of_asked_projects
 from corpuslens.functions.ordered import top_per_key
 from corpuslens.operators.postings import CHUNK_KEYS, chunk_terms, explode_terms, query_terms
 from corpuslens.schema import stable_order
@@ -264,7 +264,10 @@ def retrieve_keyword(
     ``queries``: query_id, project_id, query, optional document_id.  Pass stored ``postings`` to
     skip tokenising ``chunks``; without them the terms are cut once, since both the vocabulary and
     the scores read them.  ``limit`` narrows the cut per query, up to ``top_k``."""
-    index = explode_terms(durable(chunk_terms(chunks))) if postings is None else postings
+    if postings is None:
+        index = explode_terms(durable(chunk_terms(of_asked_projects(chunks, queries))))
+    else:
+        index = postings
     scoped = with_scope(queries)
     terms = durable(query_terms(scoped))
     # The vocabulary is read by each tier; cutting it keeps the index to two reads in all.

@@ -86,9 +86,11 @@ def explode_terms(terms: DataFrame) -> DataFrame:
 
 
 def write_postings(postings: DataFrame, path: str) -> None:
-    """Store the index by project, sorted by surface so that row groups can be skipped."""
+    """Store the index by project, sorted by surface so that row groups can be skipped.
+
+    Rebalancing splits a large project over many tasks and merges small ones."""
     (
-        postings.repartition("project_id", F.pmod(F.xxhash64("surface"), F.lit(64)))
+        postings.hint("rebalance", "project_id")
         .sortWithinPartitions("project_id", "kind", "surface")
         .write.mode("overwrite")
         .partitionBy("project_id")

@@ -356,11 +356,13 @@ def drop_covered(chunks: DataFrame, keys: tuple[str, ...]) -> DataFrame:
 
 
 def expand_tables(chunks: DataFrame, tables: DataFrame) -> DataFrame:
-    """All chunks of each named table without the ones a parent already covers, in order."""
-    keys = ("project_id", "document_id", "table_index")
-    found = drop_covered(table_chunks(chunks, tables), keys)
-    order = Window.partitionBy(*keys).orderBy(part_order(), *expansion_order())
-    return found.withColumn("table_rank", F.row_number().over(order))
+    """All chunks of each named table without the ones a parent already covers.
+
+    ``part_order`` and ``expansion_order`` give their order; a table is never numbered as a
+    whole."""
+    return drop_covered(
+        table_chunks(chunks, tables), ("project_id", "document_id", "table_index")
+    )
 
 
 def budget_candidates(items: DataFrame, keys: tuple[str, ...], order: list[Column], budget: int) -> DataFrame:
@@ -370,10 +372,12 @@ def budget_candidates(items: DataFrame, keys: tuple[str, ...], order: list[Colum
     skipped too: of each size only the first ``budget / size`` can be kept.  The rest of a table,
     however long, is counted but never brought together."""
     sized = items.withColumn("words", tx.word_count(F.col("text")))
-    per_size = Window.partitionBy(*keys, "words").orderBy(*order)
+    # A chunk without words always fits, so each is a group of its own.
+    alone = F.when(F.col("words") == 0, F.col("chunk_id"))
+    per_size = Window.partitionBy(*keys, "words", alone).orderBy(*order)
     return (
         sized.withColumn("_nth", F.row_number().over(per_size))
-        .where((F.col("_nth") <= budget) | (F.col("words") == 0))
+        .where(F.col("_nth") <= max(budget, 1))
         .where(F.col("_nth") * F.col("words") <= budget)
         .drop("_nth")
     )
@@ -539,6 +543,19 @@ def apply_shared_budget(
     return items.join(kept, [*keys, "chunk_id"]), outcome.drop("kept")
 
 
+def _merge_ranges(ranges: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Join overlapping and adjoining (first, last) ranges per key."""
+    ordered = Window.partitionBy(*keys).orderBy("first", "last")
+    reach = F.max("last").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
+    return (
+        ranges.withColumn("_new", (F.col("first") > F.coalesce(reach, F.lit(-1)) + 1).cast("int"))
+        .withColumn("_island", F.sum("_new").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
+        .groupBy(*keys, "_island")
+        .agg(F.min("first").alias("first"), F.max("last").alias("last"))
+        .drop("_island")
+    )
+
+
 def table_coverage(chunks: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """Per key: merged row ranges present in ``chunks``, and the largest known row count."""
     row = F.col("meta.data_row")
@@ -554,14 +571,14 @@ def table_coverage(chunks: DataFrame, keys: tuple[str, ...]) -> DataFrame:
         F.when(ranged, last).when(row > 0, row).alias("last"),
         F.when(known > 0, known).alias("known"),
     )
-    ordered = Window.partitionBy(*keys).orderBy("first", "last")
-    reach = F.max("last").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
+    # Ranges are merged within slots of rows first, then the few merged ones across slots.
+    slot = F.floor(F.col("first") / ROWS_PER_SLOT)
+    per_slot = _merge_ranges(
+        spans.where(F.col("first").isNotNull()).select(*keys, "first", "last").distinct().withColumn("_slot", slot),
+        (*keys, "_slot"),
+    )
     islands = (
-        spans.where(F.col("first").isNotNull())
-        .withColumn("_new", (F.col("first") > F.coalesce(reach, F.lit(-1)) + 1).cast("int"))
-        .withColumn("_island", F.sum("_new").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
-        .groupBy(*keys, "_island")
-        .agg(F.min("first").alias("first"), F.max("last").alias("last"))
+        _merge_ranges(per_slot.drop("_slot"), keys)
         .groupBy(*keys)
         .agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("row_ranges"))
     )

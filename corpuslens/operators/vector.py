@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.functions.joins import join_small
+from corpuslens.functions.joins import join_small, of_asked_projects
 from corpuslens.functions.ordered import top_per_key
 from corpuslens.functions.vectors import best_rows, unit_rows
 from corpuslens.operators.keyword import with_scope
@@ -146,7 +146,8 @@ def retrieve_vector(
     cut = F.lit(top_k) if limit is None else F.least(limit, F.lit(top_k))
     floor = threshold if isinstance(threshold, Column) else F.lit(threshold)
     asked = pack_queries(with_scope(queries), cut, floor)
-    pairs = join_small(pack_chunks(chunks), asked, ["project_id"], max_rows=MAX_BROADCAST_BLOCKS)
+    packed = pack_chunks(of_asked_projects(chunks, queries))
+    pairs = join_small(packed, asked, ["project_id"], max_rows=MAX_BROADCAST_BLOCKS)
     hits = pairs.mapInPandas(_score_blocks, _HITS)
     ranked = top_per_key(
         hits, ["query_id"], [F.col("vector_score").desc(), *stable_order()], top_k, "rank"

@@ -202,7 +202,7 @@ def write_chunks(chunks: DataFrame, path: str, version: int = 1) -> None:
     (
         chunks.drop("is_active")
         .withColumn("version", F.lit(version))
-        .repartition("project_id", F.pmod(F.xxhash64("document_id"), F.lit(16)))
+        .hint("rebalance", "project_id")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("version", "project_id")

@@ -198,8 +198,10 @@ def retrieve_full(
     ]
     scores = ["vector_score", "keyword_score", "fused_score"]
     no_scores = [F.lit(None).cast("double").alias(name) for name in scores]
+    places = ("_place", "_row", "_index")
+    inside = [c.alias(name) for c, name in zip(tb.expansion_order(), places)]
     own = expanded.where(~F.col("is_compound")).select(
-        *columns, *no_scores, F.lit(0).alias("_source"), F.col("table_rank").alias("_place")
+        *columns, *no_scores, F.lit(0).alias("_source"), *inside
     )
     companions = (
         pool.where(tb.not_tabular() & ~F.col("is_compound"))
@@ -207,10 +209,13 @@ def retrieve_full(
             groups.where(~F.col("is_compound")).select("query_id", "document_id", "table_index"),
             ["query_id", "document_id"],
         )
-        .select(*columns, *scores, F.lit(1).alias("_source"), F.col("rank").alias("_place"))
+        .select(
+            *columns, *scores, F.lit(1).alias("_source"),
+            F.col("rank").alias("_place"), F.lit(0).alias("_row"), F.lit(0).alias("_index"),
+        )
     )
     keys = ("query_id",)
-    order = [F.col("_source"), F.col("_place"), F.col("chunk_id")]
+    order = [F.col(name) for name in ("_source", *places, "chunk_id")]
     kept_single, single_fit = tb.apply_budget(own.unionByName(companions), keys, order, budget)
     compound_items = expanded.where("is_compound").select(*columns)
     kept_shared, shared_fit = tb.apply_shared_budget(
