@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpuslens.catalog import base, sqlbase
 from corpuslens.catalog.registry import query, with_
+from corpuslens.functions.joins import join_small
+from corpuslens.functions.text import trigrams
 from corpuslens.functions.vectors import cosine
 from corpuslens.operators import evidence, fusion, keyword, logs, postings, rerank, vector
+from corpuslens.session import durable
 
 POOL = 24
 TOP = 8
 
-_KIND = {"separator_identifiers": "w", "plain_identifiers": "d", "ascii_terms": "a", "cjk_terms": "c"}
-
-
 @query(
     "postings_by_surface",
     with_(
@@ -44,8 +45,6 @@ def postings_by_surface(spark, sf_dir):
 )
 def identifier_trigrams(spark, sf_dir):
     """Trigrams of the identifier vocabulary."""
-    from corpuslens.functions.text import trigrams
-
     surfaces = (
         postings.build_postings(base.text_chunks(spark, sf_dir))
         .where(F.col("kind").isin("w", "d"))
@@ -125,12 +124,10 @@ def keyword_search_in_document(spark, sf_dir):
 )
 def identifier_evidence(spark, sf_dir):
     """Chunks per query identifier group and tier, after suppression."""
-    from pyspark.sql import Window
-
     index = postings.build_postings(base.text_chunks(spark, sf_dir))
     terms = postings.query_terms(keyword.with_scope(base.queries(spark, sf_dir)))
     tiers = keyword.identifier_tiers(terms, keyword.scope_vocabulary(index, terms, scoped=False))
-    hits = index.join(tiers, ["project_id", "kind", "surface"])
+    hits = join_small(index, tiers, ["project_id", "kind", "surface"])
     best = hits.groupBy("query_id", "gid", "chunk_id").agg(F.max("tier").alias("tier"))
     counted = best.groupBy("query_id", "gid", "tier").agg(F.count(F.lit(1)).alias("chunks"))
     order = Window.partitionBy("query_id").orderBy("gid")
@@ -283,7 +280,7 @@ reranked AS (
 def _with_text(spark, sf_dir, candidates):
     contents = base.text_chunks(spark, sf_dir).select("chunk_id", "text", "meta")
     asked = base.queries(spark, sf_dir).select("query_id", "query")
-    return contents.join(F.broadcast(candidates), "chunk_id").join(asked, "query_id")
+    return join_small(contents, durable(candidates), ["chunk_id"]).join(asked, "query_id")
 
 
 @query(
