@@ -39,3 +39,42 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = public_tokenizers.path("word_bpe_49k.json")
     return pack(table(spark, sf_dir, "documents"), path, with_ids=False)
+
+
+@query
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages, written to packages and read back."""
+    from corpuslens.llm.warc import read_packages, write_packages
+
+    records = read_packages(write_packages(table(spark, sf_dir, "pages")))
+    return records.select(
+        F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        F.col("refers_to").cast("long").alias("refers_to"),
+    )
+
+
+ORACLES["op8_warc"] = """
+WITH p AS (
+  SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages
+), g AS (
+  SELECT page_id, octet_length(payload) AS n, sha1(payload) AS digest,
+         max(page_id) OVER (PARTITION BY sha1(payload)) AS last
+  FROM p
+)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
+       CASE WHEN n >= 1000 AND page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND page_id < last THEN last END AS refers_to
+FROM g
+"""
+
+
+@query
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 shards of equal row counts, equal texts together."""
+    from corpuslens.llm.sharding import shard
+
+    placed = shard(table(spark, sf_dir, "documents"))
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
