@@ -78,3 +78,12 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@query
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rules and likelihood ratio of all documents; the target are those of quality 1."""
+    from corpuslens.llm.quality import judge
+
+    trusted = table(spark, sf_dir, "labels").filter("quality = 1")
+    return judge(table(spark, sf_dir, "documents"), trusted)
