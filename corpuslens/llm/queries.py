@@ -38,6 +38,15 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents, learned from those that are not held out."""
+    from corpuslens.llm.langid import held_out, identify, train
+
+    docs = table(spark, sf_dir, "documents")
+    return identify(docs, train(docs.filter(~held_out(docs))))
+
+
 @query
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in all documents."""
