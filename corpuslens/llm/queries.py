@@ -70,6 +70,14 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), path, with_ids=False)
 
 
+@query
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicates among all documents, by word pairs."""
+    from corpuslens.llm.neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
+
+
 @query
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages, written to packages and read back."""
