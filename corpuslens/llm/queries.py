@@ -105,6 +105,15 @@ FROM g
 """
 
 
+@query
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strings of 200 bytes that repeat anywhere in the documents, removed."""
+    from corpuslens.llm.repeats import remove_repeats
+
+    found = remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 @query
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards of equal row counts, equal texts together."""
