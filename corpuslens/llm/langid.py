@@ -302,11 +302,15 @@ def train(
     shared = docs.sparkSession.sparkContext.broadcast(models)
     tried = sample.filter("calibrates").select("lang", "text").mapInArrow(_score(shared), f"lang string, {_FOUND}")
     off = tried.filter("lang = lang_pred and n_letters > 0").select("lang", "cross_entropy", "n_letters").collect()
-    for k, lang in enumerate(models.languages):
-        own = np.array([(r["cross_entropy"], r["n_letters"]) for r in off if r["lang"] == lang])
+    seen = np.array([(models.languages.index(r["lang"]), r["cross_entropy"], r["n_letters"]) for r in off]).reshape(-1, 3)
+    for k in range(n):
+        own = seen[seen[:, 0] == k]
+        if len(own) < 20:  # too few of its own: those of all languages
+            own = seen
         if len(own) >= 20:
-            models.mean[k] = np.average(own[:, 0], weights=np.sqrt(own[:, 1]))
-            models.bound[k] = np.quantile((own[:, 0] - models.mean[k]) * np.sqrt(own[:, 1]), 1 - REJECTED_SHARE)
+            root = np.sqrt(own[:, 2])
+            models.mean[k] = np.average(own[:, 1], weights=root)
+            models.bound[k] = np.quantile((own[:, 1] - models.mean[k]) * root, 1 - REJECTED_SHARE)
     return models
 
 
