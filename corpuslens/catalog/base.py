@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslens.operators import chunking
-from corpuslens.session import spread
 from corpuslens.sources import sections as sc
 
 
@@ -16,7 +15,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents by project (source)."""
-    return spread(table(spark, sf_dir, "documents")).select(
+    return table(spark, sf_dir, "documents").select(
         F.col("source").alias("project_id"),
         F.col("doc_id").cast("string").alias("document_id"),
         F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("document_name"),
@@ -36,15 +35,20 @@ def text_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def embedded_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunk 0 of a document carries the embedding with its number; the rest none."""
-    vectors = table(spark, sf_dir, "embeddings").select(
-        F.col("vec_id").cast("string").alias("document_id"), F.lit(0).alias("chunk_index"), "embedding"
-    )
-    return text_chunks(spark, sf_dir).join(vectors, ["document_id", "chunk_index"], "left")
+    """Chunks with their vectors; one in eleven has none."""
+    return with_vectors(spark, sf_dir, text_chunks(spark, sf_dir))
+
+
+def with_vectors(spark: SparkSession, sf_dir: str, chunks: DataFrame) -> DataFrame:
+    """Every chunk takes a vector by its document and number, but for one in eleven."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    document, number = F.col("document_id").cast("long"), F.col("chunk_index")
+    wanted = F.when((document + 3 * number) % 11 > 0, (document + 7 * number) % F.lit(vectors.count()))
+    return chunks.withColumn("vec_id", wanted).join(vectors, "vec_id", "left").drop("vec_id")
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One query per benchmark item: its first 12 words, asked of one of the projects."""
+    """One query per benchmark item: its whole text, asked of one of the projects."""
     items = table(spark, sf_dir, "benchmark")
     vectors = table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("item_id"), "embedding"
@@ -52,7 +56,7 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.join(vectors, "item_id", "left").select(
         F.col("item_id").cast("string").alias("query_id"),
         F.concat(F.lit("src"), F.pmod("item_id", F.lit(20)).cast("string")).alias("project_id"),
-        F.array_join(F.slice(F.split(F.trim("text"), r"\s+"), 1, 12), " ").alias("query"),
+        F.col("text").alias("query"),
         "embedding",
         "item_id",
     )

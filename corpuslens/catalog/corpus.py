@@ -8,7 +8,7 @@ from corpuslens.catalog import base, sqlbase
 from corpuslens.catalog.registry import query, with_
 from corpuslens.operators import chunking
 from corpuslens.plans import ingest as ing
-from corpuslens.session import durable, shared_folder, spread
+from corpuslens.session import durable, shared_folder
 from corpuslens.sources import sections as sc
 
 _LINE_RANGE = """
@@ -86,7 +86,7 @@ def sheet_row_sections(spark, sf_dir):
 )
 def page_sections(spark, sf_dir):
     """Pages with text, numbered per host."""
-    pages = spread(base.table(spark, sf_dir, "pages")).select(
+    pages = base.table(spark, sf_dir, "pages").select(
         F.lit("web").alias("project_id"),
         F.regexp_extract("url", "^https?://([^/]+)", 1).alias("document_id"),
         F.lit("").alias("document_name"),
@@ -239,7 +239,7 @@ def chunk_store(spark, sf_dir):
     import uuid
 
     path = f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
-    ing.write_chunks(base.text_chunks(spark, sf_dir).drop("meta"), path, 1)
+    ing.write_chunks(base.text_chunks(spark, sf_dir).drop("meta"), path, writer="load", version=1)
     return ing.read_chunks(spark, path).groupBy("project_id").agg(
         F.count(F.lit(1)).alias("chunks"),
         F.count_distinct("document_id").alias("documents"),
@@ -248,22 +248,68 @@ def chunk_store(spark, sf_dir):
     )
 
 
+_ARRIVALS_SQL = """docs AS (
+  SELECT source AS project_id, doc_id || '#' || v AS document_id, 'doc-' || doc_id || '.txt' AS document_name,
+         text || CASE v WHEN 0 THEN '' WHEN 1 THEN ' once more' ELSE ' and again' END AS text, doc_id, v
+  FROM documents, (SELECT unnest([0, 1, 2]) AS v) WHERE v = 0 OR (v = 1 AND doc_id % 2 = 0) OR (v = 2 AND doc_id % 4 = 0))"""
+
+
+@query(
+    "streamed_ingest",
+    with_(_ARRIVALS_SQL, sqlbase.LINES, sqlbase.SECTIONS, sqlbase.chunks(), body="""SELECT d.project_id, CAST(d.doc_id AS VARCHAR) AS document_id,
+          c.text LIKE '% once more' AS once, c.chunk_index, c.token_count, md5(c.text) AS text_md5,
+          d.v = CASE WHEN d.doc_id % 4 = 0 THEN 2 WHEN d.doc_id % 2 = 0 THEN 1 ELSE 0 END AS is_active
+          FROM chunks c JOIN docs d USING (document_id)"""),
+)
+def streamed_ingest(spark, sf_dir):
+    """A batch load, then two arrivals of changed documents by a stream, which is started once
+    more without any."""
+    import uuid
+
+    from corpuslens.streaming import ingest as si
+
+    root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    given = base.documents(spark, sf_dir).select("project_id", "document_id", "document_name", "text")
+    found, _ = sc.text_sections(given)
+    load = ing.ingest(given, found, version=1, single_section=True, tables=False)
+    ing.write_chunks(load.chunks.drop("embedding", "meta"), f"{root}/store", writer="load", version=1)
+    number = F.col("document_id").cast("long")
+    changed = (
+        given.where(number % 2 == 0).withColumn("text", F.concat("text", F.lit(" once more"))),
+        given.where(number % 4 == 0).withColumn("text", F.concat("text", F.lit(" and again"))),
+        given.limit(0),
+    )
+    for part in changed:
+        part = part.withColumn("arrived", F.lit(1))
+        part.write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema(part.schema).parquet(f"{root}/in")
+        si.stream_ingest(stream, f"{root}/store", f"{root}/ckpt", f"{root}/outcomes").awaitTermination()
+    return ing.read_chunks(spark, f"{root}/store").select(
+        "project_id", "document_id", F.col("text").endswith(" once more").alias("once"), "chunk_index",
+        "token_count", F.md5("text").alias("text_md5"), "is_active",
+    )
+
+
+def _vectors(spark, sf_dir):
+    """The vectors at hand, by chunk."""
+    have = base.embedded_chunks(spark, sf_dir).where("embedding is not null")
+    return have.select("project_id", "document_id", "chunk_index", "embedding")
+
+
 def _ingested(spark, sf_dir):
     """Documents with a vector on every chunk succeed, the rest fail."""
     docs = base.documents(spark, sf_dir)
     found, _ = sc.text_sections(docs)
-    vectors = base.table(spark, sf_dir, "embeddings").join(docs, F.col("vec_id") == F.col("doc_id")).select(
-        "project_id", "document_id", F.lit(0).alias("chunk_index"), "embedding"
-    )
+    vectors = _vectors(spark, sf_dir)
     return docs, ing.ingest(docs, found, vectors, 64, single_section=True, tables=False)
 
 
 _OUTCOME_SQL = """outcomes AS (
   SELECT d.project_id, d.document_id, CASE
       WHEN c.n IS NULL THEN 'Document contains no usable text'
-      WHEN c.n > 1 OR e.vec_id IS NULL THEN 'Embedding response does not match the chunks' END AS error_message
-  FROM docs d LEFT JOIN (SELECT document_id, count(*) AS n FROM chunks GROUP BY document_id) c USING (document_id)
-  LEFT JOIN embeddings e ON e.vec_id = d.doc_id)"""
+      WHEN c.bare > 0 THEN 'Embedding response does not match the chunks' END AS error_message
+  FROM docs d LEFT JOIN (SELECT document_id, count(*) AS n,
+      count(*) FILTER ((CAST(document_id AS BIGINT) + 3 * chunk_index) % 11 = 0) AS bare FROM chunks GROUP BY document_id) c USING (document_id))"""
 
 
 @query(
@@ -282,7 +328,8 @@ def ingest_outcomes(spark, sf_dir):
     "ingested_chunks",
     with_(sqlbase.CHUNKS, _OUTCOME_SQL, body="""SELECT c.document_id, c.chunk_id, c.token_count, CAST(len(e.embedding) AS INTEGER) AS width,
           c.document_id || ':s:0' AS section_id
-          FROM chunks c JOIN outcomes o USING (document_id) JOIN embeddings e ON CAST(e.vec_id AS VARCHAR) = c.document_id
+          FROM chunks c JOIN outcomes o USING (document_id)
+          JOIN embeddings e ON e.vec_id = (CAST(c.document_id AS BIGINT) + 7 * c.chunk_index) % (SELECT count(*) FROM embeddings)
           WHERE o.error_message IS NULL"""),
 )
 def ingested_chunks(spark, sf_dir):
@@ -305,9 +352,7 @@ def reindexed_store(spark, sf_dir):
     docs = base.documents(spark, sf_dir)
     found, _ = sc.text_sections(docs)
     before = base.text_chunks(spark, sf_dir).withColumn("version", F.lit(1))
-    vectors = base.table(spark, sf_dir, "embeddings").join(docs, F.col("vec_id") == F.col("doc_id")).select(
-        "project_id", "document_id", F.lit(0).alias("chunk_index"), "embedding"
-    )
+    vectors = _vectors(spark, sf_dir)
     again = ing.ingest(docs, found, vectors, 64, version=2, single_section=True, tables=False)
     after = ing.reindex(before, again.chunks.withColumn("version", F.lit(2)), again.outcomes)
     return after.groupBy("project_id", "is_active", "version").agg(F.count(F.lit(1)).alias("chunks"))

@@ -227,12 +227,12 @@ def _datasets(spark, sf_dir):
 
 
 def _questions(spark, sf_dir):
-    return base.table(spark, sf_dir, "customer").where("c_nationkey % 5 > 0").select(
+    return base.table(spark, sf_dir, "customer").select(
         F.col("c_custkey").cast("string").alias("question_id"), F.col("c_nationkey").cast("string").alias("dataset_id")
     )
 
 
-@query("list_datasets", "SELECT CAST(n_nationkey AS VARCHAR) AS dataset_id, n_name AS name, count(c_custkey) AS question_count FROM nation LEFT JOIN (SELECT * FROM customer WHERE c_nationkey % 5 > 0) ON c_nationkey = n_nationkey GROUP BY ALL")
+@query("list_datasets", "SELECT CAST(n_nationkey AS VARCHAR) AS dataset_id, n_name AS name, count(c_custkey) AS question_count FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL")
 def list_datasets(spark, sf_dir):
     """Datasets (nations) with question counts (customers)."""
     return ev.list_datasets(_datasets(spark, sf_dir), _questions(spark, sf_dir)).select("dataset_id", "name", "question_count")
@@ -242,7 +242,7 @@ def list_datasets(spark, sf_dir):
     "delete_datasets",
     """WITH gone AS (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)
       SELECT 'datasets' AS name, count(*) AS n FROM nation WHERE n_nationkey NOT IN (FROM gone)
-      UNION ALL SELECT 'questions', count(*) FROM customer WHERE c_nationkey % 5 > 0 AND c_nationkey NOT IN (FROM gone)
+      UNION ALL SELECT 'questions', count(*) FROM customer WHERE c_nationkey NOT IN (FROM gone)
       UNION ALL SELECT 'runs', count(*) FROM supplier WHERE s_nationkey NOT IN (FROM gone)
       UNION ALL SELECT 'results', count(*) FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE s_nationkey NOT IN (FROM gone)""",
 )
@@ -256,7 +256,7 @@ def delete_datasets(spark, sf_dir):
     return counted[0].unionByName(counted[1]).unionByName(counted[2]).unionByName(counted[3])
 
 
-@query("delete_questions", "SELECT CAST(c_nationkey AS VARCHAR) AS dataset_id, count(*) AS questions FROM customer WHERE c_nationkey % 5 > 0 AND c_acctbal >= 0 GROUP BY ALL")
+@query("delete_questions", "SELECT CAST(c_nationkey AS VARCHAR) AS dataset_id, count(*) AS questions FROM customer WHERE c_acctbal >= 0 GROUP BY ALL")
 def delete_questions(spark, sf_dir):
     """Questions of overdrawn customers removed."""
     gone = base.table(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.col("c_custkey").cast("string").alias("question_id"))
@@ -264,9 +264,9 @@ def delete_questions(spark, sf_dir):
     return ev.delete_questions(asked, asked.select("question_id"), gone)[0].groupBy("dataset_id").agg(F.count(F.lit(1)).alias("questions"))
 
 
-_ANSWERS_SQL = """answers AS (SELECT doc_id, text, CASE doc_id % 6 WHEN 0 THEN 'Sorry, I CANNOT answer this. ' WHEN 1 THEN '没有相关信息 ' ELSE '' END || text AS answer,
+_ANSWERS_SQL = """answers AS (SELECT doc_id, text, CASE WHEN doc_id % 23 > 0 THEN CASE doc_id % 6 WHEN 0 THEN 'Sorry, I CANNOT answer this. ' WHEN 1 THEN '没有相关信息 ' ELSE '' END || text END AS answer,
     list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda x: x <> '') AS w FROM documents),
-noted AS (SELECT doc_id, answer, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE array_to_string(w[1:3], ' ') || ' ; ' || CASE WHEN doc_id % 3 = 0 THEN 'zzz ' ELSE '' END || array_to_string(w[2:5], '  ') || chr(10) || ' ' || CASE WHEN doc_id % 5 = 0 THEN 'Alias Point' ELSE coalesce(w[1], '') END END AS expected_notes FROM answers)"""
+noted AS (SELECT doc_id, answer, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE array_to_string(list_filter(w, lambda x, i: i % 7 = 1), ' ') || ' ; ' || CASE WHEN doc_id % 3 = 0 THEN 'zzz ' ELSE '' END || array_to_string(list_filter(w, lambda x, i: i % 11 = 2), '  ') || chr(10) || ' ' || CASE WHEN doc_id % 5 = 0 THEN 'Alias Point' ELSE coalesce(w[1], '') END END AS expected_notes FROM answers)"""
 
 
 def _answers(spark, sf_dir):
@@ -275,15 +275,15 @@ def _answers(spark, sf_dir):
     lead = F.when(turn % 6 == 0, "Sorry, I CANNOT answer this. ").when(turn % 6 == 1, "没有相关信息 ").otherwise("")
     last = F.when(turn % 5 == 0, "Alias Point").otherwise(F.coalesce(F.get("w", F.lit(0)), F.lit("")))
     notes = F.concat(
-        F.array_join(F.slice("w", 1, 3), " "), F.lit(" ; "), F.when(turn % 3 == 0, "zzz ").otherwise(""),
-        F.array_join(F.slice("w", 2, 4), "  "), F.lit("\n "), last,
+        F.array_join(F.filter("w", lambda x, i: i % 7 == 0), " "), F.lit(" ; "), F.when(turn % 3 == 0, "zzz ").otherwise(""),
+        F.array_join(F.filter("w", lambda x, i: i % 11 == 1), "  "), F.lit("\n "), last,
     )
     return base.table(spark, sf_dir, "documents").withColumn("w", w).select(
-        turn, F.concat(lead, "text").alias("answer"), F.when(turn % 4 > 0, notes).alias("expected_notes")
+        turn, F.when(turn % 23 > 0, F.concat(lead, "text")).alias("answer"), F.when(turn % 4 > 0, notes).alias("expected_notes")
     )
 
 
-@query("refusals", with_(_ANSWERS_SQL, body="SELECT doc_id, (contains(lower(answer), 'cannot answer') OR contains(lower(answer), 'can''t answer') OR contains(answer, '没有相关信息') OR contains(answer, '无法回答')) AS refused FROM noted"))
+@query("refusals", with_(_ANSWERS_SQL, body="SELECT doc_id, coalesce(contains(lower(answer), 'cannot answer') OR contains(lower(answer), 'can''t answer') OR contains(answer, '没有相关信息') OR contains(answer, '无法回答'), false) AS refused FROM noted"))
 def refusals(spark, sf_dir):
     """Answers that refuse."""
     return _answers(spark, sf_dir).select("doc_id", ev.is_refusal(F.col("answer")).alias("refused"))
@@ -292,7 +292,7 @@ def refusals(spark, sf_dir):
 @query(
     "answer_matches",
     with_(_ANSWERS_SQL, f"""pts AS (SELECT doc_id, trim(regexp_replace({sqlbase.fold("answer")}, '\\s+', ' ', 'g')) AS a, trim(regexp_replace({sqlbase.fold("p")}, '\\s+', ' ', 'g')) AS p FROM (
-            SELECT doc_id, answer, unnest(regexp_split_to_array(expected_notes, '[;\\n]+')) AS p FROM noted)),
+            SELECT doc_id, coalesce(answer, '') AS answer, unnest(regexp_split_to_array(expected_notes, '[;\\n]+')) AS p FROM noted)),
           judged AS (SELECT doc_id, contains(a, p) OR (p = 'alias point' AND contains(a, 'the')) OR (len(t) > 0 AND len(list_filter(t, lambda x: contains(a, x))) >= CASE WHEN len(t) <= 2 THEN len(t) ELSE len(t) - 1 END) AS ok
             FROM (SELECT *, regexp_extract_all(p, '[a-z0-9][a-z0-9_+.-]*') AS t FROM pts WHERE p <> ''))""",
           body="SELECT n.doc_id, coalesce(j.ok, true) AS notes_matched FROM noted n LEFT JOIN (SELECT doc_id, bool_and(ok) AS ok FROM judged GROUP BY doc_id) j USING (doc_id)"),
@@ -305,23 +305,30 @@ def answer_matches(spark, sf_dir):
     return ev.match_answers(_answers(spark, sf_dir), "doc_id", aliases).select("doc_id", "notes_matched")
 
 
-_VERDICT_SQL = """raw AS (SELECT event_id, value, event_id % 6 AS kind FROM events)"""
+_VERDICT_SQL = """raw AS (SELECT event_id, value, event_id % 12 AS kind FROM events)"""
 
 
 @query(
     "parse_verdicts",
-    with_(_VERDICT_SQL, body="""SELECT event_id, CASE WHEN kind IN (0, 1) THEN value > 10 WHEN kind = 2 THEN true END AS judge_passed,
-      CASE WHEN kind = 0 THEN greatest(0.0::DOUBLE, least(1.0::DOUBLE, CAST(floor(value) AS DOUBLE) - 9)) WHEN kind = 1 THEN CASE WHEN value > 10 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END WHEN kind = 2 THEN 1.0::DOUBLE END AS judge_score,
-      CASE WHEN kind = 0 THEN 'fine' WHEN kind IN (1, 2) THEN '' END AS judge_reason, CASE WHEN kind IN (3, 4) THEN 'Eval judge returned invalid JSON' END AS judge_error FROM raw"""),
+    with_(_VERDICT_SQL, body="""SELECT event_id,
+      CASE WHEN kind IN (0, 1) THEN value > 10 WHEN kind IN (2, 6, 7) THEN true WHEN kind IN (8, 9) THEN false END AS judge_passed,
+      CASE WHEN kind = 0 THEN greatest(0.0::DOUBLE, least(1.0::DOUBLE, CAST(floor(value) AS DOUBLE) - 9))
+           WHEN kind = 1 THEN CASE WHEN value > 10 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END
+           WHEN kind IN (2, 6, 7) THEN 1.0::DOUBLE WHEN kind = 8 THEN 0.0::DOUBLE WHEN kind = 9 THEN 0.25::DOUBLE END AS judge_score,
+      CASE WHEN kind = 0 THEN 'fine' WHEN kind IN (1, 2, 6, 7, 8, 9) THEN '' END AS judge_reason,
+      CASE WHEN kind IN (3, 4, 10, 11) THEN 'Eval judge returned invalid JSON' END AS judge_error FROM raw"""),
 )
 def parse_verdicts(spark, sf_dir):
-    """Judge replies, well formed or not."""
-    kind = F.col("event_id") % 6
+    """Judge replies, well formed or not; values count by their type."""
+    kind = F.col("event_id") % 12
     passed = (F.col("value") > 10).cast("string")
     raw = (
         F.when(kind == 0, F.concat(F.lit('{"passed": '), passed, F.lit(', "score": '), (F.floor("value") - 9).cast("string"), F.lit(', "reason": " fine "}')))
         .when(kind == 1, F.concat(F.lit('{"passed": '), passed, F.lit("}")))
         .when(kind == 2, '{"passed": 1}').when(kind == 3, '{"score": 1}').when(kind == 4, "yes, it is right")
+        .when(kind == 6, '{"passed": "false"}').when(kind == 7, '{"passed": true, "score": true}')
+        .when(kind == 8, '{"passed": null}').when(kind == 9, '{"passed": [], "score": "0.25"}')
+        .when(kind == 10, '{"passed": true, "score": [1]}').when(kind == 11, "[true]")
     )
     rows = base.table(spark, sf_dir, "events").select("event_id", raw.alias("judge_raw_response"))
     return ev.parse_verdicts(rows).drop("judge_raw_response")
@@ -461,7 +468,7 @@ def answer_routes(spark, sf_dir):
 def evaluation_run(spark, sf_dir):
     """All benchmark questions retrieved, answered from a table and scored."""
     asked = eval_questions(spark, sf_dir).withColumn("should_answer", F.col("item_id") % 4 > 0).withColumn(
-        "expected_answer_notes", F.substring_index("question", " ", 3)
+        "expected_answer_notes", F.col("question")
     )
     answers = base.table(spark, sf_dir, "benchmark").select(
         F.col("item_id").cast("string").alias("question_id"), F.col("text").alias("answer"),

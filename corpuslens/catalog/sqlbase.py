@@ -51,7 +51,7 @@ CHUNKS = ",\n".join([DOCS, LINES, SECTIONS, chunks()])
 
 QUERIES = """queries AS (
   SELECT CAST(item_id AS VARCHAR) AS query_id, 'src' || (item_id % 20) AS project_id,
-         array_to_string(regexp_split_to_array(trim(text), '\\s+')[1:12], ' ') AS query, item_id
+         text AS query, item_id
   FROM benchmark)"""
 
 ORDER = "document_name, chunk_index, document_id, chunk_id"
@@ -191,8 +191,8 @@ VECTOR = """vector_scores AS (
   SELECT q.query_id, c.project_id, c.document_id, c.document_name, c.chunk_index, c.chunk_id,
          list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(qe.embedding AS DOUBLE[])) AS vector_score
   FROM queries q JOIN embeddings qe ON qe.vec_id = q.item_id
-  JOIN chunks c ON c.project_id = q.project_id AND c.chunk_index = 0
-  JOIN embeddings e ON CAST(e.vec_id AS VARCHAR) = c.document_id),
+  JOIN chunks c ON c.project_id = q.project_id AND (CAST(c.document_id AS BIGINT) + 3 * c.chunk_index) % 11 <> 0
+  JOIN embeddings e ON e.vec_id = (CAST(c.document_id AS BIGINT) + 7 * c.chunk_index) % (SELECT count(*) FROM embeddings)),
 vector_ranked AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY vector_score DESC,
          document_name, chunk_index, document_id, chunk_id) AS INTEGER) AS rank

@@ -19,7 +19,7 @@ _ASKED_SQL = """asked AS (
     WHEN 4 THEN 'show the SERVER list ' WHEN 5 THEN 'please display each host ' WHEN 6 THEN 'show table and list all records of '
     WHEN 7 THEN '列出记录以及显示表格 ' WHEN 8 THEN 'enumerate servers ' WHEN 9 THEN 'list every entry, also table contents, and show rows of '
     WHEN 10 THEN '主机 ' ELSE '' END
-    || array_to_string(regexp_split_to_array(trim(text), '\\s+')[1:3], ' ') AS query FROM conversations)"""
+    || text AS query FROM conversations)"""
 
 
 def _asked(spark, sf_dir):
@@ -32,9 +32,7 @@ def _asked(spark, sf_dir):
     lead = F.element_at(F.array(*map(F.lit, leads)), (turn + 1).cast("int"))
     return base.table(spark, sf_dir, "conversations").select(
         F.concat_ws("-", "conv_id", "turn").alias("query_id"),
-        F.concat(
-            lead, F.array_join(F.slice(F.split(F.trim("text"), r"\s+"), 1, 3), " ")
-        ).alias("query"),
+        F.concat(lead, "text").alias("query"),
     )
 
 
@@ -92,9 +90,10 @@ def split_facets(spark, sf_dir):
 _POOL_SQL = """facet_list AS (SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'list all the records of customer#' || lpad(CAST(s_suppkey AS VARCHAR), 9, '0')
       WHEN 1 THEN 'show the table of cust ' || s_suppkey WHEN 2 THEN 'list rows with priorit and date' ELSE 'describe the weather' END AS facet_query FROM supplier),
 pool AS (
-  SELECT f.s_suppkey, f.facet_query, f.s_suppkey + i AS c_custkey, CAST(i + 1 AS INTEGER) AS rank,
+  SELECT f.s_suppkey, f.facet_query, c_custkey, CAST(i + 1 AS INTEGER) AS rank,
          ((f.s_suppkey * 37 + i * 61) % 100) / 100.0::DOUBLE AS vector_score, CASE WHEN i % 2 = 0 THEN CAST((f.s_suppkey + i) % 7 AS DOUBLE) END AS keyword_score
-  FROM facet_list f, range(4) t(i)),
+  FROM facet_list f JOIN (SELECT c_custkey, c_custkey // (SELECT count(*) FROM supplier) AS i,
+    c_custkey % (SELECT count(*) FROM supplier) AS k FROM customer) c ON c.k = f.s_suppkey % (SELECT count(*) FROM supplier)),
 pooled AS (SELECT p.*, t.caption, t.headers FROM pool p JOIN tables_ t USING (c_custkey)),
 tokens AS (SELECT s_suppkey, facet_query, list_distinct(regexp_extract_all(trim(regexp_replace(facet_query, '[_\\s-]+', ' ', 'g')), '[a-z0-9]+')) AS ts,
              trim(regexp_replace(facet_query, '[_\\s-]+', ' ', 'g')) AS q FROM facet_list),
@@ -115,7 +114,7 @@ totals AS (SELECT *, round((name_score * 3.0::DOUBLE + caption_score * 2.0::DOUB
 
 
 def _pool(spark, sf_dir):
-    """(facets, candidates): every supplier asks about tables of up to four customers."""
+    """(facets, candidates): every customer's table is a candidate of one supplier's question."""
     key = F.col("s_suppkey")
     text = (
         F.when(key % 4 == 0, F.concat(F.lit("list all the records of customer#"), F.lpad(key.cast("string"), 9, "0")))
@@ -126,9 +125,12 @@ def _pool(spark, sf_dir):
         key.cast("string").alias("query_id"), F.lit(0).alias("facet_index"), text.alias("facet_query"), key.alias("k")
     )
     _, tables = grids.gr.structure_tables(grids.cells(spark, sf_dir))
-    wanted = facets.withColumn("i", F.explode(F.array(*map(F.lit, range(4))))).withColumn(
-        "document_id", F.concat(F.lit("cust-"), (F.col("k") + F.col("i")).cast("string"))
+    share = F.lit(base.table(spark, sf_dir, "supplier").count())
+    customers = base.table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("cust-"), F.col("c_custkey").cast("string")).alias("document_id"),
+        F.floor(F.col("c_custkey") / share).cast("int").alias("i"), (F.col("c_custkey") % share).alias("_part"),
     )
+    wanted = facets.withColumn("_part", F.col("k") % share).join(customers, "_part").drop("_part")
     candidates = wanted.join(
         tables.select("project_id", "document_id", "table_index", "caption", "headers"), "document_id"
     ).select(

@@ -24,12 +24,22 @@ COLLAPSED_SEPARATORS = r"[.\-/_:\s]+"
 GRAM = 3
 MIN_SIMILAR_LENGTH = 5
 
-# Full case folding where it differs from lower case (besides ß).
-FOLDINGS = {
-    "ſ": "s", "ς": "σ", "ŉ": "ʼn", "ǰ": "ǰ", "ẖ": "ẖ", "ẗ": "ẗ", "ẘ": "ẘ",
-    "ẙ": "ẙ", "ẚ": "aʾ", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl",
-    "ﬅ": "st", "ﬆ": "st",
-}
+def _foldings() -> dict[str, str]:
+    """Characters whose caseless form is not their lower case, from the Unicode tables at hand."""
+    found = {}
+    for point in range(0x80, 0x110000):
+        if not 0xD800 <= point < 0xE000:
+            char = chr(point)
+            if char.casefold() != char.lower():
+                found[char] = char.casefold()
+    return found
+
+
+FOLDINGS = _foldings()
+_SHORT = "".join(c for c, f in FOLDINGS.items() if len(f) == 1)
+_SHORT_TO = "".join(f for f in FOLDINGS.values() if len(f) == 1)
+_LONG = {c: f for c, f in FOLDINGS.items() if len(f) > 1 and c != "ß"}
+_RARE = "[" + "".join(c for c in FOLDINGS if c != "ß") + "]"
 
 
 def strip(col: Column) -> Column:
@@ -48,12 +58,12 @@ def has_text(col: Column) -> Column:
 def casefold(col: Column) -> Column:
     """Caseless form.  ASCII text, and text without the rarer letters, takes the short way."""
     plain = F.replace(F.lower(col), F.lit("ß"), F.lit("ss"))
-    full = plain
-    for source, target in FOLDINGS.items():
+    full = F.translate(plain, _SHORT, _SHORT_TO)
+    for source, target in _LONG.items():
         full = F.replace(full, F.lit(source), F.lit(target))
     return (
         F.when(F.octet_length(col) == F.char_length(col), F.lower(col))
-        .when(plain.rlike("[" + "".join(FOLDINGS) + "]"), full)
+        .when(plain.rlike(_RARE), full)
         .otherwise(plain)
     )
 

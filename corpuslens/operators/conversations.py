@@ -104,7 +104,7 @@ def validate_pending(pending: DataFrame) -> DataFrame:
         & sound(e["value"]),
     )
     valid = (
-        (F.trim(F.coalesce("original_query", F.lit(""))) != "")
+        (tx.strip(F.coalesce("original_query", F.lit(""))) != "")
         & F.coalesce(F.col("pending_facet_index").between(0, MAX_FACETS - 1), F.lit(False))
         & F.coalesce(good_keys, F.lit(False))
         & F.coalesce(F.size("candidates") > 0, F.lit(False))
@@ -132,7 +132,7 @@ def chosen_index(message: Column, candidates: Column) -> Column:
 
     def names(label: Column) -> Column:
         stem = F.regexp_replace(F.coalesce(label, F.lit("")), r"(?s)\.[^.]*$", "")
-        known = _plain_words(F.lower(stem))
+        known = _plain_words(tx.casefold(stem))
         shared = F.size(F.array_intersect(_tokens(reply), _tokens(known)))
         return (known != "") & (F.contains(reply, known) | F.contains(known, reply) | (shared >= 2))
 
@@ -149,13 +149,16 @@ def chosen_index(message: Column, candidates: Column) -> Column:
 
 def resolve_confirmation(replies: DataFrame) -> DataFrame:
     """Add the table a reply confirms, and the question to go on with: the original one of a
-    compound plan once its choice is made, else the reply itself.
+    compound plan once its choice is made, else the reply itself.  A malformed compound plan is no
+    plan: its candidates can be confirmed, but the reply stays the question.
 
     ``replies``: message plus the columns of ``pending_clarification``."""
+    if "is_valid" not in replies.columns:
+        replies = validate_pending(replies)
     chosen = replies.withColumn(
         "chosen_index", chosen_index(F.col("message"), F.col("candidates"))
     ).withColumn("chosen", F.get("candidates", F.col("chosen_index")))
-    resumed = (F.col("pending_kind") == "compound") & F.col("chosen").isNotNull()
+    resumed = (F.col("pending_kind") == "compound") & F.col("is_valid") & F.col("chosen").isNotNull()
     return chosen.withColumn(
         "effective_question",
         F.when(resumed, F.col("original_query")).otherwise(F.col("message")),
@@ -172,7 +175,7 @@ def clarification_text(query: Column, candidates: Column, facet: bool = False) -
             F.concat((at + 1).cast("string"), F.lit(". "), c["document_name"]),
             F.when(
                 (F.coalesce(c["caption"], F.lit("")) != "")
-                & ~F.contains(F.lower(c["document_name"]), F.lower(c["caption"])),
+                & ~F.contains(tx.casefold(c["document_name"]), tx.casefold(c["caption"])),
                 c["caption"],
             ),
             F.concat(F.lit("table "), (c["table_index"] + 1).cast("string")),

@@ -53,7 +53,7 @@ def match_answers(rows: DataFrame, key: str, aliases: DataFrame | None = None) -
     ``rows``: key, answer, expected_notes; ``aliases``: point, phrases array<string>."""
     # The answer is normalised once per row, before its points are spread.
     prepared = rows.where(F.col("expected_notes").isNotNull()).withColumn(
-        "_answer", normalise(F.col("answer"))
+        "_answer", normalise(F.coalesce("answer", F.lit("")))
     )
     asked = prepared.select(
         key, "_answer", F.explode(points(F.col("expected_notes"))).alias("_raw")
@@ -76,11 +76,28 @@ def match_answers(rows: DataFrame, key: str, aliases: DataFrame | None = None) -
 
 def parse_verdicts(rows: DataFrame, raw: str = "judge_raw_response") -> DataFrame:
     """Judge reply to passed, score within 0..1, reason; an unreadable one keeps an error."""
-    reply = F.from_json(raw, "map<string,string>")
-    has = lambda key: F.coalesce(F.map_contains_key("_reply", F.lit(key)), F.lit(False))
-    number = F.col("_reply")["score"].try_cast("double")
-    told = F.lower(F.coalesce(F.col("_reply")["passed"], F.lit("")))
-    passed = ~told.isin("false", "0", "0.0", "", "[]", "{}")
+    reply = F.try_parse_json(raw)
+    kind = F.coalesce(F.schema_of_variant("_reply"), F.lit(""))
+    is_object = kind.startswith("OBJECT")
+    value = lambda key, to: F.try_variant_get("_reply", f"$.{key}", to)
+    type_of = lambda key: F.schema_of_variant(F.try_variant_get("_reply", f"$.{key}", "variant"))
+    has = lambda key: is_object & F.coalesce(
+        F.map_contains_key(F.from_json(raw, "map<string,string>"), F.lit(key)), F.lit(False)
+    )
+    # A value counts by its type: false, null, zero and what is empty are no, all else is yes.
+    told, told_kind = value("passed", "string"), F.coalesce(type_of("passed"), F.lit("VOID"))
+    number_kinds = told_kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
+    passed = (
+        F.when(told_kind == "BOOLEAN", told == "true")
+        .when(told_kind == "VOID", False)
+        .when(number_kinds, told.try_cast("double") != 0)
+        .otherwise(~told.isin("", "[]", "{}"))
+    )
+    # A score is a number, a truth value, or text that reads as a number.
+    score_kind = F.coalesce(type_of("score"), F.lit("VOID"))
+    number = F.when(
+        score_kind == "BOOLEAN", F.when(value("score", "string") == "true", 1.0).otherwise(0.0)
+    ).otherwise(value("score", "string").try_cast("double"))
     bad = ~has("passed") | (has("score") & number.isNull())
     ok = F.col(raw).isNotNull() & ~bad
     return (
@@ -96,7 +113,7 @@ def parse_verdicts(rows: DataFrame, raw: str = "judge_raw_response") -> DataFram
                 ),
             ),
         )
-        .withColumn("judge_reason", F.when(ok, tx.strip(F.coalesce(F.col("_reply")["reason"], F.lit("")))))
+        .withColumn("judge_reason", F.when(ok, tx.strip(F.coalesce(value("reason", "string"), F.lit("")))))
         .withColumn("judge_error", F.when(F.col(raw).isNotNull() & bad, F.lit(BAD_VERDICT)))
         .drop("_reply")
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuslens.functions import text as tx
 from corpuslens.functions.ordered import top_per_key
 from corpuslens.operators.keyword import EVIDENCE
 from corpuslens.operators.postings import CHUNK_KEYS
@@ -77,7 +78,7 @@ def fuse_rrf(
                 F.coalesce("vector_score", "keyword_score")
             ),
         )
-    details = score_details(k)
+    details = score_details(k, F.col("mode") if "mode" in fused.columns else None)
     ranked = top_per_key(
         fused, ["query_id"], [F.col("fused_score").desc(), *stable_order()], top_k, "rank"
     )
@@ -86,10 +87,10 @@ def fuse_rrf(
     return ranked.withColumns(details).drop("_vw", "_kw", "_cut")
 
 
-def score_details(k: int) -> dict[str, Column]:
+def score_details(k: int, mode: Column | None = None) -> dict[str, Column]:
     """Keyword evidence with zeros where the keyword route has nothing, and how it was fused."""
     details = {name: F.coalesce(F.col(name), F.lit(0)) for name in EVIDENCE}
-    details["fusion_method"] = F.lit("weighted_rrf")
+    details["fusion_method"] = F.lit("weighted_rrf") if mode is None else F.when(mode == "hybrid", "weighted_rrf").otherwise(mode)
     details["fusion_rrf_k"] = F.lit(k)
     return details
 
@@ -131,11 +132,11 @@ def with_request_defaults(queries: DataFrame) -> DataFrame:
 
 def validate_queries(queries: DataFrame) -> DataFrame:
     """Trim the query and add ``reject_reason`` (null when accepted)."""
-    full = with_request_defaults(queries).withColumn("query", F.trim("query"))
+    full = with_request_defaults(queries).withColumn("query", tx.strip(F.col("query")))
     between = lambda name, low, high: F.col(name).between(low, high)
     reason = (
         F.when(F.coalesce(F.col("query"), F.lit("")) == "", "query must not be empty")
-        .when(~F.col("mode").isin(*MODES), "mode is unknown")
+        .when(F.coalesce(~F.col("mode").isin(*MODES), F.lit(True)), "mode is unknown")
         .when(~between("top_k", 1, MAX_TOP_K), "top_k is out of range")
         .when(~between("vector_weight", 0, 1), "vector_weight is out of range")
         .when(~between("keyword_weight", 0, 1), "keyword_weight is out of range")

@@ -40,10 +40,6 @@ def recent_requests(requests: DataFrame, limit: int = 50) -> DataFrame:
     return top_per_key(requests, ["project_id"], newest, kept, "position")
 
 
-def record_requests(requests: DataFrame, path: str) -> None:
-    requests.write.mode("append").partitionBy("project_id").parquet(path)
-
-
 def duplicate_names(documents: DataFrame) -> DataFrame:
     """File names that occur more than once in a project."""
     return (

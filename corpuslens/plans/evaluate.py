@@ -94,4 +94,7 @@ def run_eval(
         F.when(unanswered > 0, "failed").otherwise("completed").alias("status"),
         F.when(unanswered > 0, "Chat model returned no answer").alias("error_message"),
     )
-    return Evaluated(results, state.join(ev.run_metrics(results), "run_id"))
+    rates = ev.run_metrics(results)
+    failed = F.col("status") == "failed"  # a failed run has no metrics
+    metrics = [F.when(~failed, F.col(n)).alias(n) for n in rates.columns if n != "run_id"]
+    return Evaluated(results, state.join(rates, "run_id").select(*state.columns, *metrics))

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuslens.functions.joins import join_small
 from corpuslens.operators import chunking
 from corpuslens.operators.vector import check_embeddings
 from corpuslens.sources.sections import NO_TEXT
@@ -197,25 +198,46 @@ def delete_projects(tables: dict[str, DataFrame], gone: DataFrame) -> dict[str,
     return {name: df.join(doomed, "project_id", "left_anti") for name, df in tables.items()}
 
 
-def write_chunks(chunks: DataFrame, path: str, version: int = 1) -> None:
-    """Write one version of the store; writing a version again replaces just that version."""
+def write_chunks(chunks: DataFrame, path: str, *, writer: str, version: int) -> None:
+    """Write one version of a writer; writing it again replaces just that version.
+
+    Writers never touch each other's versions, so a batch load and streams share a store."""
     (
         chunks.drop("is_active")
+        .withColumn("writer", F.lit(writer))
         .withColumn("version", F.lit(version))
+        .withColumn("written_at", F.current_timestamp())
         .hint("rebalance", "project_id")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("version", "project_id")
+        .partitionBy("writer", "version", "project_id")
         .parquet(path)
     )
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    """The store: a chunk is active when its document has no later version."""
-    stored = spark.read.parquet(path).withColumn("project_id", F.col("project_id").cast("string"))
-    newest = stored.groupBy(*DOC).agg(F.max("version").alias("_newest"))
+    """The store: a chunk is active when its document was not written again later.
+
+    Only documents with several versions are looked up; texts and vectors are not shuffled while
+    these are few."""
+    stored = spark.read.parquet(path).withColumns(
+        {name: F.col(name).cast("string") for name in ("project_id", "writer")}
+    )
+    turn = F.struct("written_at", "writer", "version")
+    again = (
+        stored.groupBy(*DOC)
+        .agg(F.max(turn).alias("_newest"), F.min(turn).alias("_oldest"))
+        .where("_newest <> _oldest")
+        .select(*DOC, "_newest")
+    )
     return (
-        stored.join(newest, [*DOC])
-        .withColumn("is_active", F.col("version") == F.col("_newest"))
-        .drop("_newest")
+        join_small(stored, again, DOC, "left")
+        .withColumn("is_active", F.coalesce(turn == F.col("_newest"), F.lit(True)))
+        .drop("_newest", "written_at")
     )
+
+
+def compact_chunks(spark: SparkSession, path: str, into: str, *, writer: str = "compacted", version: int = 1) -> None:
+    """Write the active chunks of a store as one version of another one."""
+    active = read_chunks(spark, path).where("is_active").drop("writer", "version")
+    write_chunks(active, into, writer=writer, version=version)

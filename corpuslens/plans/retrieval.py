@@ -16,6 +16,7 @@ from corpuslens.operators.fusion import (
     fuse_rrf,
     initial_limit,
     pool_limit,
+    validate_queries,
     with_request_defaults,
 )
 from corpuslens.operators.keyword import retrieve_keyword, with_scope
@@ -34,12 +35,14 @@ class Retrieved:
     """What one retrieval run produces.
 
     results: ranked chunks per query; outcomes: table choice per facet of whole-table questions;
-    coverage: rows of each expanded table in the context; queries: settings with intent flags."""
+    coverage: rows of each expanded table in the context; queries: settings with intent flags;
+    rejected: requests that are not valid, with the reason; they take part in nothing else."""
 
     results: DataFrame
     outcomes: DataFrame
     coverage: DataFrame
     queries: DataFrame
+    rejected: DataFrame
 
 
 def retrieve(
@@ -54,8 +57,8 @@ def retrieve(
     Both routes meet in one full join; a query takes part only in the routes of its mode."""
     asked = with_request_defaults(queries)
     cut = F.col("top_k") if limit is None else limit
-    by_vector = asked.where(F.col("mode") != "keyword")
-    by_keyword = asked.where(F.col("mode") != "vector")
+    by_vector = asked.where(F.col("mode").isin("vector", "hybrid"))
+    by_keyword = asked.where(F.col("mode").isin("keyword", "hybrid"))
     vector = retrieve_vector(
         by_vector, chunks, max_limit, threshold=F.col("similarity_threshold"), limit=cut
     )
@@ -162,6 +165,9 @@ def retrieve_full(
     ``queries``: query_id, project_id, query, embedding, optional settings, optional document_id
     and preferred_document_id / preferred_table_index; ``preferences``: confirmed tables per
     facet (query_id, facet_index, document_id, table_index)."""
+    checked = validate_queries(queries)
+    rejected = checked.where("reject_reason is not null").select("query_id", "reject_reason")
+    queries = checked.where("reject_reason is null").drop("reject_reason")
     facets = durable(plan_facets(queries))
     pool = durable(facet_candidates(facets, chunks, postings, facet_vectors))
     whole = facets.where("is_full_table")
@@ -255,4 +261,4 @@ def retrieve_full(
         groups.select("query_id", "document_id", "table_index", "facet_indexes"), "query_id"
     ).unionByName(shared_fit.select("query_id", "is_partial", "document_id", "table_index", "facet_indexes"))
     coverage = partial.join(covered, [*cover_keys], "left")
-    return Retrieved(results, outcomes, coverage, facets.where("facet_index = 0"))
+    return Retrieved(results, outcomes, coverage, facets.where("facet_index = 0"), rejected)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
@@ -25,13 +27,21 @@ def latest_copies(batch: DataFrame) -> DataFrame:
 
 
 def stream_ingest(
-    documents: DataFrame, store: str, checkpoint: str, outcomes: str, available_now: bool = True
+    documents: DataFrame,
+    store: str,
+    checkpoint: str,
+    outcomes: str,
+    available_now: bool = True,
+    writer: str | None = None,
 ) -> StreamingQuery:
     """Chunk every arriving batch into its own store version.
 
-    A version is named by the batch, so a batch that is replayed after a failure replaces its own
-    rows; older versions of a document turn inactive when the store is read.  ``documents``:
-    project_id, document_id, document_name, text, arrived."""
+    A version is named by the stream and the batch, so a batch that is replayed after a failure
+    replaces its own rows and no other writer's; older versions of a document turn inactive when
+    the store is read.  The stream's name is ``writer``, by default one for each checkpoint folder
+    (a folder that was emptied needs a new name).  ``documents``: project_id, document_id,
+    document_name, text, arrived."""
+    name = writer or "stream-" + hashlib.md5(checkpoint.encode()).hexdigest()
 
     def absorb(batch: DataFrame, batch_id: int) -> None:
         latest = latest_copies(batch)
@@ -39,12 +49,12 @@ def stream_ingest(
         done = ingest(
             latest, sections, version=batch_id + 1, single_section=True, tables=False
         )
-        write_chunks(done.chunks.drop("embedding"), store, batch_id + 1)
+        write_chunks(done.chunks.drop("embedding"), store, writer=name, version=batch_id + 1)
         (
-            done.outcomes.withColumn("version", F.lit(batch_id + 1))
+            done.outcomes.withColumns({"writer": F.lit(name), "version": F.lit(batch_id + 1)})
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("version")
+            .partitionBy("writer", "version")
             .parquet(outcomes)
         )
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
@@ -21,10 +21,53 @@ def record_requests(requests: DataFrame, path: str, checkpoint: str) -> Streamin
     )
 
 
+_MEANS = {
+    "latency_ms": "avg_latency_ms",
+    "retrieval_latency_ms": "avg_retrieval_latency_ms",
+    "generation_latency_ms": "avg_generation_latency_ms",
+    "citation_count": "avg_citation_count",
+}
+
+
+def keep_chat_summary(requests: DataFrame, path: str, checkpoint: str, window: str = "1 day") -> StreamingQuery:
+    """Counts and mean latencies of all requests, however late: each batch writes its sums per
+    window and project under its own number, so a replayed batch replaces them.  There is no state."""
+
+    def absorb(batch: DataFrame, batch_id: int) -> None:
+        sums = [F.count(F.lit(1)).alias("request_count")]
+        for name in _MEANS:
+            sums += [F.sum(name).alias(f"sum_{name}"), F.count(name).alias(f"n_{name}")]
+        (
+            batch.groupBy(F.window("created_at", window).alias("window"), "project_id")
+            .agg(*sums)
+            .select("window.start", "window.end", "project_id", "request_count", *[f"{k}_{n}" for n in _MEANS for k in ("sum", "n")])
+            .withColumn("batch", F.lit(batch_id))
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("batch")
+            .parquet(path)
+        )
+
+    return (
+        requests.writeStream.foreachBatch(absorb)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def read_chat_summary(spark: SparkSession, path: str) -> DataFrame:
+    """The kept sums as counts and means per window and project."""
+    means = [(F.sum(f"sum_{n}") / F.sum(f"n_{n}")).alias(to) for n, to in _MEANS.items()]
+    stored = spark.read.parquet(path)
+    return stored.groupBy("start", "end", "project_id").agg(F.sum("request_count").alias("request_count"), *means)
+
+
 def stream_chat_summary(
     requests: DataFrame, window: str = "1 day", late: str = "1 hour"
 ) -> DataFrame:
-    """Counts and mean latencies per project and window; rows later than ``late`` are dropped.
+    """Counts and mean latencies of closed windows, each once; rows later than ``late`` are
+    dropped.  ``keep_chat_summary`` is the complete form.
 
     The state holds one row per open window and project."""
     return (

@@ -98,11 +98,34 @@ def test_documents_stream_into_versions(spark):
 def test_rewriting_a_version_replaces_it(spark):
     path = fresh(spark)
     done = run(spark, docs(spark, a="one"), vectors(spark, ("a", 0, [1.0, 0.0])))
-    ing.write_chunks(done.chunks.drop("meta"), path, 1)
-    ing.write_chunks(done.chunks.drop("meta"), path, 1)
+    ing.write_chunks(done.chunks.drop("meta"), path, writer="w", version=1)
+    ing.write_chunks(done.chunks.drop("meta"), path, writer="w", version=1)
     assert ing.read_chunks(spark, path).count() == 1
 
 
+def test_writers_keep_their_own_versions(spark):
+    path = fresh(spark)
+    for name, text, writer in (("a", "one", "load"), ("b", "two", "stream"), ("a", "three", "stream-2")):
+        done = run(spark, docs(spark, **{name: text}), vectors(spark, (name, 0, [1.0, 0.0])))
+        ing.write_chunks(done.chunks.drop("meta"), path, writer=writer, version=1)
+    got = {(r.document_id, r.text, r.is_active) for r in ing.read_chunks(spark, path).collect()}
+    assert got == {("a", "one", False), ("b", "two", True), ("a", "three", True)}
+    ing.compact_chunks(spark, path, path + "-2")
+    assert {r.text for r in ing.read_chunks(spark, path + "-2").collect()} == {"two", "three"}
+
+
+def test_kept_summary_counts_late_requests(spark):
+    root = fresh(spark)
+    rows = requests(spark)
+    for part in (rows.where("request_id <> '1'"), rows.where("request_id = '1'")):
+        part.coalesce(1).write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{root}/in")
+        sm.keep_chat_summary(stream, f"{root}/out", f"{root}/ckpt").awaitTermination()
+    got = sm.read_chat_summary(spark, f"{root}/out").orderBy("start").collect()
+    assert [(r.request_count, r.avg_latency_ms) for r in got] == [(2, 150.0), (3, 400.0), (2, 650.0)]
+    assert got[0].avg_retrieval_latency_ms == 20.0 and got[0].avg_generation_latency_ms is None
+
+
 def requests(spark):
     at = dt.datetime(2024, 1, 1)
     rows = [(str(i), "p", at + dt.timedelta(hours=8 * i), 100 * i, None if i == 1 else 10 * i, None, i) for i in range(1, 8)]
