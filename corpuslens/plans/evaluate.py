@@ -96,5 +96,9 @@ def run_eval(
     )
     rates = ev.run_metrics(results)
     failed = F.col("status") == "failed"  # a failed run has no metrics
-    metrics = [F.when(~failed, F.col(n)).alias(n) for n in rates.columns if n != "run_id"]
+    metrics = [
+        F.col(n) if n == "question_count" else F.when(~failed, F.col(n)).alias(n)
+        for n in rates.columns
+        if n != "run_id"
+    ]
     return Evaluated(results, state.join(rates, "run_id").select(*state.columns, *metrics))
