@@ -231,8 +231,7 @@ def chunks_across_sections(spark, sf_dir):
 
 @query(
     "chunk_store",
-    with_(sqlbase.CHUNKS, body="""SELECT project_id, count(*) AS chunks, count(DISTINCT document_id) AS documents,
-          CAST(sum(token_count) AS BIGINT) AS tokens, count(*) AS active FROM chunks GROUP BY project_id"""),
+    with_(sqlbase.CHUNKS, body="""SELECT project_id, document_id, chunk_id, chunk_index, token_count, md5(text) AS text_md5, true AS is_active FROM chunks"""),
 )
 def chunk_store(spark, sf_dir):
     """The store written by project and read back."""
@@ -240,11 +239,8 @@ def chunk_store(spark, sf_dir):
 
     path = f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
     ing.write_chunks(base.text_chunks(spark, sf_dir).drop("meta"), path, writer="load", version=1)
-    return ing.read_chunks(spark, path).groupBy("project_id").agg(
-        F.count(F.lit(1)).alias("chunks"),
-        F.count_distinct("document_id").alias("documents"),
-        F.sum("token_count").alias("tokens"),
-        F.count_if("is_active").alias("active"),
+    return ing.read_chunks(spark, path).select(
+        "project_id", "document_id", "chunk_id", "chunk_index", "token_count", F.md5("text").alias("text_md5"), "is_active"
     )
 
 
@@ -342,10 +338,9 @@ def ingested_chunks(spark, sf_dir):
 
 @query(
     "reindexed_store",
-    with_(sqlbase.CHUNKS, _OUTCOME_SQL, body="""SELECT project_id, is_active, version, count(*) AS chunks FROM (
-          SELECT c.project_id, CAST(1 AS INTEGER) AS version, o.error_message IS NOT NULL AS is_active FROM chunks c JOIN outcomes o USING (document_id)
+    with_(sqlbase.CHUNKS, _OUTCOME_SQL, body="""SELECT c.project_id, c.chunk_id, CAST(1 AS INTEGER) AS version, o.error_message IS NOT NULL AS is_active FROM chunks c JOIN outcomes o USING (document_id)
           UNION ALL
-          SELECT c.project_id, 2, true FROM chunks c JOIN outcomes o USING (document_id) WHERE o.error_message IS NULL) GROUP BY ALL"""),
+          SELECT c.project_id, c.document_id || ':2:' || c.chunk_index, 2, true FROM chunks c JOIN outcomes o USING (document_id) WHERE o.error_message IS NULL"""),
 )
 def reindexed_store(spark, sf_dir):
     """A second pass replaces only the documents that succeed in it."""
@@ -355,7 +350,7 @@ def reindexed_store(spark, sf_dir):
     vectors = _vectors(spark, sf_dir)
     again = ing.ingest(docs, found, vectors, 64, version=2, single_section=True, tables=False)
     after = ing.reindex(before, again.chunks.withColumn("version", F.lit(2)), again.outcomes)
-    return after.groupBy("project_id", "is_active", "version").agg(F.count(F.lit(1)).alias("chunks"))
+    return after.select("project_id", "chunk_id", "version", "is_active")
 
 
 @query(
@@ -411,10 +406,10 @@ def job_outcomes(spark, sf_dir):
     "delete_documents",
     with_(sqlbase.CHUNKS, """gone AS (SELECT CAST(doc_id AS VARCHAR) AS document_id FROM labels WHERE toxic = 1),
         expected AS (SELECT CAST(doc_id AS VARCHAR) AS document_id FROM labels)""",
-          body="""SELECT 'documents' AS name, count(*) AS n FROM docs WHERE document_id NOT IN (SELECT document_id FROM gone)
-          UNION ALL SELECT 'chunks', count(*) FROM chunks WHERE document_id NOT IN (SELECT document_id FROM gone)
-          UNION ALL SELECT 'citations', count(*) FROM chunks WHERE document_id NOT IN (SELECT document_id FROM gone)
-          UNION ALL SELECT 'questions', count(*) FROM expected WHERE document_id NOT IN (SELECT document_id FROM gone)"""),
+          body="""SELECT 'documents' AS name, document_id AS id FROM docs WHERE document_id NOT IN (SELECT document_id FROM gone)
+          UNION ALL SELECT 'chunks', chunk_id FROM chunks WHERE document_id NOT IN (SELECT document_id FROM gone)
+          UNION ALL SELECT 'citations', chunk_id FROM chunks WHERE document_id NOT IN (SELECT document_id FROM gone)
+          UNION ALL SELECT 'questions', CASE WHEN document_id NOT IN (SELECT document_id FROM gone) THEN document_id END FROM expected"""),
 )
 def delete_documents(spark, sf_dir):
     """I8: toxic documents leave every table; expectations of them become null."""
@@ -433,10 +428,8 @@ def delete_documents(spark, sf_dir):
         },
         labels.where("toxic = 1"),
     )
-    parts = [
-        df.select(F.lit(name).alias("name"), F.count("expected_document_id" if name == "questions" else F.lit(1)).alias("n"))
-        for name, df in left.items()
-    ]
+    ids = {"documents": "document_id", "chunks": "chunk_id", "citations": "chunk_id", "questions": "expected_document_id"}
+    parts = [df.select(F.lit(name).alias("name"), F.col(ids[name]).alias("id")) for name, df in left.items()]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -445,15 +438,15 @@ def delete_documents(spark, sf_dir):
 
 @query(
     "delete_projects",
-    with_(sqlbase.CHUNKS, body="""SELECT project_id, count(*) AS chunks FROM chunks WHERE project_id NOT IN
-          (SELECT source FROM documents JOIN labels USING (doc_id) GROUP BY source HAVING avg(quality) < 0.5) GROUP BY project_id"""),
+    with_(sqlbase.CHUNKS, body="""SELECT project_id, chunk_id FROM chunks WHERE project_id NOT IN
+          (SELECT source FROM documents JOIN labels USING (doc_id) GROUP BY source HAVING avg(quality) < 0.9)"""),
 )
 def delete_projects(spark, sf_dir):
     """I8: projects of mostly poor documents removed."""
     docs = base.documents(spark, sf_dir)
     poor = (
         docs.join(base.table(spark, sf_dir, "labels"), "doc_id")
-        .groupBy("project_id").agg(F.avg("quality").alias("q")).where("q < 0.5")
+        .groupBy("project_id").agg(F.avg("quality").alias("q")).where("q < 0.9")
     )
     left = ing.delete_projects({"chunks": base.text_chunks(spark, sf_dir)}, poor)
-    return left["chunks"].groupBy("project_id").agg(F.count(F.lit(1)).alias("chunks"))
+    return left["chunks"].select("project_id", "chunk_id")

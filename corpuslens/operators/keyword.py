@@ -113,7 +113,8 @@ def similarity_candidates(mine: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Pairs of different surfaces that may share half the smaller trigram set.
 
     Prefix filter: such a pair shares a trigram with the first ``n - need + 1`` sorted trigrams
-    of its shorter member, so rare trigrams block and common ones are hardly ever joined on."""
+    of its shorter member.  Each side's prefixes are cut before they meet all trigrams of the
+    other, once per side, so rare trigrams block and common ones hardly ever reach a join."""
 
     def exploded(df: DataFrame, name: str) -> DataFrame:
         grams = _grams(F.col("surface"))
@@ -134,18 +135,12 @@ def similarity_candidates(mine: DataFrame, vocabulary: DataFrame) -> DataFrame:
         )
 
     left, right = exploded(mine, "mine"), exploded(vocabulary, "theirs")
-    mine_leads = (F.col("mine_n") <= F.col("theirs_n")) & (
-        F.col("mine_at") < F.col("mine_prefix")
-    )
-    theirs_leads = (F.col("theirs_n") < F.col("mine_n")) & (
-        F.col("theirs_at") < F.col("theirs_prefix")
-    )
-    return (
-        join_small(right, left, ["project_id", "scope", "gram"])
-        .where((mine_leads | theirs_leads) & (F.col("mine") != F.col("theirs")))
-        .select("project_id", "scope", "mine", "theirs")
-        .distinct()
-    )
+    on = ["project_id", "scope", "gram"]
+    pair = ["project_id", "scope", "mine", "theirs"]
+    mine_leads = join_small(right, left.where("mine_at < mine_prefix"), on).where("mine_n <= theirs_n")
+    theirs_leads = join_small(right.where("theirs_at < theirs_prefix"), left, on).where("theirs_n < mine_n")
+    both = mine_leads.select(*pair).unionByName(theirs_leads.select(*pair))
+    return both.where(F.col("mine") != F.col("theirs")).distinct()
 
 
 def identifier_tiers(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
