@@ -2,7 +2,8 @@
 n-grams between a trusted target and the raw corpus.
 
 Words and word pairs of a text are hashed to a fixed number of buckets.  Two multinomials are
-counted over all documents: one over the trusted ones, one over the whole corpus.  A document's
+counted: one over the trusted documents (a bounded number of labelled rows), one over the whole
+corpus.  A document's
 score is its mean log ratio per n-gram; it passes if the score is at least a threshold, which is a
 low quantile of the trusted documents' own scores less a margin, so the verdict of every document
 follows from its text and the two counts alone.
@@ -26,6 +27,8 @@ SMOOTHING = 1.0
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
+#: Trusted documents that are learned from: all up to this number, else the first by hash.
+TRUSTED_DOCS = 100_000
 #: The share of trusted documents that may lie below the threshold, and the margin under it.
 TARGET_QUANTILE = 0.002
 MARGIN = 0.1
@@ -38,42 +41,40 @@ def words(text: Column) -> Column:
     return F.filter(found, lambda w: w != "")
 
 
-def n_grams(found: Column, buckets: int) -> Column:
-    """Buckets of the words and of the word pairs."""
-    one = F.transform(found, lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int"))
-    two = F.transform(
-        found,
-        lambda w, i: F.pmod(F.xxhash64(w, F.get(found, i + 1)), F.lit(buckets)).cast("int"),
-    )
-    return F.concat(one, F.slice(two, F.lit(1), F.greatest(F.size(found) - 1, F.lit(0))))
+def hashed(found: Column) -> Column:
+    """One 64-bit hash per word; n-grams and windows are hashes of these."""
+    return F.transform(found, lambda w: F.xxhash64(w))
 
 
-def _starts(found: Column, window: int) -> Column:
-    return F.when(F.size(found) >= window, F.sequence(F.lit(1), F.size(found) - window + 1)).otherwise(
-        F.array().cast("array<int>")
-    )
+def n_grams(hashes: Column, buckets: int) -> Column:
+    """Buckets of the words and of the word pairs."""
+    one = F.transform(hashes, lambda h: F.pmod(h, F.lit(buckets)).cast("int"))
+    two = F.transform(hashes, lambda h, i: F.pmod(F.xxhash64(h, F.get(hashes, i + 1)), F.lit(buckets)).cast("int"))
+    return F.concat(one, F.slice(two, F.lit(1), F.greatest(F.size(hashes) - 1, F.lit(0))))
 
 
-def repeated_words(found: Column, window: int = WINDOW) -> Column:
+def repeated_words(hashes: Column, window: int = WINDOW) -> Column:
     """Words inside windows that occur twice or more in the text.
 
     One 64-bit hash per window shows whether any can repeat; only then are windows compared by
     128 bits: sorted by hash and place, equal neighbours mark places, places in order give words."""
-    one = F.transform(_starts(found, window), lambda i: F.xxhash64(F.slice(found, i, F.lit(window))))
+    starts = F.when(F.size(hashes) >= window, F.sequence(F.lit(1), F.size(hashes) - window + 1)).otherwise(
+        F.array().cast("array<int>")
+    )
+    one = F.transform(starts, lambda i: F.xxhash64(F.slice(hashes, i, F.lit(window))))
     keyed = F.array_sort(
         F.transform(
-            _starts(found, window),
+            starts,
             lambda i: F.struct(
-                F.xxhash64(F.slice(found, i, F.lit(window))).alias("a"),
-                F.xxhash64(F.lit(window), F.slice(found, i, F.lit(window))).alias("b"),
+                F.xxhash64(F.slice(hashes, i, F.lit(window))).alias("a"),
+                F.xxhash64(F.lit(window), F.slice(hashes, i, F.lit(window))).alias("b"),
                 i.alias("at"),
             ),
         )
     )
-    same = lambda x, y: (x["a"] == y["a"]) & (x["b"] == y["b"])
+    same = lambda x, y: F.coalesce((x["a"] == y["a"]) & (x["b"] == y["b"]), F.lit(False))
     marked = lambda k: F.transform(
-        F.filter(k, lambda x, i: F.coalesce(same(x, F.get(k, i - 1)), F.lit(False)) | F.coalesce(same(x, F.get(k, i + 1)), F.lit(False))),
-        lambda x: x["at"],
+        F.filter(k, lambda x, i: same(x, F.get(k, i - 1)) | same(x, F.get(k, i + 1))), lambda x: x["at"]
     )
     covered = F.aggregate(
         F.array_sort(F.flatten(F.transform(F.array(keyed), marked))),
@@ -84,32 +85,35 @@ def repeated_words(found: Column, window: int = WINDOW) -> Column:
     return F.when(F.size(F.array_distinct(one)) < F.size(one), covered).otherwise(0).cast("long")
 
 
-def base_rules(text: Column, found: Column) -> dict[str, Column]:
+def base_rules(text: Column, hashes: Column) -> dict[str, Column]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, each as a long."""
     whole = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(whole, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     return {
-        "n_words": F.size(found).cast("long"),
+        "n_words": F.size(hashes).cast("long"),
         "word_chars": F.length(F.translate(whole, " \t\n\x0b\f\r", "")).cast("long"),
         "n_symbols": (F.length(whole) - F.length(F.translate(whole, "#*$%&|<>", ""))).cast("long"),
         "n_dup_lines": F.transform(F.array(lines), lambda x: F.size(x) - F.size(F.array_distinct(x)))[0].cast("long"),
-        "n_repeat_words": repeated_words(found),
+        "n_repeat_words": repeated_words(hashes),
     }
 
 
-def _ids(trusted: DataFrame, id_col: str) -> DataFrame:
-    return trusted.select(F.col(f"`{id_col}`").alias("id")).filter("id is not null").distinct()
+def _ids(trusted: DataFrame, id_col: str, most: int) -> DataFrame:
+    """The first ``most`` ids by hash, small enough to be sent to every task."""
+    ids = trusted.select(F.col(f"`{id_col}`").alias("id")).filter("id is not null").distinct()
+    return F.broadcast(ids.orderBy(F.xxhash64("id"), "id").limit(most))
 
 
-def counts(docs: DataFrame, trusted: DataFrame | None, *, id_col: str, text_col: str, buckets: int) -> DataFrame:
-    """(bucket, raw, target): n-gram counts over all documents and over the trusted ones."""
+def counts(docs: DataFrame, trusted: DataFrame | None, *, id_col: str, text_col: str, buckets: int, most: int) -> DataFrame:
+    """(bucket, raw, target): n-gram counts over all documents and over the trusted ones, of which
+    at most ``most`` are learned from."""
     rows = docs.select(integer_id(docs, id_col).alias("id"), F.col(f"`{text_col}`").alias("text"))
     if trusted is None:
         rows = rows.withColumn("trusted", F.lit(0))
     else:
-        rows = rows.join(_ids(trusted, id_col).withColumn("trusted", F.lit(1)), "id", "left")
-    found = rows.select(F.coalesce("trusted", F.lit(0)).alias("trusted"), words(F.col("text")).alias("words"))
-    grams = found.select("trusted", F.explode(n_grams(F.col("words"), buckets)).alias("bucket"))
+        rows = rows.join(_ids(trusted, id_col, most).withColumn("trusted", F.lit(1)), "id", "left")
+    found = rows.select(F.coalesce("trusted", F.lit(0)).alias("trusted"), hashed(words(F.col("text"))).alias("hashes"))
+    grams = found.select("trusted", F.explode(n_grams(F.col("hashes"), buckets)).alias("bucket"))
     return grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("trusted").alias("target"))
 
 
@@ -126,12 +130,12 @@ def ratios(found: DataFrame, buckets: int, smoothing: float = SMOOTHING) -> list
     return [math.log((t + smoothing) / a) - math.log((r + smoothing) / b) for r, t in zip(raw, target, strict=True)]
 
 
-def log_ratio(found: Column, table: list[float]) -> Column:
+def log_ratio(hashes: Column, table: list[float]) -> Column:
     """Mean log ratio of a text's n-grams; 0 without any."""
     values = F.split(F.lit(",".join(f"{x:.6f}" for x in table)), ",").cast("array<double>")
-    grams = n_grams(found, len(table))
+    grams = n_grams(hashes, len(table))
     total = F.aggregate(grams, F.lit(0.0), lambda s, b: s + F.get(values, b))
-    return F.when(F.size(found) > 0, total / F.greatest(2 * F.size(found) - 1, F.lit(1))).otherwise(0.0)
+    return F.when(F.size(hashes) > 0, total / F.greatest(2 * F.size(hashes) - 1, F.lit(1))).otherwise(0.0)
 
 
 def judge(
@@ -144,21 +148,22 @@ def judge(
     quantile: float = TARGET_QUANTILE,
     margin: float = MARGIN,
     threshold: float | None = None,
+    most_trusted: int = TRUSTED_DOCS,
     min_words: int = MIN_WORDS,
     max_repeat_percent: int = MAX_REPEAT_PERCENT,
 ) -> DataFrame:
     """Per row: the id, the base figures, base_failed, score and kept.  ``trusted`` has the ids of
     the target documents; a given threshold is taken as it is."""
-    table = ratios(counts(docs, trusted, id_col=id_col, text_col=text_col, buckets=buckets), buckets)
+    table = ratios(counts(docs, trusted, id_col=id_col, text_col=text_col, buckets=buckets, most=most_trusted), buckets)
     rows = docs.select(integer_id(docs, id_col).alias("id"), F.col(f"`{text_col}`").alias("text"))
-    split = rows.withColumn("words", words(F.col("text")))
-    rules = base_rules(F.col("text"), F.col("words"))
-    judged = split.select("id", log_ratio(F.col("words"), table).alias("score"), *[c.alias(n) for n, c in rules.items()])
+    split = rows.withColumn("hashes", hashed(words(F.col("text"))))
+    rules = base_rules(F.col("text"), F.col("hashes"))
+    judged = split.select("id", log_ratio(F.col("hashes"), table).alias("score"), *[c.alias(n) for n, c in rules.items()])
     if threshold is None:
         threshold = float("-inf")
         if trusted is not None:
             judged = durable(judged)  # every text is judged once; the quantile reads two columns
-            low = judged.select("id", "score").join(_ids(trusted, id_col), "id", "left_semi")
+            low = judged.select("id", "score").join(_ids(trusted, id_col, most_trusted), "id", "left_semi")
             low = low.agg(F.percentile_approx("score", quantile, 10_000)).first()[0]
             threshold = float("-inf") if low is None else low - margin
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
