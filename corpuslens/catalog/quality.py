@@ -464,7 +464,19 @@ def answer_routes(spark, sf_dir):
     return pr.answer_route(prompts, plans, answers).select("query_id", "route", "plan_status", "model")
 
 
-@query("evaluation_run")
+@query(
+    "evaluation_run",
+    with_(sqlbase.KEYWORD, sqlbase.VECTOR, sqlbase.fused(search.POOL), search.EVIDENCE_SQL, _EXPECTED_SQL,
+          f"""sources AS (SELECT query_id, chunk_id, document_id FROM needs WHERE need <= {search.TOP}),
+          met AS (SELECT e.query_id, CAST(e.query_id AS BIGINT) % 4 > 0 AS should_answer, count(s.chunk_id) = 0 AS refused,
+            CASE WHEN expected_chunk_id IS NOT NULL THEN coalesce(bool_or(s.chunk_id = expected_chunk_id), false)
+              WHEN expected_document_id IS NOT NULL THEN coalesce(bool_or(s.document_id = expected_document_id), false) ELSE count(s.chunk_id) > 0 END AS hit,
+            CASE WHEN expected_chunk_id IS NOT NULL THEN coalesce(bool_or(s.chunk_id = expected_chunk_id), false) ELSE count(s.chunk_id) > 0 END AS citation_covered
+            FROM expected e LEFT JOIN sources s USING (query_id) GROUP BY e.query_id, expected_chunk_id, expected_document_id)""",
+          body="""SELECT 'run-1' AS run_id, query_id AS question_id, hit, citation_covered, refused,
+            CASE WHEN should_answer THEN NOT refused ELSE refused END AS answer_matched,
+            CASE WHEN NOT should_answer OR (hit AND citation_covered) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score FROM met"""),
+)
 def evaluation_run(spark, sf_dir):
     """All benchmark questions retrieved, answered from a table and scored."""
     asked = eval_questions(spark, sf_dir).withColumn("should_answer", F.col("item_id") % 4 > 0).withColumn(

@@ -300,15 +300,17 @@ def rerank_overlap(spark, sf_dir):
     )
 
 
-@query(
-    "select_evidence",
-    with_(
-        sqlbase.KEYWORD, sqlbase.VECTOR, sqlbase.fused(POOL),
-        f"""kinds AS (SELECT *, CASE WHEN exact_identifiers > 0 THEN 'exact_identifier'
+EVIDENCE_SQL = f"""kinds AS (SELECT *, CASE WHEN exact_identifiers > 0 THEN 'exact_identifier'
               WHEN contained_identifiers > 0 THEN 'contained_identifier' END AS kind FROM fused WHERE rank <= {POOL}),
         firsts AS (SELECT *, kind IS NOT NULL AND row_number() OVER (PARTITION BY query_id, document_id, kind ORDER BY rank) = 1 AS first FROM kinds),
         needs AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN first AND kind = 'exact_identifier' THEN 0
-              WHEN first THEN 1 ELSE 2 END, rank) AS need FROM firsts)""",
+              WHEN first THEN 1 ELSE 2 END, rank) AS need FROM firsts)"""
+
+
+@query(
+    "select_evidence",
+    with_(
+        sqlbase.KEYWORD, sqlbase.VECTOR, sqlbase.fused(POOL), EVIDENCE_SQL,
         body=f"""SELECT query_id, chunk_id, CASE WHEN first THEN 'protected_' || kind ELSE 'ranked_fill' END AS evidence_selection_reason,
           CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank) AS INTEGER) AS rank FROM needs WHERE need <= {TOP}""",
     ),
