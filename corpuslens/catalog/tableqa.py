@@ -269,10 +269,36 @@ def _shared(spark, sf_dir):
     return tb.apply_shared_budget(groups, tagged.drop("facet"), 120)
 
 
-@query("shared_budget")
+def _fit(items, room):
+    """First fit with skipping, as a fold over a list of word counts."""
+    return f"""list_reduce(list_concat([struct_pack(used := 0::BIGINT, kept := 0::BIGINT, words := 0::BIGINT)], {items}),
+      lambda a, b: CASE WHEN a.used + b.words <= {room} THEN struct_pack(used := a.used + b.words, kept := a.kept + 1, words := 0::BIGINT) ELSE a END)"""
+
+
+def _offer(at):
+    """What the table at a place gets of the room that is left, and the room after it."""
+    g = f"g{at}"
+    return (
+        f"""given{at} AS (SELECT *, CASE WHEN {g}.total > {g}.f.kept AND room > 0 THEN {_fit(g + ".xs", f"{g}.f.used + room")} ELSE {g}.f END AS a{at} FROM left{at - 1})""",
+        f"""left{at} AS (SELECT * REPLACE (greatest(room - greatest(coalesce(a{at}.used, 0) - coalesce({g}.f.used, 0), 0), 0) AS room) FROM given{at})""",
+    )
+
+
+@query(
+    "shared_budget",
+    with_(_ITEMS_SQL, """listed AS (SELECT k // 3 AS q, k, CAST(k % 3 AS INTEGER) AS facet, count(*) AS total,
+            list(struct_pack(used := 0::BIGINT, kept := 0::BIGINT, words := words::BIGINT) ORDER BY n) AS xs FROM items GROUP BY k),
+          shares AS (SELECT *, 120 // count(*) OVER (PARTITION BY q) AS share, row_number() OVER (PARTITION BY q ORDER BY facet) AS i FROM listed)""",
+          f"fitted AS (SELECT *, {_fit('xs', 'share')} AS f FROM shares)",
+          """left0 AS (SELECT q, greatest(120 - sum(f.used), 0)::BIGINT AS room, any_value(t) FILTER (i = 1) AS g1, any_value(t) FILTER (i = 2) AS g2,
+            any_value(t) FILTER (i = 3) AS g3 FROM (SELECT q, i, f, struct_pack(k := k, facet := facet, total := total, xs := xs, f := f) AS t FROM fitted) GROUP BY q)""",
+          *_offer(1), *_offer(2), *_offer(3),
+          body=" UNION ALL ".join(
+              f"""SELECT CAST(q AS VARCHAR) AS query_id, CAST(g{i}.k AS VARCHAR) AS document_id, g{i}.facet AS first_facet,
+              CAST(a{i}.used AS INTEGER) AS words_used, g{i}.total > a{i}.kept AS is_partial FROM left3 WHERE g{i} IS NOT NULL""" for i in (1, 2, 3))),
+)
 def shared_budget(spark, sf_dir):
-    """One budget over up to three orders; its parts are checked by brute force in the
-    tests."""
+    """One budget over up to three orders."""
     return _shared(spark, sf_dir)[1].select(
         "query_id", "document_id", "first_facet", "words_used", "is_partial"
     )
