@@ -10,17 +10,47 @@ DETAIL_PREVIEW = 500
 LOGGED_SCORES = ("vector_score", "keyword_score", "fused_score")
 
 
-def log_rows(queries: DataFrame) -> DataFrame:
-    """One log row per query; the log takes the id of its query."""
-    return queries.select(
+EVIDENCE_POLICY = "protected_identifiers_then_rank"
+
+
+def log_rows(
+    queries: DataFrame, outcomes: DataFrame | None = None, coverage: DataFrame | None = None
+) -> DataFrame:
+    """One log row per query; the log takes the id of its query.
+
+    ``queries``: settings, with the intent flags of ``retrieve_full`` and ``latency_ms`` where they
+    are known; ``outcomes`` and ``coverage``: the table choices and expansions to record."""
+    known = lambda name, kind: (F.col(name) if name in queries.columns else F.lit(None)).cast(kind)
+    logged = queries
+    for name, found, key in (("_selection", outcomes, "facet_index"), ("_expansion", coverage, "document_id")):
+        if found is None:
+            logged = logged.withColumn(name, F.lit(None).cast("string"))
+            continue
+        if key == "facet_index":
+            item = F.struct(
+                "facet_index", "status", "reason", F.col("selected.document_id").alias("document_id"),
+                F.col("selected.table_index").alias("table_index"),
+            )
+        else:
+            item = F.struct("document_id", "table_index", "row_ranges", "total_rows", "is_partial")
+        listed = found.groupBy("query_id").agg(F.to_json(F.array_sort(F.collect_list(item))).alias(name))
+        logged = logged.join(listed, "query_id", "left")
+    return logged.select(
         F.col("query_id").alias("retrieval_log_id"),
         "project_id",
         "query",
         "mode",
         "top_k",
+        known("latency_ms", "int").alias("latency_ms"),
         F.struct(
             "vector_weight", "keyword_weight", "similarity_threshold", "reranker_enabled",
             F.when(F.col("reranker_enabled"), F.lit("keyword_overlap")).alias("reranker"),
+            known("table_intent", "boolean").alias("table_intent"),
+            known("is_full_table", "boolean").alias("full_table"),
+            known("is_compound", "boolean").alias("compound"),
+            F.col("_selection").alias("selection"),
+            F.col("_expansion").alias("expansion"),
+            F.lit(EVIDENCE_POLICY).alias("evidence_policy"),
         ).alias("retrieval_metadata"),
     )
 
@@ -35,9 +65,12 @@ def log_chunk_rows(results: DataFrame) -> DataFrame:
     )
 
 
-def write_logs(queries: DataFrame, results: DataFrame, path: str) -> None:
+def write_logs(
+    queries: DataFrame, results: DataFrame, path: str, outcomes: DataFrame | None = None, coverage: DataFrame | None = None
+) -> None:
     """Append both log tables."""
-    log_rows(queries).write.mode("append").partitionBy("project_id").parquet(f"{path}/logs")
+    rows = log_rows(queries, outcomes, coverage)
+    rows.write.mode("append").partitionBy("project_id").parquet(f"{path}/logs")
     log_chunk_rows(results).write.mode("append").partitionBy("project_id").parquet(
         f"{path}/log_chunks"
     )

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import json
 import random
 
 import pytest
@@ -8,7 +9,7 @@ from support import questions, table_cells
 
 from corpuslens import schema
 from corpuslens.functions import intent
-from corpuslens.operators import chunking, grids, tables
+from corpuslens.operators import chunking, grids, logs, tables
 from corpuslens.plans.retrieval import retrieve_full
 from corpuslens.session import durable
 from corpuslens.sources.sections import number_blocks
@@ -148,6 +149,19 @@ def test_expansion_replaces_hits_by_the_whole_table(spark, store):
     assert any(r.query_id == "row" and not r.expanded for r in rows)
 
 
+def test_logs_hold_choice_expansion_and_previews(spark, store, tmp_path):
+    found = ask(spark, store, ("one", "show the server list table"), ("row", "which role has ann"))
+    results = durable(found.results)
+    logs.write_logs(found.queries, results, str(tmp_path), found.outcomes, found.coverage)
+    rows = {r.retrieval_log_id: r.retrieval_metadata for r in spark.read.parquet(f"{tmp_path}/logs").collect()}
+    assert rows["one"].full_table and not rows["row"].full_table and rows["row"].expansion is None
+    assert json.loads(rows["one"].selection)[0]["document_id"] == "server_list"
+    assert json.loads(rows["one"].expansion)[0]["total_rows"] == 8
+    logged = logs.log_detail(spark.read.parquet(f"{tmp_path}/log_chunks"), store).collect()
+    assert len(logged) == results.count() and all(r.text_preview for r in logged)
+    assert "text" not in logs.result_view(results).columns
+
+
 def test_compound_question_shares_the_budget(spark, store):
     found = ask(spark, store, ("two", "show the server list and show the account list"), budget=30)
     status = {r.facet_index: (r.status, r.selected.document_id) for r in found.outcomes.collect()}
