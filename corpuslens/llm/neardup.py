@@ -9,8 +9,9 @@ Links are found without all pairs of a bucket:
 
 1. every class of a bucket is compared with the bucket's leader;
 2. components of these links are labelled; classes outside the largest component of a bucket are
-   compared with the classes of other components, unless their distances to the leader rule a link
-   out (Jaccard distance obeys the triangle inequality).
+   compared with the classes of other components, unless a bound rules a link out: the distances to
+   the leader (Jaccard distance obeys the triangle inequality), or the rarest shingles of both, of
+   which all common ones are known.
 
 A pair is first estimated jointly: the likelihood of the registers that are larger, smaller and
 equal, with both set sizes known.  What may reach the threshold is confirmed on the full sets.
@@ -38,11 +39,14 @@ from corpuslens.session import durable
 SHINGLE = 5
 PERCENT = 80
 #: Sketch: bands of rows; base, rate and limit of the registers.  At a similarity of 0.8 all bands
-#: miss with a probability of 5e-8.
-BANDS, ROWS = 32, 4
+#: miss with a probability of 1e-7.
+BANDS, ROWS = 40, 5
 BASE, RATE, LIMIT = 1.001, 20.0, 65_535
-#: Pairs estimated below are never linked: eight standard deviations under the threshold.
-LEAST_ESTIMATE = 0.45
+#: How far under the threshold an estimate may be: in the first step eleven standard deviations, as
+#: distances are taken from it, in the second five.
+FAR, NEAR = 0.35, 0.14
+#: The share of a set's shingles, rarest first, that bounds overlaps before the second step.
+RARE_SHARE = 0.3
 CHUNK = 1 << 15
 
 
@@ -119,6 +123,18 @@ def _sets(width: int):
     return run
 
 
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, set) -> one row per shingle."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, 512):
+            batch = whole.slice(at, 512)
+            sets = [np.frombuffer(s.as_buffer(), np.int64) for s in batch.column(1)]
+            row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(row)), pa.array(np.concatenate(sets))], names=["node", "shingle"]
+            )
+
+
 def _estimates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for at in range(0, whole.num_rows, 4096):
@@ -142,12 +158,12 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _estimated(pairs: DataFrame, classes: DataFrame, kind: str) -> DataFrame:
+def _estimated(pairs: DataFrame, classes: DataFrame, kind: str, least: float) -> DataFrame:
     """Pairs (a, b) that may be linked, by their sketches."""
     side = lambda x: classes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("registers").alias(f"r_{x}"))
     found = pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b")
     found = found.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(_estimates, f"a {kind}, b {kind}, estimate double")
-    return found.filter(F.col("estimate") >= LEAST_ESTIMATE).select("a", "b").distinct()
+    return found.filter(F.col("estimate") >= least).select("a", "b").distinct()
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, kind: str) -> DataFrame:
@@ -185,11 +201,13 @@ def near_duplicates(
     )
     buckets = classes.select(band.alias("bucket"), "node")
     leaders = buckets.groupBy("bucket").agg(
-        F.min(F.struct(F.xxhash64("node", "bucket").alias("h"), "node"))["node"].alias("leader"), F.count("*").alias("size")
+        F.min("node").alias("leader"), F.count("*").alias("size")  # the least: mostly the same in all bands
     )
-    members = durable(buckets.join(leaders.filter("size > 1").drop("size").hint("merge"), "bucket"))
+    # A table of its own, so that the join on a large bucket can be split.
+    leaders = durable(leaders.filter("size > 1").drop("size"))
+    members = durable(buckets.join(leaders.hint("merge"), "bucket"))
     stars = members.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    near = durable(_estimated(stars, classes, kind))
+    near = durable(_estimated(stars, classes, kind, percent / 100 - FAR))
     needed = members.select(F.col("node").alias("id")).distinct()
     sets = durable(read.join(needed.hint("merge"), "id", "left_semi").mapInArrow(_sets(shingle), f"node {kind}, set binary"))
     first = durable(_confirmed(near, sets, kind))
@@ -207,7 +225,23 @@ def near_duplicates(
         .join(away, ["leader", "node"], "left")
         .select("bucket", "node", "comp", "most", "d")
     )
+    alive = placed.select("node").distinct()
+    each = sets.join(alive.hint("merge"), "node", "left_semi").mapInArrow(_each, f"node {kind}, shingle long")
+    rarity = each.groupBy("shingle").agg(F.least(F.count("*"), F.lit((1 << 20) - 1)).alias("df"))
+    # Shingles as numbers that sort by rarity; equal numbers of different ones only weaken the bound.
+    code = F.shiftleft("df", 43).bitwiseOR(F.col("shingle").bitwiseAND(F.lit((1 << 43) - 1)))
+    single = classes.groupBy("node").agg(F.count("*").alias("texts"), F.max("n").alias("n")).filter("texts = 1").drop("texts")
+    codes = each.join(rarity.hint("merge"), "shingle").select("node", code.alias("code")).groupBy("node").agg(
+        F.array_sort(F.collect_set("code")).alias("rare")  # of one document
+    )
+    codes = codes.join(single, "node").select("node", "n", F.slice("rare", F.lit(1), (F.col("n") * RARE_SHARE).cast("int") + 1).alias("rare"))
+    placed = durable(placed.join(codes.hint("merge"), "node", "left"))
     x, y = placed.filter("comp <> most").alias("x"), placed.alias("y")
+    # Up to the lesser end of both lists every common shingle is known; behind it all may be common.
+    last = F.least(F.element_at("x.rare", -1), F.element_at("y.rare", -1))
+    behind = lambda side: F.col(f"{side}.n") - F.size(F.filter(f"{side}.rare", lambda c: c <= last))
+    most = F.size(F.array_intersect("x.rare", "y.rare")) + F.least(behind("x"), behind("y"))
+    shareable = F.coalesce((100 + percent) * most >= percent * (F.col("x.n") + F.col("y.n")), F.lit(True))
     span = 1 - percent / 100 + 1e-9
     near_ = (
         F.when(F.col("x.d").isNull() & F.col("y.d").isNull(), True)
@@ -215,10 +249,10 @@ def near_duplicates(
         .when(F.col("y.d").isNull(), F.col("x.d") >= span - 2e-9)
         .otherwise(F.abs(F.col("x.d") - F.col("y.d")) <= span)
     )
-    rest = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.comp") != F.col("y.comp")) & near_).select(
+    rest = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.comp") != F.col("y.comp")) & near_ & shareable).select(
         F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")
     )
-    second = durable(_confirmed(_estimated(rest.distinct(), classes, kind), sets, kind).filter(linked))
+    second = durable(_confirmed(_estimated(rest.distinct(), classes, kind, percent / 100 - NEAR), sets, kind).filter(linked))
     if not second.isEmpty():
         labels = components(first.filter(linked).select("a", "b").union(second.select("a", "b")))
     of_class = classes.select("k1", "k2", "n", "node").join(labels, "node", "left").select(
