@@ -269,5 +269,9 @@ def near_duplicates(
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` that are the first of their component, as they are."""
-    gone = near_duplicates(docs, id_col=id_col, **options).filter("not kept").select(F.col(f"`{id_col}`").alias("_gone")).distinct()
-    return docs.join(gone, integer_id(docs, id_col) == F.col("_gone"), "left_anti")
+    name = "_gone"
+    while name in docs.columns:
+        name += "_"
+    found = near_duplicates(docs, id_col=id_col, **options).filter("not kept")
+    gone = found.select(F.col(f"`{id_col}`").alias(name)).distinct()
+    return docs.join(gone, integer_id(docs, id_col) == F.col(name), "left_anti")
