@@ -35,7 +35,7 @@ WINDOW = 200
 #: Bytes of the grams that anchors are chosen from; a power of two.
 GRAM = 32
 #: Places that one pass works on, bytes of one index, and segments of an anchor that one may hold.
-BLOCK, SHARD_BYTES, ANCHOR_SEGMENTS = 1 << 20, 1 << 20, 2048
+BLOCK, SHARD_BYTES, ANCHOR_SEGMENTS = 1 << 20, 1 << 20, 8192
 _ODD = [np.uint64(0x9E3779B97F4A7C15 + 2 * 0x632BE5AB0F0E1D * k) for k in range(16)]
 _PLACE = np.uint64((1 << 24) - 1)
 
@@ -196,7 +196,7 @@ def remove_repeats(
     rows = docs.select(integer_id(docs, id_col).alias("id"), F.xxhash64(text, integer_id(docs, id_col)).alias("key"), text.alias("text"))
     found = durable(rows.mapInArrow(_find(window, gram), f"id {kind}, key long, segments {_SEGMENTS}"))
     each = found.select("id", "key", F.explode("segments").alias("s")).select("id", "key", "s.*")
-    twice = (
+    twice = durable(  # a table of its own, so that the join on a frequent anchor can be split
         each.groupBy("anchor").agg(F.count("*").alias("n"), F.min("segment").alias("a"), F.max("segment").alias("b"))
         .filter("n > 1").select("anchor", (F.col("a") != F.col("b")).alias("mixed"))
     )
