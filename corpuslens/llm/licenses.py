@@ -6,8 +6,8 @@ banded, and the number of bands follows from the least Jaccard similarity an occ
 with its window, so that a band collides with at least the promised probability.  Windows that
 share a band with a template are verified by exact containment of its shingles.
 
-Documents without any word of a set that meets every template shingle cannot hold one and are left
-out before; this loses nothing.
+Windows without any shingle of any template cannot hold one and are left out before they are hashed;
+this loses nothing.
 
 Words: lower case, ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``.  Cases: a null text, or one of fewer than
 five words, has no shingle and no match; texts of any length are scanned whole; a template of fewer
@@ -25,11 +25,14 @@ from pyspark.sql import functions as F
 
 from corpuslens.functions.joins import join_small
 from corpuslens.llm.common import integer_id
+from corpuslens.session import durable
 
 SHINGLE = 5
 CONTAINMENT = 0.8
 #: A template that is there is missed by all bands with at most this probability.
 MISS = 1e-4
+#: Template shingles that documents are held against before their windows are hashed.
+GATE_SHINGLES = 20_000
 SPLIT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 # Public licence notices by SPDX id.
@@ -101,13 +104,23 @@ def _prepared(found: DataFrame) -> DataFrame:
     )
 
 
-def _gate(wanted: DataFrame, limit: int = 2000) -> str | None:
-    """A pattern of the longest word of every shingle; none if there are more than the limit."""
-    longest = F.transform(
-        "wanted", lambda s: F.array_max(F.transform(F.split(s, " "), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+def shingle_hashes(found: Column) -> Column:
+    """One hash per shingle, from one hash per word."""
+    own = F.transform(found, lambda w: F.xxhash64(w))
+    places = F.when(F.size(found) >= SHINGLE, F.sequence(F.lit(1), F.size(found) - SHINGLE + 1)).otherwise(
+        F.array().cast("array<int>")
     )
-    found = [r["w"] for r in wanted.select(F.explode(longest).alias("w")).distinct().limit(limit + 1).collect()]
-    return None if len(found) > limit else "(?i)" + "|".join(f"\\Q{w}\\E" for w in sorted(found))
+    return F.flatten(
+        F.transform(F.array(own), lambda h: F.transform(places, lambda i: F.xxhash64(F.slice(h, i, F.lit(SHINGLE)))))
+    )
+
+
+def _gate(wanted: DataFrame, hash_of: Column, limit: int = GATE_SHINGLES) -> Column | None:
+    """All template shingles as one array; none if there are more than the limit."""
+    found = [r["h"] for r in wanted.select(F.explode(hash_of).alias("h")).distinct().limit(limit + 1).collect()]
+    if len(found) > limit:
+        return None
+    return F.split(F.lit(",".join(map(str, sorted(found)))), ",").cast("array<long>")
 
 
 def find_licenses(
@@ -123,25 +136,40 @@ def find_licenses(
     containment and first_word (place of the first template shingle in the best window)."""
     spark = docs.sparkSession
     wanted = _prepared(licenses if licenses is not None else templates(spark))
-    wanted = wanted.select(F.xxhash64("license_id", "wanted").alias("template"), "license_id", "wanted", "class")
+    wanted = durable(wanted.select(F.xxhash64("license_id", "wanted").alias("template"), "license_id", "wanted", "class"))
     text = F.col(f"`{text_col}`")
-    rows = docs.filter(text.isNotNull())
-    gate = _gate(wanted)
-    if gate is not None:
-        rows = rows.filter(text.rlike(gate))
-    rows = rows.select(
-        F.monotonically_increasing_id().alias("row"), integer_id(docs, id_col).alias("id"), words(text).alias("words")
-    ).filter(F.size("words") >= SHINGLE)
     numbers = sorted(r["class"] for r in wanted.select("class").distinct().collect())
     classes = [Class(n, containment, miss) for n in numbers]  # one per doubling of length
-    hashes = F.transform(
-        F.sequence(F.lit(1), F.size("words") - SHINGLE + 1), lambda i: F.xxhash64(F.slice("words", i, F.lit(SHINGLE)))
+    hash_of = F.transform("wanted", lambda s: F.xxhash64(F.transform(F.split(s, " "), lambda w: F.xxhash64(w))))
+    rows = docs.filter(text.isNotNull()).select(
+        F.monotonically_increasing_id().alias("row"), integer_id(docs, id_col).alias("id"), words(text).alias("words")
     )
-    rows = rows.withColumn("hashes", hashes)
+    rows = rows.filter(F.size("words") >= SHINGLE).withColumn("hashes", shingle_hashes(F.col("words")))
+    gate = _gate(wanted, hash_of)
+    if gate is not None:
+        rows = rows.filter(F.arrays_overlap("hashes", gate))
+        places = F.sequence(F.lit(0), F.size("hashes") - 1)
+        at = F.filter(places, lambda i: F.array_contains(gate, F.get("hashes", i)))
+        rows = rows.withColumn("at", at)
 
     def windows(c: Class) -> Column:
         last = F.greatest(F.size("hashes") - F.lit(c.window), F.lit(0))
-        starts = F.array_distinct(F.concat(F.sequence(F.lit(0), last, F.lit(c.stride)), F.array(last)))
+        if gate is None:
+            starts = F.concat(F.sequence(F.lit(0), last, F.lit(c.stride)), F.array(last))
+        else:  # the windows that hold a template shingle
+            first = lambda p: F.greatest(F.ceil((p - (c.window - 1)) / F.lit(c.stride)), F.lit(0)).cast("int")
+            starts = F.flatten(
+                F.transform(
+                    "at",
+                    lambda p: F.transform(
+                        F.when(first(p) <= F.floor(p / F.lit(c.stride)), F.sequence(first(p), F.floor(p / F.lit(c.stride)).cast("int"))).otherwise(F.array().cast("array<int>")),
+                        lambda k: F.least(k * c.stride, last),
+                    ),
+                )
+            )
+            # The last window is cut to the end of the text.
+            starts = F.concat(starts, F.when(F.exists("at", lambda p: p >= last), F.array(last)).otherwise(F.array().cast("array<int>")))
+        starts = F.array_distinct(starts)
         return F.flatten(
             F.transform(
                 starts,
@@ -152,7 +180,6 @@ def find_licenses(
             )
         )
 
-    hash_of = F.transform("wanted", lambda s: F.xxhash64(F.split(s, " ")))
     keys = None
     for c in classes:
         own = wanted.filter(F.col("class") == c.number).select("template", "license_id", "wanted", F.explode(c.signature(hash_of)).alias("band"))
