@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from support import chunk_rows, pool, questions
 
 from corpuslens.functions import joins
+from corpuslens.functions import text as tx
 from corpuslens.operators import evidence, fusion, keyword, rerank, vector
 from corpuslens.operators.postings import build_postings, chunk_terms, explode_terms
 
@@ -258,3 +259,11 @@ def test_request_validation_and_limits(spark):
     assert got == {"a": None, "b": "query must not be empty", "c": "top_k is out of range"}
     wide = spark.range(1).select(fusion.pool_limit(F.lit("hybrid"), F.lit(8), F.lit(True), F.lit(8)))
     assert wide.first()[0] == 120
+
+
+def test_folding_equals_full_case_folding(spark):
+    """Every character whose folding is not its lower case, alone and inside a word."""
+    chars = [c for c in map(chr, range(0x80, 0x110000)) if not 0xD800 <= ord(c) < 0xE000 and c.casefold() != c.lower()]
+    df = spark.createDataFrame([(c,) for c in chars] + [(f"5 {c}B",) for c in chars], "c string")
+    got = df.select("c", tx.casefold(F.col("c")).alias("f")).collect()
+    assert [r.c for r in got if r.f != r.c.casefold()] == []
