@@ -27,7 +27,7 @@ from corpuslens.llm.common import flat, integer_id, steps, type_of
 from corpuslens.llm.fmindex import FMIndex
 
 WINDOW = 10
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 #: Bytes of benchmark text in one broadcast.
 BLOCK_BYTES = 8 << 20
 

@@ -244,7 +244,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _score(models):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters, known = Letters(), models.value
-        for batch in steps(batches, limit=2 * STEP):
+        for batch in steps(batches, limit=STEP):
             column = batch.column(batch.schema.get_field_index("text"))
             entropy, count = known.entropies(column, letters) if known.languages else (np.zeros((batch.num_rows, 1)), np.zeros(batch.num_rows, np.int64))
             best, score, rejected = known.judge(entropy, count)
