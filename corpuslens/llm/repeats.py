@@ -125,12 +125,19 @@ def _cut_out(window: int):
     return run
 
 
+def _runs(places: np.ndarray) -> list[int]:
+    """First and last place of each run of neighbouring places, one after another."""
+    cut = np.flatnonzero(np.diff(places) > 1)
+    first, last = np.append(places[0], places[cut + 1]), np.append(places[cut], places[-1])
+    return np.stack([first, last], axis=1).ravel().tolist()
+
+
 def _index(window: int):
     def run(shard: pd.DataFrame) -> pd.DataFrame:
         shard = shard.drop_duplicates(["anchor", "segment"])
         found = repeated_windows([bytes(b) for b in shard.bytes], window)
-        rows = [(a, s, f.tolist()) for a, s, f in zip(shard.anchor, shard.segment, found, strict=True) if len(f)]
-        return pd.DataFrame(rows, columns=["anchor", "segment", "places"])
+        rows = [(a, s, _runs(f)) for a, s, f in zip(shard.anchor, shard.segment, found, strict=True) if len(f)]
+        return pd.DataFrame(rows, columns=["anchor", "segment", "runs"])
 
     return run
 
@@ -218,16 +225,25 @@ def remove_repeats(
     total = pieces.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
     shards = max(1, total // shard_bytes)
     calm = pieces.filter("crowded is null").select(F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"), "anchor", "segment", "bytes")
-    marks = calm.groupBy("shard").applyInPandas(_index(window), "anchor long, segment long, places array<long>")
+    marks = calm.groupBy("shard").applyInPandas(_index(window), "anchor long, segment long, runs array<long>")
     windows = pieces.filter("crowded").select("anchor", "segment", "bytes").mapInArrow(_hashes(window), "anchor long, segment long, place long, hash binary")
     again = windows.distinct().groupBy("anchor", "hash").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    split = windows.distinct().join(again, ["anchor", "hash"]).groupBy("anchor", "segment").agg(F.collect_list("place").alias("places"))
+    split = windows.distinct().join(again, ["anchor", "hash"]).groupBy("anchor", "segment").agg(
+        F.flatten(F.collect_list(F.array("place", "place"))).alias("runs")
+    )
     marks = durable(marks.unionByName(split))
 
     whole = mixed.filter("n > 1").select("anchor", "segment", F.lit(True).alias("whole"))
     judged = hits.join(whole.join(marks, ["anchor", "segment"], "full"), ["anchor", "segment"], "left")
     all_ = F.array(F.struct(F.col("start"), (F.col("start") + F.col("windows") + window - 1).alias("end")))
-    some = F.transform("places", lambda p: F.struct((F.col("start") + p).alias("start"), (F.col("start") + p + window).alias("end")))
+    some = F.transform(
+        F.sequence(F.lit(0), (F.size("runs") / 2).cast("int") - 1),
+        lambda k: F.struct(
+            (F.col("start") + F.get("runs", 2 * k)).alias("start"),
+            (F.col("start") + F.get("runs", 2 * k + 1) + window).alias("end"),
+        ),
+    )
+    some = F.when(F.size("runs") > 0, some)
     spans = F.when(~F.col("mixed") | F.col("whole"), all_).otherwise(some)
     gone = (
         judged.select("id", "key", spans.alias("spans")).filter(F.size("spans") > 0)
