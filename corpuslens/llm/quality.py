@@ -2,9 +2,7 @@
 n-grams between a trusted target and the raw corpus.
 
 Words and word pairs of a text are hashed to a fixed number of buckets.  Two multinomials are
-counted: one over the trusted documents (a bounded number of labelled rows), one over the whole
-corpus.  A document's
-score is its mean log ratio per n-gram; it passes if the score is at least a threshold, which is a
+counted: one over all trusted documents, one over the whole corpus.  A document's score is its mean log ratio per n-gram; it passes if the score is at least a threshold, which is a
 low quantile of the trusted documents' own scores less a margin, so the verdict of every document
 follows from its text and the two counts alone.
 
@@ -27,8 +25,6 @@ SMOOTHING = 1.0
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
-#: Trusted documents that are learned from: all up to this number, else the first by hash.
-TRUSTED_DOCS = 100_000
 #: The share of trusted documents that may lie below the threshold, and the margin under it.
 TARGET_QUANTILE = 0.002
 MARGIN = 0.1
@@ -98,34 +94,35 @@ def base_rules(text: Column, hashes: Column) -> dict[str, Column]:
     }
 
 
-def _ids(trusted: DataFrame, id_col: str, most: int) -> DataFrame:
-    """The first ``most`` ids by hash, small enough to be sent to every task."""
+def _of(rows: DataFrame, trusted: DataFrame, id_col: str) -> DataFrame:
+    """The rows whose ``id`` is trusted.  Both sides are dealt by id at every size; a task hashes its
+    part of the ids, and texts are not sorted."""
     ids = trusted.select(F.col(f"`{id_col}`").alias("id")).filter("id is not null").distinct()
-    return F.broadcast(ids.orderBy(F.xxhash64("id"), "id").limit(most))
+    return rows.filter("id is not null").join(ids.hint("shuffle_hash"), "id", "left_semi")
 
 
-def counts(docs: DataFrame, trusted: DataFrame | None, *, id_col: str, text_col: str, buckets: int, most: int) -> DataFrame:
-    """(bucket, raw, target): n-gram counts over all documents and over the trusted ones, of which
-    at most ``most`` are learned from."""
+def counts(docs: DataFrame, trusted: DataFrame | None, *, id_col: str, text_col: str, buckets: int) -> tuple[DataFrame, DataFrame | None]:
+    """(bucket, n): n-gram counts over all documents, and over all trusted ones."""
     rows = docs.select(integer_id(docs, id_col).alias("id"), F.col(f"`{text_col}`").alias("text"))
-    if trusted is None:
-        rows = rows.withColumn("trusted", F.lit(0))
-    else:
-        rows = rows.join(_ids(trusted, id_col, most).withColumn("trusted", F.lit(1)), "id", "left")
-    found = rows.select(F.coalesce("trusted", F.lit(0)).alias("trusted"), hashed(words(F.col("text"))).alias("hashes"))
-    grams = found.select("trusted", F.explode(n_grams(F.col("hashes"), buckets)).alias("bucket"))
-    return grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("trusted").alias("target"))
 
+    def count(rows: DataFrame) -> DataFrame:
+        found = rows.select(hashed(words(F.col("text"))).alias("hashes"))
+        grams = found.select(F.explode(n_grams(F.col("hashes"), buckets)).alias("bucket"))
+        return grams.groupBy("bucket").agg(F.count("*").alias("n"))
 
-def ratios(found: DataFrame, buckets: int, smoothing: float = SMOOTHING) -> list[float]:
-    """Log ratio target / raw of every bucket; the table has ``buckets`` rows at most."""
+    return count(rows), None if trusted is None else count(_of(rows, trusted, id_col))
+
+
+def ratios(every: DataFrame, trusted: DataFrame | None, buckets: int, smoothing: float = SMOOTHING) -> list[float]:
+    """Log ratio target / raw of every bucket; each table has ``buckets`` rows at most."""
     import math
 
     raw, target = [0] * buckets, [0] * buckets
-    for row in found.collect():
-        raw[row["bucket"]], target[row["bucket"]] = row["raw"], row["target"]
-    if not sum(target):
-        return [0.0] * buckets
+    for found, into in ((trusted, target), (every, raw)):
+        for row in found.collect() if found is not None else ():
+            into[row["bucket"]] = row["n"]
+        if not sum(target):
+            return [0.0] * buckets
     a, b = sum(target) + smoothing * buckets, sum(raw) + smoothing * buckets
     return [math.log((t + smoothing) / a) - math.log((r + smoothing) / b) for r, t in zip(raw, target, strict=True)]
 
@@ -148,13 +145,12 @@ def judge(
     quantile: float = TARGET_QUANTILE,
     margin: float = MARGIN,
     threshold: float | None = None,
-    most_trusted: int = TRUSTED_DOCS,
     min_words: int = MIN_WORDS,
     max_repeat_percent: int = MAX_REPEAT_PERCENT,
 ) -> DataFrame:
     """Per row: the id, the base figures, base_failed, score and kept.  ``trusted`` has the ids of
     the target documents; a given threshold is taken as it is."""
-    table = ratios(counts(docs, trusted, id_col=id_col, text_col=text_col, buckets=buckets, most=most_trusted), buckets)
+    table = ratios(*counts(docs, trusted, id_col=id_col, text_col=text_col, buckets=buckets), buckets)
     rows = docs.select(integer_id(docs, id_col).alias("id"), F.col(f"`{text_col}`").alias("text"))
     split = rows.withColumn("hashes", hashed(words(F.col("text"))))
     rules = base_rules(F.col("text"), F.col("hashes"))
@@ -163,8 +159,7 @@ def judge(
         threshold = float("-inf")
         if trusted is not None:
             judged = durable(judged)  # every text is judged once; the quantile reads two columns
-            low = judged.select("id", "score").join(_ids(trusted, id_col, most_trusted), "id", "left_semi")
-            low = low.agg(F.percentile_approx("score", quantile, 10_000)).first()[0]
+            low = _of(judged.select("id", "score"), trusted, id_col).agg(F.percentile_approx("score", quantile, 10_000)).first()[0]
             threshold = float("-inf") if low is None else low - margin
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     return judged.select(

@@ -61,6 +61,16 @@ def test_ratio_equals_brute_force(spark, rng):
     assert all(verdict[k] == bool(k % 2) for k in range(20))
 
 
+def test_every_trusted_document_counts(spark):
+    """120,000 trusted rows, among them one odd text whose id comes last by hash."""
+    ids = spark.range(120_000).withColumnRenamed("id", "doc_id")
+    odd = ids.orderBy(F.xxhash64("doc_id").desc()).first()[0]
+    docs = ids.withColumn("text", F.when(F.col("doc_id") == odd, "zz").otherwise("a b"))
+    raw, target = quality.counts(docs, ids, id_col="doc_id", text_col="text", buckets=64)
+    assert sorted(map(tuple, raw.collect())) == sorted(map(tuple, target.collect()))
+    assert quality.judge(docs, ids, buckets=64, margin=0.0, min_words=1).filter("not kept").count() == 0
+
+
 def test_empty(spark):
     docs, trusted = spark.createDataFrame([], DOCS), spark.createDataFrame([], TRUSTED)
     assert quality.judge(docs, trusted).count() == 0
