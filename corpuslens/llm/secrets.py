@@ -1,10 +1,11 @@
 """Secret scans with DataFrame functions only.
 
 Three fixed patterns give the base spans.  Two character Markov models add others: one of random
-strings, one of ordinary identifiers, both trained from labelled samples.  A candidate is a run of
-key characters of some length that no base span covers; it becomes a ``model`` span if its mean
-log-likelihood ratio per character (random against ordinary) reaches a threshold fitted on the
-samples.
+strings, one of ordinary identifiers, both trained from labelled samples.  A candidate is what base
+spans leave of a run of key characters, if it has some length.  Its segments of maximal sum of the
+log-likelihood ratios per step (random against ordinary) are ``model`` spans where the sum reaches a
+threshold fitted on the samples, so words beside a key do not outweigh it; a span is widened to the
+next ``/ = - _`` or the candidate's end.
 
 Places are taken from splitting: the pieces between matches and the matches themselves give every
 start, in code points.
@@ -31,12 +32,17 @@ HEX = r"[0-9a-f]+"
 LEAST = {"assign": 12, "access": 18, "hex": 16}
 
 #: A candidate of the models, and its least length.
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+LEAST_RUN = 20
+CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{LEAST_RUN},}}"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
+DELIMITERS = "/_=-"
+#: The least length of a model span.
+LEAST_MODEL = 16
 #: Labelled rows used to fit the models: about so many documents, so many strings of each label.
 SAMPLE_DOCS = 20_000
 SAMPLE_ROWS = 5000
-#: The share of ordinary samples that may reach the threshold.
+#: The share of ordinary samples that may reach the threshold, which is also the likelihood ratio
+#: that a segment has at least.
 FALSE_ALARMS = 0.001
 REPLACEMENT = "[secret]"
 
@@ -102,39 +108,94 @@ class Markov:
                     if a in at and b in at:
                         count[at[a]][at[b]] += 1
             tables.append([[math.log(x / sum(row)) for x in row] for row in count])
-        self.ratio = [r - o for a, b in zip(*tables) for r, o in zip(a, b)]
+        # A step to a delimiter is no evidence of a key; else words before one would belong to it.
+        self.ratio = [min(r - o, 0.0) if c in DELIMITERS else r - o for a, b in zip(*tables) for c, r, o in zip(ALPHABET, a, b)]
+        self.threshold = math.log(1 / FALSE_ALARMS)
         scores = sorted(self.score(w) for w in ordinary if len(w) > 1)
-        high = scores[min(len(scores) - 1, int(len(scores) * (1 - FALSE_ALARMS)))] if scores else 0.0
-        good = sorted(self.score(w) for w in random if len(w) > 1)
-        low = good[int(len(good) * 0.02)] if good else math.inf
-        # Between both samples where they are apart; above the ordinary ones in any case.
-        self.threshold = max(high, (high + low) / 2 if low < math.inf else 1.0, 0.05)
+        if scores:
+            high = scores[min(len(scores) - 1, int(len(scores) * (1 - FALSE_ALARMS)))]
+            self.threshold = max(self.threshold, high + 1e-3)
 
     def score(self, word: str) -> float:
+        """The maximal sum of the ratios of a segment."""
         at, n = _pairs(), len(ALPHABET)
-        known = [at[a] * n + at[b] for a, b in zip(word, word[1:]) if a in at and b in at]
-        return sum(self.ratio[k] for k in known) / max(1, len(word) - 1)
-
-    def column(self, word: Column) -> Column:
-        """Mean log-likelihood ratio per step of a string of the alphabet."""
+        total = top = 0.0
+        for a, b in zip(word, word[1:]):
+            total = max(0.0, total + (self.ratio[at[a] * n + at[b]] if a in at and b in at else 0.0))
+            top = max(top, total)
+        return top
+
+    def _walk(self, word: Column) -> Column:
+        """``top``, the maximal sum of a segment, and ``spans``, the segments that reach the threshold,
+        each from the delimiter before it.  A segment is over where its sum is used up or is the
+        threshold below its best, so a key that follows is one of its own."""
         n = len(ALPHABET)
         values = F.split(F.lit(",".join(f"{x:.5f}" for x in self.ratio)), ",").cast("array<double>")
-        total = F.aggregate(
-            F.split(word, ""),
-            F.struct(F.lit(-1).alias("last"), F.lit(0.0).alias("sum")),
-            lambda s, c: F.struct(
-                (F.position(c, F.lit(ALPHABET)) - 1).alias("last"),
-                (
-                    s["sum"]
-                    + F.when(
-                        (s["last"] >= 0) & (c != "") & (F.position(c, F.lit(ALPHABET)) > 0),
-                        F.get(values, s["last"] * n + F.position(c, F.lit(ALPHABET)) - 1),
-                    ).otherwise(0.0)
-                ).alias("sum"),
+        codes = F.transform(F.filter(F.split(word, ""), lambda c: c != ""), lambda c: F.position(c, F.lit(ALPHABET)) - 1)
+        steps = F.flatten(
+            F.transform(
+                F.array(codes),
+                lambda cs: F.transform(
+                    cs,
+                    lambda c, i: F.struct(
+                        F.when((i > 0) & (c >= 0) & (F.get(cs, i - 1) >= 0), F.get(values, F.get(cs, i - 1) * n + c)).otherwise(0.0).alias("x"),
+                        c.isin([ALPHABET.index(d) for d in DELIMITERS]).alias("cut"),
+                    ),
+                ),
+            )
+        )
+        none = F.array().cast("array<struct<start:int,end:int>>")
+        kept = lambda s: F.when(
+            s["best"] >= self.threshold, F.concat(s["spans"], F.array(F.struct(s["left"].alias("start"), s["end"].alias("end"))))
+        ).otherwise(s["spans"])
+
+        def step(s: Column, c: Column) -> Column:
+            total = s["sum"] + c["x"]
+            cut = F.when(c["cut"], s["at"] + 1).otherwise(s["cut"])
+            over = (total <= 0) | (s["best"] - total >= self.threshold)
+            return F.struct(
+                (s["at"] + 1).alias("at"),
+                cut.alias("cut"),
+                F.when(over, 0.0).otherwise(total).alias("sum"),
+                F.when(over, 0.0).otherwise(F.greatest(s["best"], total)).alias("best"),
+                F.when(over, cut).otherwise(s["left"]).alias("left"),
+                F.when(~over & (total > s["best"]), s["at"] + 1).otherwise(s["end"]).alias("end"),
+                F.greatest(s["top"], total).alias("top"),
+                F.when(over, kept(s)).otherwise(s["spans"]).alias("spans"),
+            )
+
+        zero = [F.lit(v).alias(k) for k, v in (("at", 0), ("cut", 0), ("sum", 0.0), ("best", 0.0), ("left", 0), ("end", 0), ("top", 0.0))]
+        return F.aggregate(
+            steps, F.struct(*zero, none.alias("spans")), step, lambda s: F.struct(s["top"].alias("top"), kept(s).alias("spans"))
+        )
+
+    def column(self, word: Column) -> Column:
+        """``score`` of a string of the alphabet."""
+        return self._walk(word)["top"]
+
+    def spans(self, word: Column) -> Column:
+        """(start, end) of the model spans of a string, each up to the next delimiter, joined where
+        they overlap."""
+        slashed = F.translate(word, DELIMITERS, "/" * len(DELIMITERS))
+        wide = F.transform(
+            self._walk(word)["spans"],
+            lambda s: F.struct(
+                s["start"].alias("start"),
+                (s["end"] + F.length(F.substring_index(slashed.substr(s["end"] + 1, F.length(word)), "/", 1))).alias("end"),
             ),
-            lambda s: s["sum"],
         )
-        return total / F.greatest(F.length(word) - 1, F.lit(1))
+        joined = F.aggregate(
+            wide,
+            F.array().cast("array<struct<start:int,end:int>>"),
+            lambda out, s: F.when(
+                (F.size(out) > 0) & (s["start"] < F.get(out, F.size(out) - 1)["end"]),
+                F.concat(
+                    F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0))),
+                    F.array(F.struct(F.get(out, F.size(out) - 1)["start"].alias("start"), F.greatest(F.get(out, F.size(out) - 1)["end"], s["end"]).alias("end"))),
+                ),
+            ).otherwise(F.concat(out, F.array(s))),
+        )
+        return F.filter(joined, lambda s: s["end"] - s["start"] >= LEAST_MODEL)
 
 
 def labelled_samples(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS, rows: int = SAMPLE_ROWS) -> tuple[list[str], list[str]]:
@@ -158,7 +219,25 @@ def labelled_samples(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     ordinary = first(part.filter(~has).select(F.explode(long_).alias("w")))
     joints = ["_", "-", "/", ""]
     joined = [a[:16] + joints[k % 4] + b[:16] for k, (a, b) in enumerate(zip(ordinary, ordinary[1:]))]
-    return random, ordinary + joined
+    # Paths of eight, as long runs are.
+    joints = ["/", "_", "-", "=", "/", "-", "_", ""]
+    paths = ["".join(w[:16] + joints[(k + j) % 8] for j, w in enumerate(ordinary[k : k + 8])) for k in range(len(ordinary) - 7)]
+    return random, ordinary + joined + paths
+
+
+def _left(run: Column, base: Column) -> Column:
+    """What the base spans, which are sorted by start, leave of a run."""
+    piece = lambda a, b: F.when(a < b, F.array(F.struct(a.alias("start"), b.alias("end")))).otherwise(
+        F.array().cast("array<struct<start:int,end:int>>")
+    )
+    return F.aggregate(
+        F.filter(base, lambda b: (b["start"] < run["end"]) & (run["start"] < b["end"])),
+        F.struct(run["start"].alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out")),
+        lambda s, b: F.struct(
+            F.greatest(s["at"], b["end"]).alias("at"), F.concat(s["out"], piece(s["at"], b["start"])).alias("out")
+        ),
+        lambda s: F.concat(s["out"], piece(s["at"], run["end"])),
+    )
 
 
 def find_secrets(
@@ -185,11 +264,18 @@ def find_secrets(
     base = F.array_sort(F.concat(*[tagged(F.col(f"_{k}"), n) for n, k in enumerate(KINDS[:3])]))
     rows = rows.withColumn("_base", base)
     text = F.col("text")
-    free = F.filter(
-        _where(text, CANDIDATE, text.rlike(CANDIDATE)),
-        lambda s: ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])),
+    runs = _where(text, CANDIDATE, text.rlike(CANDIDATE))
+    free = F.filter(F.flatten(F.transform(runs, lambda r: _left(r, F.col("_base")))), lambda s: s["end"] - s["start"] >= LEAST_RUN)
+    rows = rows.withColumn("_free", free)
+    more = F.flatten(
+        F.transform(
+            "_free",
+            lambda g: F.transform(
+                model.spans(text.substr(g["start"] + 1, g["end"] - g["start"])),
+                lambda s: F.struct((g["start"] + s["start"]).alias("start"), (g["start"] + s["end"]).alias("end")),
+            ),
+        )
     )
-    more = F.filter(free, lambda s: model.column(text.substr(s["start"] + 1, s["end"] - s["start"])) >= F.lit(model.threshold))
     rows = rows.withColumn("_more", more)
     every = F.array_sort(F.concat("_base", tagged(F.col("_more"), 3)))
     named = lambda c: F.transform(
