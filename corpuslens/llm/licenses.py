@@ -19,6 +19,7 @@ ignored.
 from __future__ import annotations
 
 import math
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,24 +34,13 @@ CONTAINMENT = 0.8
 MISS = 1e-4
 #: Template shingles that documents are held against before their windows are hashed.
 GATE_SHINGLES = 20_000
+#: Words of a stretch in which overlapping hits meet.
+STRETCH = 256
 SPLIT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
-# Public licence notices by SPDX id.
-TEMPLATES = (
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."),
-    ("MIT", "Released under the MIT License"),
-    ("MIT", "Licensed under the MIT License"),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3"),
-    ("GPL-2.0-or-later", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
-    ("GPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
-)
+#: Public licence notices by SPDX id: a line each, id and text.
+NOTICES = Path(__file__).with_name("spdx_notices.tsv")
+TEMPLATES = tuple(tuple(line.split("\t")) for line in NOTICES.read_text(encoding="utf-8").splitlines())
 
 
 def templates(spark: SparkSession) -> DataFrame:
@@ -123,6 +113,29 @@ def _gate(wanted: DataFrame, hash_of: Column, limit: int = GATE_SHINGLES) -> Col
     return F.split(F.lit(",".join(map(str, sorted(found)))), ",").cast("array<long>")
 
 
+def _resolved(hits: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The hits that no overlapping relative of another id beats.  Hits meet in the stretches of
+    words that they touch, so a long text is not one comparison of all with all."""
+    columns = hits.columns
+    hits = hits.distinct().join(F.broadcast(wanted.select("template", "wanted")), "template")
+    stretch = lambda at: F.floor(at / F.lit(STRETCH)).cast("int")
+    touched = F.explode(F.sequence(stretch(F.col("at")), stretch(F.col("at") + F.col("n") + SHINGLE - 2)))
+    met = hits.withColumn("stretch", touched).groupBy("row", "stretch").agg(
+        F.collect_list(F.struct(*columns, "wanted", F.round(F.col("share") * F.col("n")).alias("shared"))).alias("all")
+    )
+    beats = lambda o, h: (
+        (o["license_id"] != h["license_id"]) & (o["shared"] > h["shared"])
+        & (o["at"] < h["at"] + h["n"] + SHINGLE - 1) & (h["at"] < o["at"] + o["n"] + SHINGLE - 1)
+        & F.arrays_overlap(o["wanted"], h["wanted"])
+    )
+    judged = F.transform(
+        "all",
+        lambda h: F.struct(*[h[c].alias(c) for c in columns], F.exists("all", lambda o: beats(o, h)).alias("beaten")),
+    )
+    flat = met.select(F.explode(judged).alias("h")).select("h.*")
+    return flat.groupBy(*columns).agg(F.max("beaten").alias("beaten")).filter("not beaten").select(*columns)
+
+
 def find_licenses(
     docs: DataFrame,
     licenses: DataFrame | None = None,
@@ -131,9 +144,12 @@ def find_licenses(
     text_col: str = "text",
     containment: float = CONTAINMENT,
     miss: float = MISS,
+    resolve: bool = False,
 ) -> DataFrame:
     """One row per document row and template found: the id, license_id, template_shingles,
-    containment and first_word (place of the first template shingle in the best window)."""
+    containment and first_word (place of the first template shingle in the best window).  With
+    ``resolve``, a hit goes where one of another id overlaps it that shares shingles with it and has
+    more of its own there, so a notice is not also reported as its close relatives."""
     spark = docs.sparkSession
     wanted = _prepared(licenses if licenses is not None else templates(spark))
     wanted = durable(wanted.select(F.xxhash64("license_id", "wanted").alias("template"), "license_id", "wanted", "class"))
@@ -190,13 +206,16 @@ def find_licenses(
     found = join_small(banded.select("*", F.col("w.band").alias("band")), keys, ["band"])
     first = F.greatest(F.col("w.start") - F.col("w.width"), F.lit(0))
     last = F.least(F.col("w.start") + 2 * F.col("w.width"), F.size("words") - SHINGLE)
-    seen = found.dropDuplicates(["row", "template", "w"]).withColumn("seen", shingles(F.col("words"), first, last)).withColumn("first", first)
+    seen = found.withColumn("seen", shingles(F.col("words"), first, last)).withColumn("first", first)
     share = F.size(F.array_intersect("wanted", "seen")) / F.size("wanted")
     at = F.col("first") + F.array_min(F.transform("wanted", lambda s: F.when(F.array_position("seen", s) > 0, F.array_position("seen", s)))) - 1
+    hits = seen.select("row", "id", "template", "license_id", F.size("wanted").alias("n"), share.alias("share"), at.alias("at"))
+    # Verified where they were found: words are not moved; a window met in several bands gives equal hits.
+    hits = hits.filter(F.col("share") >= containment)
+    if resolve:
+        hits = _resolved(hits, wanted)
     best = (
-        seen.select("row", "id", "template", "license_id", F.size("wanted").alias("n"), share.alias("share"), at.alias("at"))
-        .filter(F.col("share") >= containment)
-        .groupBy("row", "template")
+        hits.groupBy("row", "template")
         .agg(F.max(F.struct("share", (-F.col("at")).alias("at"), "id", "license_id", "n")).alias("b"))
     )
     return best.select(

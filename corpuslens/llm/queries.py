@@ -23,7 +23,7 @@ def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence notices in all documents."""
     from corpuslens.llm.licenses import find_licenses
 
-    return find_licenses(table(spark, sf_dir, "documents"))
+    return find_licenses(table(spark, sf_dir, "documents"), resolve=True)
 
 
 @query

@@ -46,6 +46,21 @@ def test_finds_all_and_nothing_else(spark, rng):
         assert sorted(got.get(k, [])) == sorted(brute(t) * 2), t
 
 
+def test_relatives_are_told_apart(spark):
+    """Every notice is reported under its own id only, among them those of close relatives."""
+    both = {}
+    for name, text in licenses.TEMPLATES:
+        both.setdefault(" ".join(WORD.findall(text.lower())), set()).add(name)
+    docs = [(k, f"zu é {t} é zu", "x", "y") for k, (_, t) in enumerate(licenses.TEMPLATES)]
+    wanted = "CC-BY-4.0 CC-BY-SA-4.0 GPL-2.0 GPL-3.0 LGPL-2.1 AGPL-3.0-or-later EPL-2.0 CC0-1.0 Unlicense BSD-3-Clause MPL-2.0".split()
+    assert set(wanted) <= {n for n, _ in licenses.TEMPLATES} and all(len(n) == 1 for n in both.values())
+    got = {}
+    for r in licenses.find_licenses(spark.createDataFrame(docs, DOCS), resolve=True).collect():
+        got.setdefault(r.doc_id, set()).add(r.license_id)
+    wrong = {t: got.get(k) for k, (n, t) in enumerate(licenses.TEMPLATES) if got.get(k) != {n}}
+    assert not wrong, "\n".join(f"{t[:60]} ... {t[-60:]} {v}" for t, v in wrong.items())
+
+
 def test_band_settings_promise_the_probability():
     for n in range(9):
         c = licenses.Class(n, 0.8, 1e-4)
