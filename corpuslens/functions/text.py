@@ -40,6 +40,8 @@ _SHORT = "".join(c for c, f in FOLDINGS.items() if len(f) == 1)
 _SHORT_TO = "".join(f for f in FOLDINGS.values() if len(f) == 1)
 _LONG = {c: f for c, f in FOLDINGS.items() if len(f) > 1 and c != "ß"}
 _RARE = "[" + "".join(c for c in FOLDINGS if c != "ß") + "]"
+# Where such a letter can stand at all: tested first, as a class of many letters is slow.
+_BEYOND = f"[µ{min(c for c in FOLDINGS if c > 'ÿ')}-\U0010ffff]"
 
 
 def strip(col: Column) -> Column:
@@ -55,19 +57,32 @@ def has_text(col: Column) -> Column:
     return col.rlike(r"(?U)[^\s\x1c-\x1f]")
 
 
-def casefold(col: Column) -> Column:
-    """Caseless form.  ASCII text, and text without the rarer letters, takes the short way."""
-    plain = F.replace(F.lower(col), F.lit("ß"), F.lit("ss"))
-    full = F.translate(plain, _SHORT, _SHORT_TO)
-    for source, target in _LONG.items():
-        full = F.replace(full, F.lit(source), F.lit(target))
+def _fold(text: Column) -> Column:
+    plain = F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+    spelled = F.create_map(*[F.lit(part) for pair in _LONG.items() for part in pair])
+    full = F.array_join(
+        F.transform(
+            F.split(F.translate(plain, _SHORT, _SHORT_TO), ""),
+            lambda char: F.coalesce(F.try_element_at(spelled, char), char),
+        ),
+        "",
+    )
     return (
-        F.when(F.octet_length(col) == F.char_length(col), F.lower(col))
-        .when(plain.rlike(_RARE), full)
+        F.when(F.octet_length(text) == F.char_length(text), F.lower(text))
+        .when(plain.rlike(_BEYOND) & plain.rlike(_RARE), full)
         .otherwise(plain)
     )
 
 
+def casefold(col: Column) -> Column:
+    """Caseless form.  ASCII text, and text without the rarer letters, takes the short way; the
+    letters that fold to several are looked up character by character, in texts that have any.
+
+    The text is bound as a lambda variable, so it is evaluated once however often the rule
+    mentions it."""
+    return F.get(F.transform(F.array(col), _fold), F.lit(0))
+
+
 def words(col: Column) -> Column:
     return F.filter(F.split(col, SPACE + "+"), lambda word: word != "")
 

@@ -80,8 +80,12 @@ def build_postings(chunks: DataFrame) -> DataFrame:
 
 
 def explode_terms(terms: DataFrame) -> DataFrame:
-    return terms.select(*CHUNK_KEYS, F.explode("terms").alias("term")).select(
-        *CHUNK_KEYS, "term.kind", "term.surface"
+    """One row per term.  The outer form keeps the planner from testing the size of the array below
+    the projection that makes it, which would cut every text twice."""
+    return (
+        terms.select(*CHUNK_KEYS, F.explode_outer("terms").alias("term"))
+        .where("term is not null")
+        .select(*CHUNK_KEYS, "term.kind", "term.surface")
     )
 
 
@@ -185,7 +189,8 @@ def query_terms(queries: DataFrame, text: str = "query") -> DataFrame:
         loose(tx.cjk_terms(F.col(text)), "c").cast(record),
     )
     return (
-        staged.select("query_id", "project_id", "scope", F.explode(everything).alias("term"))
+        staged.select("query_id", "project_id", "scope", F.explode_outer(everything).alias("term"))
+        .where("term is not null")
         .groupBy("query_id", "project_id", "scope", "term.kind", "term.surface", "term.gid")
         .agg(F.count(F.lit(1)).cast("int").alias("weight"))
     )
