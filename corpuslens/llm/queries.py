@@ -133,3 +133,20 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     trusted = table(spark, sf_dir, "labels").filter("quality = 1")
     return judge(table(spark, sf_dir, "documents"), trusted)
+
+
+@query
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, damaged by rule and repaired at the least cost."""
+    from corpuslens.llm.repair import damage, repair
+
+    rows = table(spark, sf_dir, "conversations")
+    found = repair(damage(rows)).report.withColumn("_known", F.lit(True))
+    every = rows.select("conv_id").distinct()
+    joined = every.alias("e").join(found.alias("f"), F.col("e.conv_id").eqNullSafe(F.col("f.conv_id")), "left")
+    count = lambda name: F.coalesce(f"f.{name}", F.lit(0)).cast("long").alias(name)
+    return joined.select(
+        "e.conv_id", *map(count, ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")),
+        F.coalesce("f.audit", F.lit("")).alias("audit"),
+        F.coalesce("f.repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
