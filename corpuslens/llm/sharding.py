@@ -1,19 +1,22 @@
 """Balanced label propagation: linked documents move together, shard sizes stay even.
 
-Documents with equal texts are linked.  They start in shards of equal row counts; then, for a few
-rounds, each document asks for the shard that holds most of its group (a shard that has unlinked
-documents to give away counts a little more).  Moves between two shards
-are granted in equal numbers both ways (requests against requests, then requests against documents
-without links), so counts never differ by more than one: the law ``rows``.  A group of more rows
-than a shard holds is split by row hash into parts that fit.
-
-Which requests are granted is decided by rank in hash order; ranks come from counts per hash bucket
-and a row number inside a bucket, so no shard is ordered by one task.  Only the bounded matrix of
-shard pairs reaches the driver.
-
-Cases: a null text has size 1 and is linked with other null texts by no link; empty texts are equal
-texts; rows without an id and repeated rows are placed like any other; an empty table gives no rows;
-other columns are ignored.
+Documents with equal texts are linked.  Every document starts in a shard by hash.  A group of more
+rows than a shard holds is cut, by rank inside the group, into parts of equal size that fit; any other
+group is one part.  Then, round after round, each part that is not settled asks for the shard that
+most of its documents are in, among those with room for all of it.  A shard takes the largest askers
+first, whole parts or none, up to its quota; the refused ask again for what has room by then, until
+nothing is granted.  Large parts ask before smaller ones (``PHASES``), so that they still find room.
+Documents without links, and parts that found no room as a whole, fill what is left in order, so counts
+end at most one apart: the law ``rows``.
+
+Rounds work on one row per part.  Ranks and running sums come from sums per bucket and a window inside
+a bucket, so no shard or group is ordered by one task.  Joins on a group or part take those of more than
+a thousandth of all rows (a thousand at most) by broadcast, and rows without links never meet a join,
+so no key is hot.  Only figures per shard reach the driver.
+
+Cases: a null text has size 1 and is linked with nothing; empty texts are equal texts; rows without an
+id and repeated rows are placed like any other; an empty table gives no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -25,9 +28,12 @@ from corpuslens.llm.common import integer_id
 from corpuslens.session import durable
 
 SHARDS = 16
-ROUNDS = 6
 #: Hash buckets per key in which rows are ranked.
 RANK_BUCKETS = 1024
+#: Least size of the parts that ask in a phase, as a divisor of a shard's rows.
+PHASES = (2, 8, 32, 128)
+#: A group or part of more than this share of all rows is joined by broadcast.
+HEAVY = 1000
 
 
 def ranked(df: DataFrame, keys: list[str], order: str, name: str, buckets: int = RANK_BUCKETS) -> DataFrame:
@@ -48,31 +54,67 @@ def ranked(df: DataFrame, keys: list[str], order: str, name: str, buckets: int =
     )
 
 
-def _pairs(rows) -> dict[tuple[int, int], int]:
-    return {(r["shard"], r["wish"]): r["n"] for r in rows}
-
-
-def _grants(wishes: dict, singles: dict, shards: int) -> tuple[dict, dict]:
-    """How many requests (from, to) are granted, and how many unlinked documents go (from, to)
-    in return; into each shard go as many as leave it."""
-    granted, returned, left = {}, {}, dict(singles)
-    for a in range(shards):
-        for b in range(shards):
-            if a == b or not wishes.get((a, b)):
-                continue
-            swap = min(wishes[a, b], wishes.get((b, a), 0))
-            extra = min(wishes[a, b] - swap, left.get(b, 0))
-            left[b] = left.get(b, 0) - extra
-            granted[a, b] = swap + extra
-            if extra:
-                returned[b, a] = extra
-    return granted, returned
+def _up_to(asked: DataFrame) -> DataFrame:
+    """``upto``: rows asked of the same shard by this part and all before it, larger ones first."""
+    placed = asked.withColumn("_slot", F.pmod("tie", F.lit(64))).withColumn("_less", -F.col("rows"))
+    sums = placed.groupBy("wish", "_less", "_slot").agg(F.sum("rows").alias("_sum"))
+    below = Window.partitionBy("wish").orderBy("_less", "_slot").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("wish", "_less", "_slot", F.coalesce(F.sum("_sum").over(below), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy("wish", "_less", "_slot").orderBy("tie", "part").rowsBetween(Window.unboundedPreceding, 0)
+    return (
+        placed.withColumn("_own", F.sum("rows").over(inside))
+        .join(starts, ["wish", "_less", "_slot"])
+        .withColumn("upto", F.col("_start") + F.col("_own"))
+        .drop("_slot", "_less", "_own", "_start")
+    )
 
 
-def _quota(table: dict, first: Column, second: Column, shards: int) -> Column:
-    """The bounded matrix of a pair of shards as one array literal."""
-    flat = ",".join(str(table.get((a, b), 0)) for a in range(shards) for b in range(shards))
-    return F.split(F.lit(flat), ",").cast("array<long>")[first * shards + second]
+def _by_shard(values: list[int]) -> Column:
+    return F.array(*[F.lit(v).cast("long") for v in values])
+
+
+def _join_heavy(rows: DataFrame, known: DataFrame, key: str, heavy: Column) -> DataFrame:
+    """``rows`` with the one row of ``known`` for their key; keys without one are left out.  Heavy
+    keys, few by definition, are broadcast; the rest are shuffled."""
+    light = known.filter(~heavy)
+    large = F.broadcast(known.filter(heavy))
+    return rows.join(large, key).unionByName(rows.join(large, key, "left_anti").join(light, key))
+
+
+def _parts(linked: DataFrame, fit: int) -> DataFrame:
+    """``part``: a group, or an equal share of one that is larger than a shard."""
+    within = linked.filter(F.col("copies") <= fit).withColumn("part", F.xxhash64("group", F.lit(0)))
+    over = ranked(linked.filter(F.col("copies") > fit), ["group"], "mix", "_rank")
+    number = F.floor(F.col("_rank") * F.ceil(F.col("copies") / fit) / F.col("copies"))
+    return within.unionByName(over.withColumn("part", F.xxhash64("group", number + 1)).drop("_rank"))
+
+
+def _settle(parts: DataFrame, room: list[int], fit: int) -> tuple[DataFrame | None, list[int]]:
+    """(part, shard) of all parts that found room as a whole, and the room left.
+
+    ``parts``: part, rows, votes (documents of the part by the shard they start in)."""
+    settled, open_parts = None, parts
+    for least in (*(max(2, fit // p) for p in PHASES), 0):
+        while True:
+            # The shard with most of the part's documents, among those with room for all of it.
+            choices = F.transform(
+                F.zip_with("votes", _by_shard(room), lambda vote, free: F.when(free >= F.col("rows"), vote)),
+                lambda vote, at: F.struct(vote.alias("vote"), F.xxhash64("part", at).alias("by"), at.alias("shard")),
+            )
+            wish = F.array_max(F.filter(choices, lambda c: c["vote"].isNotNull()))["shard"]
+            asking = open_parts.filter(F.col("rows") >= least).withColumn("wish", wish).filter("wish is not null")
+            asking = asking.withColumn("tie", F.xxhash64("part", "wish"))
+            granted = durable(
+                _up_to(asking).filter(F.col("upto") <= F.get(_by_shard(room), F.col("wish")))
+                .select("part", F.col("wish").alias("shard"), "rows")
+            )
+            taken = {r["shard"]: r["n"] for r in granted.groupBy("shard").agg(F.sum("rows").alias("n")).collect()}
+            if not taken:
+                break
+            room = [free - taken.get(at, 0) for at, free in enumerate(room)]
+            settled = granted if settled is None else settled.unionByName(granted)
+            open_parts = durable(open_parts.join(granted.select("part"), "part", "left_anti"))
+    return settled, room
 
 
 def shard(
@@ -81,7 +123,6 @@ def shard(
     id_col: str = "doc_id",
     text_col: str = "text",
     shards: int = SHARDS,
-    rounds: int = ROUNDS,
 ) -> DataFrame:
     """Per row: the id, size (bytes of the text plus 1), text_crc32, shard and slot."""
     if shards < 1:
@@ -95,54 +136,39 @@ def shard(
         F.xxhash64(integer_id(docs, id_col), text).alias("row_hash"),
     )
     base = durable(base.withColumn("mix", F.xxhash64("row_hash", F.lit(1))))
-    rows = base.count()
-    fit = max(1, rows // shards)
-    sizes = base.filter("group is not null").groupBy("group").agg(F.count("*").alias("copies"))
-    linked = base.join(sizes.filter("copies > 1"), "group", "left").withColumn(
-        "part",
-        F.when(
-            F.col("copies").isNotNull(),
-            F.xxhash64("group", F.pmod("mix", F.ceil(F.col("copies") / F.lit(fit)))),
-        ),
-    )
-    start = ranked(linked.select("id", "size", "text_crc32", "part", "row_hash", "mix", F.lit(0).alias("one")), ["one"], "mix", "rank")
-    state = durable(start.withColumn("shard", F.pmod("rank", F.lit(shards)).cast("int")).drop("one", "rank"))
-    for turn in range(rounds):
-        held = state.filter("part is not null").groupBy("part", "shard").agg(F.count("*").alias("n"))
-        free = {(r["shard"], 0): r["n"] for r in state.filter("part is null").groupBy("shard").agg(F.count("*").alias("n")).collect()}
-        # A shard that has unlinked documents to give away can still take requests.
-        pull = F.col("n") + F.when(_quota(free, F.col("shard"), F.lit(0), shards) > 0, 1.5).otherwise(0.0)
-        tie = F.xxhash64("part", "shard", F.lit(turn)).alias("tie")
-        best = held.groupBy("part").agg(F.max(F.struct(pull.alias("pull"), tie, "shard"))["shard"].alias("wish"))
-        asked = (
-            state.withColumn("mix", F.xxhash64("row_hash", F.lit(turn + 2)))
-            .join(best, "part", "left")
-            .withColumn("wish", F.when(F.col("part").isNull(), -1).otherwise(F.col("wish")))
-        )
-        asked = durable(asked)
-        counts = _pairs(asked.groupBy("shard", "wish").agg(F.count("*").alias("n")).collect())  # shards x (shards + 1) rows
-        wishes = {k: n for k, n in counts.items() if k[1] >= 0 and k[0] != k[1]}
-        if not wishes:
-            break
-        granted, returned = _grants(wishes, {a: n for (a, b), n in counts.items() if b < 0}, shards)
-        order = ranked(asked.filter("wish <> shard"), ["shard", "wish"], "mix", "rank")
-        moved = order.withColumn(
-            "to", F.when((F.col("wish") >= 0) & (F.col("rank") < _quota(granted, F.col("shard"), F.greatest("wish", F.lit(0)), shards)), F.col("wish"))
-        )
-        # Unlinked documents of a shard leave for its lenders one after another, by rank.
-        limits, sums = {}, {a: 0 for a in range(shards)}
-        for a in range(shards):
-            for b in range(shards):
-                sums[a] += returned.get((a, b), 0)
-                limits[a, b] = sums[a]
-        lender = F.coalesce(
-            *[F.when(F.col("rank") < _quota(limits, F.col("shard"), F.lit(b), shards), F.lit(b)) for b in range(shards)]
-        )
-        moved = moved.withColumn("to", F.when(F.col("wish") < 0, lender).otherwise(F.col("to")))
-        stay = asked.filter("wish = shard").withColumn("to", F.lit(None).cast("int")).withColumn("rank", F.lit(0).cast("long"))
-        state = durable(
-            moved.unionByName(stay).withColumn("shard", F.coalesce("to", "shard").cast("int")).drop("to", "rank", "wish")
+    total = base.count()
+    fit = max(1, total // shards)
+    columns = ["id", "size", "text_crc32", "row_hash", "mix"]
+    texts = base.filter("group is not null")
+    groups = durable(texts.groupBy("group").agg(F.count("*").alias("copies"), F.min(F.struct(*columns)).alias("one")))
+    sizes = groups.filter("copies > 1").select("group", "copies")
+    linked = durable(_parts(_join_heavy(texts, sizes, "group", F.col("copies") * HEAVY > total), fit).select(*columns, "part"))
+    alone = groups.filter("copies = 1").select("one.*").unionByName(base.filter("group is null").select(*columns))
+    start = F.pmod("mix", F.lit(shards)).cast("int")
+    parts = durable(
+        linked.groupBy("part").agg(
+            F.count("*").alias("rows"), F.array(*[F.count_if(start == at) for at in range(shards)]).alias("votes")
         )
+    )
+    room = [total // shards + (at < total % shards) for at in range(shards)]
+    settled, room = _settle(parts, room, fit)
+    if settled is None:
+        placed, left = None, linked
+    else:
+        homes = durable(parts.select("part", "rows").join(settled.select("part", "shard"), "part", "left"))
+        homed = durable(_join_heavy(linked, homes, "part", F.col("rows") * HEAVY > total))
+        placed, left = homed.filter("shard is not null").select(*columns, "shard"), homed.filter("shard is null").select(*columns, "part")
+    # What is left fills the room in order: parts that found none first, each in one piece if it can.
+    rest = left.select(*columns, F.lit(0).alias("late"), F.xxhash64("part", F.lit(2)).alias("by")).unionByName(
+        alone.select(*columns, F.lit(1).alias("late"), F.col("mix").alias("by"))
+    )
+    first = left.count()
+    rank = F.col("rank") + F.when(F.col("late") == 1, first).otherwise(0)
+    ends = [sum(room[: at + 1]) for at in range(shards)]
+    filled = ranked(rest, ["late"], "by", "rank").withColumn(
+        "shard", F.coalesce(*[F.when(rank < end, F.lit(at)) for at, end in enumerate(ends)])
+    ).select(*columns, "shard")
+    state = durable(filled if placed is None else filled.unionByName(placed))
     return ranked(state, ["shard"], "mix", "slot").select(
-        F.col("id").alias(id_col), "size", "text_crc32", "shard", F.col("slot").cast("long")
+        F.col("id").alias(id_col), "size", "text_crc32", F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long")
     )
