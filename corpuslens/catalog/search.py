@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from corpuslens.functions.joins import join_small
 from corpuslens.functions.text import trigrams
 from corpuslens.functions.vectors import cosine
 from corpuslens.operators import evidence, fusion, keyword, logs, postings, rerank, vector
-from corpuslens.session import durable
+from corpuslens.session import durable, shared_folder
 
 POOL = 24
 TOP = 8
@@ -96,6 +98,22 @@ def keyword_search(spark, sf_dir):
     return _keyword(spark, sf_dir, TOP)
 
 
+@query(
+    "stored_keyword_search",
+    with_(
+        sqlbase.KEYWORD,
+        body=f"SELECT query_id, chunk_id, keyword_score, exact_identifiers, rank FROM keyword_ranked WHERE rank <= {TOP}",
+    ),
+)
+def stored_keyword_search(spark, sf_dir):
+    """L7-L14 from a stored index: postings, vocabulary and gram counts are written, then read for the
+    asked projects; no text of the corpus is cut again."""
+    path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    postings.write_index(base.text_chunks(spark, sf_dir), path)
+    found = keyword.retrieve_keyword(base.queries(spark, sf_dir), None, TOP, index=postings.read_index(spark, path))
+    return found.select("query_id", "chunk_id", "keyword_score", "exact_identifiers", "rank")
+
+
 @query(
     "keyword_search_in_document",
     with_(
@@ -124,10 +142,10 @@ def keyword_search_in_document(spark, sf_dir):
 )
 def identifier_evidence(spark, sf_dir):
     """Chunks per query identifier group and tier, after suppression."""
-    index = postings.build_postings(base.text_chunks(spark, sf_dir))
+    index = postings.build_index(base.text_chunks(spark, sf_dir))
     terms = postings.query_terms(keyword.with_scope(base.queries(spark, sf_dir)))
-    tiers = keyword.identifier_tiers(terms, keyword.scope_vocabulary(index, terms, scoped=False))
-    hits = join_small(index, tiers, ["project_id", "kind", "surface"])
+    tiers = keyword.identifier_tiers(terms, keyword.scope_vocabulary(index, terms, scoped=False), index.counts)
+    hits = join_small(postings.explode_packs(index.packs), tiers, ["project_id", "kind", "surface"])
     best = hits.groupBy("query_id", "gid", "chunk_id").agg(F.max("tier").alias("tier"))
     counted = best.groupBy("query_id", "gid", "tier").agg(F.count(F.lit(1)).alias("chunks"))
     order = Window.partitionBy("query_id").orderBy("gid")

@@ -2,20 +2,32 @@
 
 How well a query identifier matches a chunk identifier depends on the two surfaces only, so tiers
 are found between the query terms and the *vocabulary* of each project, blocked on shared
-trigrams; postings are then joined once to the matched surfaces.  No query meets a chunk it has no
-term in common with.
+trigrams.  The matched surfaces of a block of queries then meet each pack of postings of the project in
+an equi join; a pack is scored where it lies and only its best chunks per query leave the task.  A pack
+whose terms cannot reach a query's best so far is skipped for that query.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.functions import text as tx
 from corpuslens.functions.joins import join_small, of_asked_projects
 from corpuslens.functions.ordered import top_per_key
-from corpuslens.operators.postings import CHUNK_KEYS, chunk_terms, explode_terms, query_terms
-from corpuslens.schema import stable_order
+from corpuslens.operators.postings import (
+    Index,
+    build_index,
+    document_identifiers,
+    query_terms,
+    with_grams,
+)
+from corpuslens.schema import STABLE_KEYS, stable_order
 from corpuslens.session import durable
 
 # Tier scores and thresholds.
@@ -28,14 +40,13 @@ EVIDENCE = (
     "ngram_matches",
 )
 
-# A fixed order of characters, rare ones first, so that sorted trigrams lead with rare ones.
-_BY_RARITY = "+:/_.-qzxjkvw9876543bpfygm2cuh1dl0rsnioate"
-_CODES = "".join(chr(ord("!") + at) for at in range(len(_BY_RARITY)))
-
-
-def _grams(surface: Column) -> Column:
-    """Trigrams recoded so that plain sorting puts rare ones first."""
-    return F.sort_array(tx.trigrams(F.translate(surface, _BY_RARITY, _CODES)))
+#: Queries of a block, and queries of which a task remembers the best scores.
+QUERY_BLOCK = 64
+REMEMBERED = 100_000
+_HITS = (
+    "query_id string, project_id string, document_name string, chunk_index int, document_id string, chunk_id string, "
+    + ", ".join(f"{name} int" for name in EVIDENCE) + ", keyword_score double"
+)
 
 
 def _needed(size: Column) -> Column:
@@ -96,41 +107,37 @@ def overlapping(pairs: DataFrame) -> DataFrame:
     )
 
 
-def scope_vocabulary(postings: DataFrame, terms: DataFrame, scoped: bool = True) -> DataFrame:
-    """Distinct identifiers per project, and per document where a query names one."""
-    identifiers = postings.where(F.col("kind").isin("w", "d"))
-    by_project = identifiers.select("project_id", F.lit("").alias("scope"), "kind", "surface")
+def scope_vocabulary(index: Index, terms: DataFrame, scoped: bool = True) -> DataFrame:
+    """Distinct identifiers of the asked projects, and of the documents that queries name."""
+    asked = terms.select("project_id").distinct()
+    by_project = join_small(index.vocabulary, asked, ["project_id"], "left_semi").withColumn("scope", F.lit(""))
     if not scoped:
-        return by_project.distinct()
-    scopes = terms.where(F.col("scope") != "").select("project_id", "scope").distinct()
-    by_document = identifiers.withColumnRenamed("document_id", "scope").join(
-        scopes, ["project_id", "scope"], "left_semi"
-    ).select("project_id", "scope", "kind", "surface")
-    return by_project.unionByName(by_document).distinct()
+        return by_project
+    documents = durable(terms.where(F.col("scope") != "").select("project_id", "scope").distinct())
+    by_document = with_grams(document_identifiers(index.packs, documents), index.counts)
+    return by_project.unionByName(by_document)
 
 
 def similarity_candidates(mine: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Pairs of different surfaces that may share half the smaller trigram set.
 
-    Prefix filter: such a pair shares a trigram with the first ``n - need + 1`` sorted trigrams
-    of its shorter member.  Each side's prefixes are cut before they meet all trigrams of the
+    Prefix filter: such a pair shares a trigram with the first ``n - need + 1`` trigrams, rare ones
+    first, of its shorter member.  Each side's prefixes are cut before they meet all trigrams of the
     other, once per side, so rare trigrams block and common ones hardly ever reach a join."""
 
     def exploded(df: DataFrame, name: str) -> DataFrame:
-        grams = _grams(F.col("surface"))
-        count = F.size("_grams")
+        count = F.size("grams")
         return (
-            df.where(F.char_length("surface") >= tx.MIN_SIMILAR_LENGTH)
-            .select("project_id", "scope", "surface")
-            .distinct()
-            .withColumn("_grams", grams)
+            df.where("size(grams) > 0")
+            .select("project_id", "scope", "surface", "grams")
+            .dropDuplicates(["project_id", "scope", "surface"])
             .select(
                 "project_id",
                 "scope",
                 F.col("surface").alias(name),
                 count.alias(f"{name}_n"),
                 (count - _needed(count) + 1).alias(f"{name}_prefix"),
-                F.posexplode("_grams").alias(f"{name}_at", "gram"),
+                F.posexplode("grams").alias(f"{name}_at", "gram"),
             )
         )
 
@@ -143,10 +150,10 @@ def similarity_candidates(mine: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return both.where(F.col("mine") != F.col("theirs")).distinct()
 
 
-def identifier_tiers(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
+def identifier_tiers(terms: DataFrame, vocabulary: DataFrame, counts: DataFrame) -> DataFrame:
     """(query, gid, kind, surface, tier): matched vocabulary, similar ones only where the group
-    has nothing stronger anywhere in its project or document."""
-    identifiers = terms.where(F.col("kind").isin("w", "d"))
+    has nothing stronger anywhere in its project or document.  ``counts`` orders trigrams."""
+    identifiers = durable(with_grams(terms.where(F.col("kind").isin("w", "d")), counts))
     keys = ["project_id", "scope"]
     exact = join_small(
         vocabulary.where("kind = 'w'"),
@@ -174,7 +181,7 @@ def identifier_tiers(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
         )
         .join(
             # Which kinds the matched surface has in the vocabulary.
-            vocabulary.withColumnRenamed("surface", "theirs"), [*keys, "theirs"]
+            vocabulary.select(*keys, "kind", F.col("surface").alias("theirs")), [*keys, "theirs"]
         )
         .select(
             *keys,
@@ -203,41 +210,110 @@ def identifier_tiers(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
     ).drop("strongest")
 
 
-def score_postings(postings: DataFrame, terms: DataFrame, tiers: DataFrame) -> DataFrame:
-    """Score every chunk that shares a term with a query."""
+def _query_blocks(queries: DataFrame, terms: DataFrame, tiers: DataFrame) -> DataFrame:
+    """(project, asked): blocks of about ``QUERY_BLOCK`` queries with the surfaces they look up."""
     general = terms.where(F.col("kind").isin("a", "c")).select(
-        "project_id", "scope", "query_id", "gid", "kind", "surface",
-        F.lit(0).alias("tier"), "weight",
-    )
-    lookups = tiers.select(
-        "project_id", "scope", "query_id", "gid", "kind", "surface", "tier",
-        F.lit(0).alias("weight"),
-    ).unionByName(general)
-    hits = join_small(postings, lookups, ["project_id", "kind", "surface"]).where(
-        (F.col("scope") == "") | (F.col("scope") == F.col("document_id"))
+        "query_id", "gid", "kind", "surface", F.lit(0).alias("tier"), "weight"
     )
-    by_group = hits.groupBy("query_id", *CHUNK_KEYS, "gid").agg(
-        F.max("tier").alias("tier"),
-        F.sum(F.when(F.col("kind") == "a", F.col("weight")).otherwise(0)).alias("ascii"),
-        F.sum(F.when(F.col("kind") == "c", F.col("weight")).otherwise(0)).alias("cjk"),
+    lookups = tiers.select("query_id", "gid", "kind", "surface", "tier", F.lit(0).alias("weight")).unionByName(general)
+    wanted = lookups.groupBy("query_id").agg(
+        F.collect_list(F.struct(F.concat("kind", "surface").alias("key"), "gid", "tier", "weight")).alias("lookups")
     )
-    scored = by_group.groupBy("query_id", *CHUNK_KEYS).agg(
-        F.count_if(F.col("tier") == EXACT).cast("int").alias("exact_identifiers"),
-        F.sum("ascii").cast("int").alias("exact_ascii_terms"),
-        F.sum("cjk").cast("int").alias("exact_cjk_terms"),
-        F.count_if(F.col("tier") == CONTAINED).cast("int").alias("contained_identifiers"),
-        F.count_if(F.col("tier") == SIMILAR).cast("int").alias("ngram_matches"),
-    )
-    score = (
-        F.col("exact_identifiers") * float(EXACT)
-        + F.col("contained_identifiers") * float(CONTAINED)
-        + F.col("ngram_matches") * float(SIMILAR)
-        + F.least(
-            (F.col("exact_ascii_terms") + F.col("exact_cjk_terms")).cast("double"),
-            F.lit(MAX_TERM_SCORE),
-        )
+    base = queries.select("query_id", "project_id", "scope").join(wanted, "query_id")
+    sizes = base.groupBy("project_id").agg(F.ceil(F.count(F.lit(1)) / F.lit(QUERY_BLOCK)).alias("_blocks"))
+    return (
+        base.join(sizes, "project_id")
+        .withColumn("_block", F.pmod(F.xxhash64("query_id"), F.col("_blocks")))
+        .groupBy("project_id", "_block")
+        .agg(F.collect_list(F.struct("query_id", "scope", "lookups")).alias("asked"))
+        .drop("_block")
     )
-    return scored.withColumn("keyword_score", score)
+
+
+class _Pack:
+    """One pack of postings and the scores of its chunks."""
+
+    def __init__(self, row: dict[str, pa.Array]):
+        self.keys = {key: row[f"{key}s"] for key in STABLE_KEYS}
+        self.surfaces = row["surfaces"]
+        self.starts, self.entries = row["starts"].to_numpy(), row["entries"].to_numpy()
+        self.size = len(row["chunk_ids"])
+
+    def score(self, lookups: list[dict], places: list[int | None], least: float) -> dict | None:
+        """Evidence and score of every chunk; nothing where no chunk can reach ``least``."""
+        present = [(wanted, place) for wanted, place in zip(lookups, places, strict=True) if place is not None]
+        strongest: dict[int, int] = {}
+        for wanted, _ in present:
+            if wanted["tier"]:
+                strongest[wanted["gid"]] = max(strongest.get(wanted["gid"], 0), wanted["tier"])
+        bound = sum(strongest.values()) + min(sum(wanted["weight"] for wanted, _ in present), MAX_TERM_SCORE)
+        if not present or bound < least:
+            return None
+        counts = {name: np.zeros(self.size, np.int32) for name in EVIDENCE}
+        tiers = {gid: np.zeros(self.size, np.int8) for gid in strongest}
+        for wanted, place in present:
+            holders = self.entries[self.starts[place] : self.starts[place + 1]]
+            if wanted["tier"]:
+                mine = tiers[wanted["gid"]]
+                mine[holders] = np.maximum(mine[holders], wanted["tier"])
+            else:
+                counts["exact_ascii_terms" if wanted["key"][0] == "a" else "exact_cjk_terms"][holders] += wanted["weight"]
+        for mine in tiers.values():
+            for tier, name in ((EXACT, "exact_identifiers"), (CONTAINED, "contained_identifiers"), (SIMILAR, "ngram_matches")):
+                counts[name] += mine == tier
+        score = EXACT * counts["exact_identifiers"] + CONTAINED * counts["contained_identifiers"] + SIMILAR * counts["ngram_matches"]
+        score = score + np.minimum((counts["exact_ascii_terms"] + counts["exact_cjk_terms"]).astype(float), MAX_TERM_SCORE)
+        return {**counts, "keyword_score": score}
+
+
+def _score_packs(top_k: int):
+    names = [field.split()[0] for field in _HITS.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[str, np.ndarray] = {}  # the scores a query's next chunk has to reach or beat
+        for batch in batches:
+            for at in range(batch.num_rows):
+                project, asked = batch.column("project_id")[at].as_py(), batch.column("asked")[at].as_py()
+                pack = _Pack({name: batch.column(name)[at].values for name in batch.schema.names if name not in ("project_id", "asked")})
+                wanted = [lookup["key"] for ask in asked for lookup in ask["lookups"]]
+                places = pc.index_in(pa.array(wanted, pa.string()), value_set=pack.surfaces).to_pylist()
+                found: dict[str, list] = {name: [] for name in names}
+                first = 0
+                for ask in asked:
+                    mine = places[first : first + len(ask["lookups"])]
+                    first += len(ask["lookups"])
+                    known = best.get(ask["query_id"], np.zeros(0))
+                    least = known[0] if len(known) == top_k else 0.0
+                    scored = pack.score(ask["lookups"], mine, least)
+                    if scored is None:
+                        continue
+                    score = scored["keyword_score"]
+                    fits = (score > 0) & (score >= least)
+                    if ask["scope"]:
+                        fits &= pc.equal(pack.keys["document_id"], ask["scope"]).fill_null(False).to_numpy(zero_copy_only=False)
+                    rows = np.flatnonzero(fits)
+                    # Rows are in stable order, so of equal scores the earlier rows win.
+                    rows = rows[np.argsort(-score[rows], kind="stable")[:top_k]]
+                    if len(best) > REMEMBERED:
+                        best.clear()
+                    best[ask["query_id"]] = np.sort(np.concatenate([known, score[rows]]))[-top_k:]
+                    for name in names:
+                        if name in scored:
+                            found[name].append(pa.array(scored[name][rows]))
+                        elif name in pack.keys:
+                            found[name].append(pack.keys[name].take(pa.array(rows)))
+                        else:
+                            found[name].append(pa.array([ask["query_id"] if name == "query_id" else project] * len(rows), pa.string()))
+                if found["query_id"]:
+                    yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in found.values()], names=names)
+
+    return run
+
+
+def score_packs(packs: DataFrame, queries: DataFrame, terms: DataFrame, tiers: DataFrame, top_k: int) -> DataFrame:
+    """The best chunks of each pack for each query, with evidence and score."""
+    blocks = durable(_query_blocks(queries, terms, tiers))
+    return join_small(packs, blocks, ["project_id"]).mapInArrow(_score_packs(top_k), _HITS)
 
 
 def with_scope(queries: DataFrame) -> DataFrame:
@@ -251,24 +327,23 @@ def retrieve_keyword(
     queries: DataFrame,
     chunks: DataFrame | None,
     top_k: int,
-    postings: DataFrame | None = None,
+    index: Index | None = None,
     limit: Column | None = None,
 ) -> DataFrame:
     """Top chunks per query by lexical score.
 
-    ``queries``: query_id, project_id, query, optional document_id.  Pass stored ``postings`` to
-    skip tokenising ``chunks``; without them the terms are cut once, since both the vocabulary and
-    the scores read them.  ``limit`` narrows the cut per query, up to ``top_k``."""
-    if postings is None:
-        index = explode_terms(durable(chunk_terms(of_asked_projects(chunks, queries))))
+    ``queries``: query_id, project_id, query, optional document_id.  Pass a stored ``index`` so that no
+    text of the corpus is read; without it one is built from ``chunks`` of the asked projects.
+    ``limit`` narrows the cut per query, up to ``top_k``."""
+    if index is None:
+        index = build_index(of_asked_projects(chunks, queries))
     else:
-        index = postings
+        index = Index(of_asked_projects(index.packs, queries), index.vocabulary, index.counts)
     scoped = with_scope(queries)
     terms = durable(query_terms(scoped))
-    # The vocabulary is read by each tier; cutting it keeps the index to two reads in all.
     vocabulary = durable(scope_vocabulary(index, terms, "document_id" in queries.columns))
-    tiers = identifier_tiers(terms, vocabulary)
-    scored = score_postings(index, terms, tiers)
+    tiers = identifier_tiers(terms, vocabulary, index.counts)
+    scored = score_packs(index.packs, scoped, terms, tiers, top_k)
     ranked = top_per_key(
         scored, ["query_id"], [F.col("keyword_score").desc(), *stable_order()], top_k, "rank"
     )

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corpuslens.operators import conversations as cv
 from corpuslens.operators import prompts as pr
 from corpuslens.operators import tables as tb
+from corpuslens.operators.postings import Index
 from corpuslens.plans.retrieval import Retrieved, retrieve_full
 from corpuslens.session import durable
 
@@ -116,7 +117,7 @@ def chat_turns(
     chunks: DataFrame,
     answers: DataFrame,
     *,
-    postings: DataFrame | None = None,
+    index: Index | None = None,
     facet_vectors: DataFrame | None = None,
     budget: int = tb.CONTEXT_BUDGET,
     history: int = cv.HISTORY,
@@ -136,7 +137,7 @@ def chat_turns(
         F.when(single, F.col("chosen.document_id")).alias("preferred_document_id"),
         F.when(single, F.col("chosen.table_index")).alias("preferred_table_index"),
     )
-    found = retrieve_full(queries, chunks, postings, facet_vectors, confirmed_tables(resolved), budget)
+    found = retrieve_full(queries, chunks, index, facet_vectors, confirmed_tables(resolved), budget)
     results = durable(found.results)
     said = cv.recent_history(messages, history).join(
         turns.select("query_id", *cv.CONVERSATION), list(cv.CONVERSATION)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.operators import evaluation as ev
+from corpuslens.operators.postings import Index
 from corpuslens.operators.prompts import NO_ANSWER
 from corpuslens.plans.retrieval import retrieve_full
 from corpuslens.session import durable
@@ -72,7 +73,7 @@ def run_eval(
     chunks: DataFrame,
     answers: DataFrame,
     run_id: str = "run",
-    postings: DataFrame | None = None,
+    index: Index | None = None,
     aliases: DataFrame | None = None,
     judge_enabled: bool = False,
 ) -> Evaluated:
@@ -84,7 +85,7 @@ def run_eval(
         raise ValueError(NO_QUESTIONS)
     asked = questions.withColumnRenamed("question_id", "query_id").withColumnRenamed("question", "query")
     found = durable(
-        retrieve_full(asked, chunks, postings).results.select(
+        retrieve_full(asked, chunks, index).results.select(
             F.col("query_id").alias("question_id"), "chunk_id", "document_id", "rank"
         )
     )

@@ -20,6 +20,7 @@ from corpuslens.operators.fusion import (
     with_request_defaults,
 )
 from corpuslens.operators.keyword import retrieve_keyword, with_scope
+from corpuslens.operators.postings import Index
 from corpuslens.operators.rerank import rerank
 from corpuslens.operators.vector import retrieve_vector
 from corpuslens.session import durable
@@ -48,7 +49,7 @@ class Retrieved:
 def retrieve(
     queries: DataFrame,
     chunks: DataFrame,
-    postings: DataFrame | None = None,
+    index: Index | None = None,
     limit: Column | None = None,
     max_limit: int = MAX_POOL,
 ) -> DataFrame:
@@ -62,7 +63,7 @@ def retrieve(
     vector = retrieve_vector(
         by_vector, chunks, max_limit, threshold=F.col("similarity_threshold"), limit=cut
     )
-    keyword = retrieve_keyword(by_keyword, chunks, max_limit, postings=postings, limit=cut)
+    keyword = retrieve_keyword(by_keyword, chunks, max_limit, index=index, limit=cut)
     return fuse_rrf(
         vector,
         keyword,
@@ -117,7 +118,7 @@ def plan_facets(queries: DataFrame) -> DataFrame:
 def facet_candidates(
     facets: DataFrame,
     chunks: DataFrame,
-    postings: DataFrame | None = None,
+    index: Index | None = None,
     facet_vectors: DataFrame | None = None,
 ) -> DataFrame:
     """Candidate pools per facet, with text and metadata looked up for the candidates only."""
@@ -135,7 +136,7 @@ def facet_candidates(
         "candidate_limit",
         "embedding",
     )
-    pool = retrieve(keyed, chunks, postings, limit=F.col("candidate_limit"))
+    pool = retrieve(keyed, chunks, index, limit=F.col("candidate_limit"))
     parts = F.split("query_id", "\x1f")
     pool = durable(
         pool.drop("mode")
@@ -155,7 +156,7 @@ def facet_candidates(
 def retrieve_full(
     queries: DataFrame,
     chunks: DataFrame,
-    postings: DataFrame | None = None,
+    index: Index | None = None,
     facet_vectors: DataFrame | None = None,
     preferences: DataFrame | None = None,
     budget: int = tb.CONTEXT_BUDGET,
@@ -169,7 +170,7 @@ def retrieve_full(
     rejected = checked.where("reject_reason is not null").select("query_id", "reject_reason")
     queries = checked.where("reject_reason is null").drop("reject_reason")
     facets = durable(plan_facets(queries))
-    pool = durable(facet_candidates(facets, chunks, postings, facet_vectors))
+    pool = durable(facet_candidates(facets, chunks, index, facet_vectors))
     whole = facets.where("is_full_table")
     outcomes = tb.select_tables(whole, tb.score_tables(pool.where("is_full_table")))
     single = whole.where(~F.col("is_compound") & F.col("preferred_document_id").isNotNull()).select(

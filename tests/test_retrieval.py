@@ -10,7 +10,18 @@ from support import chunk_rows, pool, questions
 from corpuslens.functions import joins
 from corpuslens.functions import text as tx
 from corpuslens.operators import evidence, fusion, keyword, rerank, vector
-from corpuslens.operators.postings import build_postings, chunk_terms, explode_terms
+from corpuslens.operators.postings import (
+    Index,
+    build_index,
+    build_postings,
+    chunk_terms,
+    explode_packs,
+    explode_terms,
+    pack_postings,
+    project_identifiers,
+    read_index,
+    write_index,
+)
 
 
 def scores(spark, query, *texts, top_k=50):
@@ -141,12 +152,51 @@ def test_postings_skip_inactive_chunks(spark):
     assert {r.document_id for r in build_postings(chunks).collect()} == {"a"}
 
 
-def test_stored_postings_give_the_same_result(spark):
-    chunks = chunk_rows(spark, [("a", 0, "node01-east red"), ("b", 0, "node01 red")])
-    asked = questions(spark, [("q", "node01-east red")])
-    direct = keyword.retrieve_keyword(asked, chunks, 5).orderBy("rank").collect()
-    stored = keyword.retrieve_keyword(asked, None, 5, postings=explode_terms(chunk_terms(chunks)))
-    assert direct == stored.orderBy("rank").collect()
+def test_stored_index_gives_the_same_result(spark, tmp_path):
+    rows = [("a", 0, "node01-east red"), ("b", 0, "node01 red"), ("c", 0, "node01.easter blue")]
+    chunks = chunk_rows(spark, rows)
+    asked = questions(spark, [("q", "node01-east red"), ("r", "blue NODE01.EASTER.")])
+    direct = keyword.retrieve_keyword(asked, chunks, 5).orderBy("query_id", "rank").collect()
+    write_index(chunks, str(tmp_path))
+    stored = keyword.retrieve_keyword(asked, None, 5, index=read_index(spark, str(tmp_path)))
+    assert len(direct) > 3 and direct == stored.orderBy("query_id", "rank").collect()
+    # In one document: its own identifiers decide, also from the stored index.
+    inside = asked.withColumn("document_id", F.lit("b"))
+    found = keyword.retrieve_keyword(inside, None, 5, index=read_index(spark, str(tmp_path))).collect()
+    assert found == keyword.retrieve_keyword(inside, chunks, 5).collect() and {r.document_id for r in found} == {"b"}
+
+
+def test_packs_hold_the_postings(spark):
+    """Small packs, several projects and null names: packs and exploded terms are the same postings."""
+    rng = random.Random(3)
+    rows = [(f"d{k % 7}", k, " ".join(rng.choice(("red", "blue", "n1-x", "n2.y", "ab12")) for _ in range(6))) for k in range(60)]
+    chunks = chunk_rows(spark, rows).withColumn("project_id", F.when(F.col("chunk_index") % 3 > 0, F.concat(F.lit("p"), F.col("chunk_index") % 3)))
+    terms = chunk_terms(chunks)
+    packs = pack_postings(terms, size=8).cache()
+    assert max(len(r.chunk_ids) for r in packs.collect()) <= 8
+    columns = ["project_id", "document_id", "document_name", "chunk_index", "chunk_id", "kind", "surface"]
+    plain = sorted(map(str, explode_terms(terms).select(*columns).collect()))
+    assert plain == sorted(map(str, explode_packs(packs).select(*columns).collect()))
+    names = project_identifiers(packs)
+    assert {(r.project_id, r.kind, r.surface) for r in names.collect()} == {
+        (r.project_id, r.kind, r.surface) for r in explode_terms(terms).where("kind in ('w', 'd')").collect()
+    }
+
+
+def test_small_packs_change_no_rank(spark, monkeypatch):
+    """With packs of three chunks most are skipped once a query has its best; results stay."""
+    rng = random.Random(4)
+    words = ["alpha", "beta", "node01-east", "node01", "node01-west", "gamma", "x9y8", "delta"]
+    rows = [(f"d{k:02}", 0, " ".join(rng.choice(words) for _ in range(5))) for k in range(40)]
+    asked = questions(spark, [(f"q{k}", " ".join(rng.sample(words, 3))) for k in range(6)])
+    whole = keyword.retrieve_keyword(asked, chunk_rows(spark, rows), 4).collect()
+    monkeypatch.setattr(keyword, "build_index", lambda chunks: _small_index(chunks))
+    assert sorted(keyword.retrieve_keyword(asked, chunk_rows(spark, rows), 4).collect()) == sorted(whole)
+
+
+def _small_index(chunks):
+    built = build_index(chunks)
+    return Index(pack_postings(chunk_terms(chunks).coalesce(1), size=3), built.vocabulary, built.counts)
 
 
 def test_vector_threshold_nulls_and_zero_norm(spark):
