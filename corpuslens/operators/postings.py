@@ -246,18 +246,24 @@ class Index:
     counts: DataFrame
 
 
+def _project_packs(chunks: DataFrame) -> DataFrame:
+    """Packs of whole projects: texts are moved once (their terms would be as large), a project of any
+    size is spread over tasks and small ones share them."""
+    texts = chunks.where("is_active").select(*CHUNK_KEYS, "text", "is_active")
+    return pack_postings(chunk_terms(texts.hint("rebalance", "project_id")))
+
+
 def build_index(chunks: DataFrame) -> Index:
     """The index of the active chunks; their texts are cut into terms once."""
-    packs = durable(pack_postings(chunk_terms(chunks)))
+    packs = durable(_project_packs(chunks))
     identifiers = durable(project_identifiers(packs))
     counts = durable(gram_counts(identifiers))
     return Index(packs, durable(with_grams(identifiers, counts)), counts)
 
 
 def write_index(chunks: DataFrame, path: str) -> None:
-    """Store the index of a corpus.  Rebalancing gives a large project many tasks and packs whole."""
-    packs = pack_postings(chunk_terms(chunks).hint("rebalance", "project_id"))
-    packs.write.mode("overwrite").partitionBy("project_id").parquet(f"{path}/packs")
+    """Store the index of the active chunks by project."""
+    _project_packs(chunks).write.mode("overwrite").partitionBy("project_id").parquet(f"{path}/packs")
     spark = chunks.sparkSession
     identifiers = durable(project_identifiers(_by_project(spark, f"{path}/packs")))
     gram_counts(identifiers).write.mode("overwrite").parquet(f"{path}/grams")
