@@ -8,6 +8,7 @@ def load():
     from corpuslens.catalog import (  # noqa: F401
         corpus,
         grids,
+        mixed,
         quality,
         registry,
         search,

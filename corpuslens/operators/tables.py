@@ -10,6 +10,7 @@ from corpuslens.functions import text as tx
 from corpuslens.functions.joins import join_small
 from corpuslens.functions.ordered import top_per_key
 from corpuslens.schema import PARENT_KINDS, TABLE_KINDS
+from corpuslens.session import durable
 
 # Weights and limits of table scoring, and header words that mean the same.
 MIN_SCORE = 0.15
@@ -371,7 +372,7 @@ def budget_candidates(items: DataFrame, keys: tuple[str, ...], order: list[Colum
     Room only shrinks, so once a chunk of some size is skipped every later one of that size is
     skipped too: of each size only the first ``budget / size`` can be kept.  The rest of a table,
     however long, is counted but never brought together."""
-    sized = items.withColumn("words", tx.word_count(F.col("text")))
+    sized = items if "words" in items.columns else items.withColumn("words", tx.word_count(F.col("text")))
     # A chunk without words always fits, so each is a group of its own.
     alone = F.when(F.col("words") == 0, F.col("chunk_id"))
     per_size = Window.partitionBy(*keys, "words", alone).orderBy(*order)
@@ -450,24 +451,51 @@ def facet_groups(outcomes: DataFrame) -> DataFrame:
 _GROUP_STATE = "struct<left:int,groups:array<struct<facet:int,items:array<struct<_at:int,words:int,chunk_id:string>>,total:int,used:int,kept:array<struct<_at:int,words:int,chunk_id:string>>>>>"
 
 
+def budget_lists(items: DataFrame, keys: tuple[str, ...], budget: int = CONTEXT_BUDGET) -> DataFrame:
+    """Per key: ``items``, the chunks that can matter to a first fit within ``budget``, in order, as
+    (_at, words, chunk_id), and ``total``, how many chunks there are.  A list is bounded by the budget
+    whatever the size of the table, so it is made once and shared by all questions that chose it."""
+    places = ("_part", "_place", "_row", "_index")
+    slim = durable(  # without texts; read for the lists and for the totals
+        items.select(
+            *keys, "chunk_id", tx.word_count(F.col("text")).alias("words"),
+            *[c.alias(name) for name, c in zip(places, [part_order(), *expansion_order()], strict=False)],
+        )
+    )
+    order = [F.col(name) for name in (*places, "chunk_id")]
+    per_key = Window.partitionBy(*keys).orderBy(*order)
+    listed = (
+        budget_candidates(slim, keys, order, budget)
+        .withColumn("_at", F.row_number().over(per_key))
+        .groupBy(*keys)
+        .agg(F.array_sort(F.collect_list(F.struct("_at", "words", "chunk_id"))).alias("items"))
+    )
+    totals = slim.groupBy(*keys).agg(F.count(F.lit(1)).cast("int").alias("total"))
+    return totals.join(listed, [*keys], "left").withColumn(
+        "items", F.coalesce("items", F.array().cast("array<struct<_at:int,words:int,chunk_id:string>>"))
+    )
+
+
 def apply_shared_budget(
     groups: DataFrame, items: DataFrame, budget: int = CONTEXT_BUDGET
+) -> tuple[DataFrame, DataFrame]:
+    """``share_budget`` over expanded chunks that carry query_id, document_id and table_index."""
+    keys = ("query_id", "document_id", "table_index")
+    kept, outcome = share_budget(groups, budget_lists(items, keys, budget), keys, budget)
+    return items.join(kept.drop("first_facet"), [*keys, "chunk_id"]), outcome
+
+
+def share_budget(
+    groups: DataFrame, lists: DataFrame, on: tuple[str, ...], budget: int = CONTEXT_BUDGET
 ) -> tuple[DataFrame, DataFrame]:
     """Divide one budget over the tables of a question (at most four).
 
     Every table first gets an equal share; what is left over is offered, in order, to the tables
-    that were cut.  ``groups``: query_id, document_id, table_index, first_facet, facet_indexes;
-    ``items``: the expanded chunks with query_id.  A table without chunks counts as partial."""
+    that were cut.  ``groups``: query_id, document_id, table_index, first_facet, facet_indexes and
+    what ``lists`` (from ``budget_lists``) is joined on.  A table without chunks counts as partial.
+    Returns the kept chunk ids with their rank, and the outcome of each table."""
     keys = ("query_id", "document_id", "table_index")
-    order = [part_order(), *expansion_order()]
-    candidates = budget_candidates(items, keys, order, budget)
-    per_key = Window.partitionBy(*keys).orderBy(*order)
-    listed = (
-        candidates.withColumn("_at", F.row_number().over(per_key))
-        .groupBy(*keys)
-        .agg(F.array_sort(F.collect_list(F.struct("_at", "words", "chunk_id"))).alias("items"))
-    )
-    totals = items.groupBy(*keys).agg(F.count(F.lit(1)).cast("int").alias("total"))
+    listed = groups.join(lists, [*on], "left")
     entry = F.struct(
         F.col("first_facet").alias("facet"),
         F.coalesce("items", F.array().cast("array<struct<_at:int,words:int,chunk_id:string>>")).alias(
@@ -476,9 +504,7 @@ def apply_shared_budget(
         F.coalesce("total", F.lit(0)).alias("total"),
     )
     per_query = (
-        groups.join(listed, [*keys], "left")
-        .join(totals, [*keys], "left")
-        .groupBy("query_id")
+        listed.groupBy("query_id")
         .agg(F.array_sort(F.collect_list(entry)).alias("groups"))
     )
     share = F.floor(F.lit(budget) / F.size("groups")).cast("int")
@@ -538,9 +564,43 @@ def apply_shared_budget(
             F.col("item._at").alias("_at"), F.col("item.chunk_id").alias("chunk_id"),
         )
         .withColumn("rank", F.row_number().over(final))
-        .drop("first_facet", "_at")
+        .drop("_at")
+    )
+    return kept, outcome.drop("kept")
+
+
+def companion_budget(
+    groups: DataFrame, lists: DataFrame, companions: DataFrame, on: tuple[str, ...], budget: int = CONTEXT_BUDGET
+) -> tuple[DataFrame, DataFrame]:
+    """One table per question, then the plain text found in its document, within one budget.
+
+    ``companions``: query_id, chunk_id, words, rank, at most a pool per question.  Returns the kept chunk
+    ids with their rank and whether they are companions, and per question the words used and
+    whether anything was left out."""
+    item = F.struct(F.col("rank").cast("int").alias("_at"), "words", "chunk_id")
+    beside = companions.groupBy("query_id").agg(F.array_sort(F.collect_list(item)).alias("_beside"))
+    none = F.array().cast("array<struct<_at:int,words:int,chunk_id:string>>")
+    own, more = F.coalesce("items", none), F.coalesce("_beside", none)
+
+    def marked(items: Column, companion: bool) -> Column:
+        return F.transform(items, lambda i: i.withField("companion", F.lit(companion)))
+
+    fitted = (
+        groups.join(lists, [*on], "left")
+        .join(beside, "query_id", "left")
+        .withColumn("_fit", first_fit(F.concat(marked(own, False), marked(more, True)), F.lit(budget)))
+    )
+    summary = fitted.select(
+        "query_id",
+        F.col("_fit.used").alias("words_used"),
+        F.size("_fit.kept").alias("chunks_kept"),
+        (F.coalesce("total", F.lit(0)) + F.size(more) > F.size("_fit.kept")).alias("is_partial"),
+    )
+    kept = fitted.select("query_id", "document_id", "table_index", F.posexplode("_fit.kept").alias("_pos", "_item")).select(
+        "query_id", "document_id", "table_index", F.col("_item.chunk_id").alias("chunk_id"),
+        F.col("_item.companion").alias("companion"), (F.col("_pos") + 1).alias("rank"),
     )
-    return items.join(kept, [*keys, "chunk_id"]), outcome.drop("kept")
+    return kept, summary
 
 
 def _merge_ranges(ranges: DataFrame, keys: tuple[str, ...]) -> DataFrame:

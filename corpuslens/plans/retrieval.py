@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpuslens.functions import intent
 from corpuslens.functions.joins import join_small
+from corpuslens.functions.text import word_count
 from corpuslens.operators import tables as tb
 from corpuslens.operators.evidence import select_evidence
 from corpuslens.operators.fusion import (
@@ -195,46 +196,32 @@ def retrieve_full(
             "query_id",
         )
     )
-    identity = ["project_id", "document_id", "table_index"]
-    expanded = tb.expand_tables(chunks, groups).drop("is_active").join(
-        groups.select("query_id", "is_compound", *identity), identity
-    )
-    columns = [
-        "query_id", "project_id", "document_id", "document_name", "table_index", "chunk_index",
-        "chunk_id", "text", "meta",
-    ]
-    scores = ["vector_score", "keyword_score", "fused_score"]
-    no_scores = [F.lit(None).cast("double").alias(name) for name in scores]
-    places = ("_place", "_row", "_index")
-    inside = [c.alias(name) for c, name in zip(tb.expansion_order(), places)]
-    own = expanded.where(~F.col("is_compound")).select(
-        *columns, *no_scores, F.lit(0).alias("_source"), *inside
-    )
+    # What a table can give to a context is listed once per table, without texts; the questions that
+    # chose it share the list, and texts are looked up for what is kept.
+    identity = ("project_id", "document_id", "table_index")
+    tables = groups.select(*identity).distinct()
+    lists = durable(tb.budget_lists(tb.expand_tables(chunks, tables), identity, budget))
+    alone, shared = groups.where(~F.col("is_compound")), groups.where("is_compound")
     companions = (
         pool.where(tb.not_tabular() & ~F.col("is_compound"))
-        .join(
-            groups.where(~F.col("is_compound")).select("query_id", "document_id", "table_index"),
-            ["query_id", "document_id"],
-        )
-        .select(
-            *columns, *scores, F.lit(1).alias("_source"),
-            F.col("rank").alias("_place"), F.lit(0).alias("_row"), F.lit(0).alias("_index"),
-        )
-    )
-    keys = ("query_id",)
-    order = [F.col(name) for name in ("_source", *places, "chunk_id")]
-    kept_single, single_fit = tb.apply_budget(own.unionByName(companions), keys, order, budget)
-    compound_items = expanded.where("is_compound").select(*columns)
-    kept_shared, shared_fit = tb.apply_shared_budget(
-        groups.where("is_compound").select(
-            "query_id", "document_id", "table_index", "first_facet", "facet_indexes"
-        ),
-        compound_items,
-        budget,
-    )
-    context = kept_single.select(*columns, *scores, "rank").unionByName(
-        kept_shared.select(*columns, *no_scores, "rank")
-    )
+        .join(alone.select("query_id", "document_id"), ["query_id", "document_id"])
+        .select("query_id", "chunk_id", word_count(F.col("text")).alias("words"), "rank", "vector_score", "keyword_score", "fused_score")
+    )
+    kept_single, single_fit = tb.companion_budget(alone, lists, companions, identity, budget)
+    kept_shared, shared_fit = tb.share_budget(shared, lists, identity, budget)
+    single_fit = durable(single_fit)
+    shared_fit = durable(shared_fit)
+    scores = ("vector_score", "keyword_score", "fused_score")
+    kept = durable(
+        kept_single.withColumn("facet_indexes", F.lit(None).cast("array<int>")).unionByName(
+            kept_shared.drop("first_facet").withColumn("companion", F.lit(False))
+        ).join(groups.select("query_id", "project_id").distinct(), "query_id")
+        .join(companions.select("query_id", "chunk_id", *scores).withColumn("companion", F.lit(True)), ["query_id", "chunk_id", "companion"], "left")
+        .drop("companion")
+    )
+    wanted = kept.select("project_id", "chunk_id").distinct()
+    contents = chunks.where("is_active").select("project_id", "document_name", "chunk_index", "chunk_id", "text", "meta")
+    context = kept.join(join_small(contents, wanted, ["project_id", "chunk_id"]), ["project_id", "chunk_id"])
     settings = facets.where("facet_index = 0").select(
         "query_id", "query", "top_k", "reranker_enabled", "is_compound"
     )
