@@ -44,6 +44,8 @@ SAMPLE_ROWS = 5000
 #: The share of ordinary samples that may reach the threshold, which is also the likelihood ratio
 #: that a segment has at least.
 FALSE_ALARMS = 0.001
+#: The weight of kinds of characters in both models.
+BROAD = 0.5
 REPLACEMENT = "[secret]"
 
 
@@ -96,10 +98,15 @@ def _pairs() -> dict[str, int]:
 
 
 class Markov:
-    """First-order character models of both labels and the threshold between them."""
+    """First-order character models of both labels and the threshold between them.
 
-    def __init__(self, random: list[str], ordinary: list[str], smoothing: float = 0.5):
+    A step's likelihood is its share after the character before, mixed with the share of its kind of
+    character (small, capital, digit, delimiter) after that kind, evenly over the kind; so a word of another language is
+    still a word.  The threshold is a quantile of ``held_out`` ordinary strings, or of the counted ones if there are none."""
+
+    def __init__(self, random: list[str], ordinary: list[str], smoothing: float = 0.5, held_out: list[str] | None = None):
         at, n = _pairs(), len(ALPHABET)
+        kinds = [0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3 for c in ALPHABET]
         tables = []
         for sample in (random, ordinary):
             count = [[smoothing] * n for _ in range(n)]
@@ -107,11 +114,15 @@ class Markov:
                 for a, b in zip(word, word[1:]):
                     if a in at and b in at:
                         count[at[a]][at[b]] += 1
-            tables.append([[math.log(x / sum(row)) for x in row] for row in count])
+            broad = [[sum(count[a][b] for a in range(n) for b in range(n) if (kinds[a], kinds[b]) == (x, y)) for y in range(4)] for x in range(4)]
+            even = [[broad[kinds[a]][kinds[b]] / sum(broad[kinds[a]]) / kinds.count(kinds[b]) for b in range(n)] for a in range(n)]
+            tables.append(
+                [[math.log((1 - BROAD) * x / sum(row) + BROAD * even[a][b]) for b, x in enumerate(row)] for a, row in enumerate(count)]
+            )
         # A step to a delimiter is no evidence of a key; else words before one would belong to it.
         self.ratio = [min(r - o, 0.0) if c in DELIMITERS else r - o for a, b in zip(*tables) for c, r, o in zip(ALPHABET, a, b)]
         self.threshold = math.log(1 / FALSE_ALARMS)
-        scores = sorted(self.score(w) for w in ordinary if len(w) > 1)
+        scores = sorted(self.score(w) for w in held_out or ordinary if len(w) > 1)
         if scores:
             high = scores[min(len(scores) - 1, int(len(scores) * (1 - FALSE_ALARMS)))]
             self.threshold = max(self.threshold, high + 1e-3)
@@ -198,11 +209,32 @@ class Markov:
         return F.filter(joined, lambda s: s["end"] - s["start"] >= LEAST_MODEL)
 
 
-def labelled_samples(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS, rows: int = SAMPLE_ROWS) -> tuple[list[str], list[str]]:
-    """(random, ordinary) strings labelled by the base patterns in a hash sample of about
-    ``sample_docs`` documents: what they catch is random; long runs of key characters of texts
-    without a catch, alone and joined as identifiers are, are ordinary.  At most ``rows`` strings
-    of each label are taken, the first by hash."""
+def identifiers(words: list[str]) -> list[str]:
+    """Ordinary words joined as code, paths and file names join them: camel case, constants, words with
+    numbers, dated paths, time stamps."""
+    made = []
+    for k in range(len(words) - 4):
+        a, b, c, d, e = (w.lower() for w in words[k : k + 5])
+        year, month, day = 1985 + k % 50, 1 + k % 12, 1 + k % 28
+        clock = f"{k * 7 % 24:02}{k * 11 % 60:02}{k * 13 % 60:02}"
+        camel = [w.capitalize() for w in (a, b, c, d, e)]
+        made += [
+            "".join(camel[: 2 + k % 4]),
+            a + "".join(camel[1 : 3 + k % 3]) + (str(k % 100) if k % 3 == 0 else ""),
+            "_".join((a, b, c)).upper(),
+            f"/{a}/{year}/{month:02}/{day:02}/{b}_{c}",
+            f"{camel[0]}{camel[1]}_{year}-{month:02}-{day:02}_{d}",
+            f"/{a}/{b}{k % 10}/{c}-{year}{month:02}{day:02}{clock}-{d}" if k % 2 else f"{a}-{b}_v{k % 20}_{k % 5}_{k * 37 % 1000}",
+        ]
+    return made
+
+
+def labelled_samples(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS, rows: int = SAMPLE_ROWS) -> tuple[list[str], list[str], list[str]]:
+    """(random, ordinary, held-out ordinary) strings labelled by the base patterns in a hash sample of
+    about ``sample_docs`` documents: what they catch is random; long runs of key characters of texts
+    without a catch, alone and joined as identifiers are, and their words joined as ``identifiers``, are
+    ordinary.  At most ``rows`` strings of each label are taken, the first by hash; a fifth of the ordinary
+    ones, by their words, is held out."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     share = max(1, docs.count() // sample_docs)
     part = docs.filter(F.pmod(F.xxhash64(integer_id(docs, id_col)), F.lit(share)) == 0).select(text.alias("t"))
@@ -211,18 +243,30 @@ def labelled_samples(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         F.regexp_extract_all("t", F.lit(ASSIGN), F.lit(2)), F.regexp_extract_all("t", F.lit(ACCESS), F.lit(0))
     )
     long_ = F.regexp_extract_all("t", F.lit(r"[A-Za-z0-9+/_=-]{10,64}"), F.lit(0))
+    plain = F.regexp_extract_all("t", F.lit(r"\b[A-Za-z]{3,12}\b"), F.lit(0))
 
     def first(words: DataFrame) -> list[str]:
         return [r["w"] for r in words.distinct().orderBy(F.xxhash64("w"), "w").limit(rows).collect()]
 
     random = first(part.filter(has).select(F.explode(secret).alias("w")).filter("length(w) between 12 and 256"))
-    ordinary = first(part.filter(~has).select(F.explode(long_).alias("w")))
-    joints = ["_", "-", "/", ""]
-    joined = [a[:16] + joints[k % 4] + b[:16] for k, (a, b) in enumerate(zip(ordinary, ordinary[1:]))]
-    # Paths of eight, as long runs are.
-    joints = ["/", "_", "-", "=", "/", "-", "_", ""]
-    paths = ["".join(w[:16] + joints[(k + j) % 8] for j, w in enumerate(ordinary[k : k + 8])) for k in range(len(ordinary) - 7)]
-    return random, ordinary + joined + paths
+    runs = first(part.filter(~has).select(F.explode(long_).alias("w")))
+    words = first(part.filter(~has).select(F.explode(plain).alias("w")))
+
+    def ordinary(runs: list[str], words: list[str]) -> list[str]:
+        joints = ["_", "-", "/", ""]
+        joined = [a[:16] + joints[k % 4] + b[:16] for k, (a, b) in enumerate(zip(runs, runs[1:]))]
+        # Paths of eight, as long runs are.
+        joints = ["/", "_", "-", "=", "/", "-", "_", ""]
+        paths = ["".join(w[:16] + joints[(k + j) % 8] for j, w in enumerate(runs[k : k + 8])) for k in range(len(runs) - 7)]
+        return runs + joined + paths + identifiers(words)
+
+    fifth = lambda items, kept: [w for k, w in enumerate(items) if (k % 5 > 0) == kept]
+    return random, ordinary(fifth(runs, True), fifth(words, True)), ordinary(fifth(runs, False), fifth(words, False))
+
+
+def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> Markov:
+    random, ordinary, held_out = labelled_samples(docs, id_col=id_col, text_col=text_col)
+    return Markov(random, ordinary, held_out=held_out)
 
 
 def _left(run: Column, base: Column) -> Column:
@@ -250,7 +294,7 @@ def find_secrets(
 ) -> DataFrame:
     """Per row: the id, n_assign, n_access, n_hex, ``base`` and ``spans`` (arrays of kind, start, end
     in code points, by start, then kind); with ``keep_rows`` also ``row``."""
-    model = model or Markov(*labelled_samples(docs, id_col=id_col, text_col=text_col))
+    model = model or train(docs, id_col=id_col, text_col=text_col)
     rows = docs.select(
         integer_id(docs, id_col).alias("id"),
         F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"),

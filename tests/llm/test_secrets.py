@@ -77,3 +77,26 @@ def test_mask_and_training(spark, rng):
 
 def test_empty(spark):
     assert secrets.find_secrets(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_rates_by_kind_of_string(spark, rng):
+    """Trained on prose of made-up words: keys are found, identifiers of other words are left alone."""
+    parts = ["th", "er", "an", "in", "re", "on", "at", "en", "or", "es", "ou", "ing", "ti", "st", "le", "ha", "mo", "pe", "ca", "du", "fi", "go", "lu", "be"]
+    word = lambda: "".join(rng.choice(parts) for _ in range(rng.randrange(1, 5)))
+    key = lambda n: "".join(rng.choice("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(n))
+    docs = [(k, " ".join(word() for _ in range(80)) + (f' token = "{key(40)}"' if k % 4 == 0 else ""), None, 1) for k in range(800)]
+    model = secrets.train(spark.createDataFrame(docs, DOCS))
+    found = lambda make: sum(model.score(make()) >= model.threshold for _ in range(500)) / 500
+    other = "get user account balance index value stream reader file system config manager handler request client server".split()
+    pick = lambda: rng.choice(other)
+    assert min(found(lambda n=n: key(n)) for n in (20, 24, 32, 40)) >= 0.98
+    assert found(lambda: "/".join(word() for _ in range(6)) + "/" + key(32)) >= 0.98
+    for ordinary in (
+        lambda: "".join(word().capitalize() for _ in range(4)),
+        lambda: "".join(pick().capitalize() for _ in range(4)),
+        lambda: pick() + "".join(pick().capitalize() for _ in range(3)) + str(rng.randrange(100)),
+        lambda: f"/{pick()}/{rng.randrange(1990, 2030)}/{rng.randrange(1, 13):02}/{rng.randrange(1, 29):02}/{pick()}_{pick()}",
+        lambda: "_".join(pick() for _ in range(4)).upper(),
+        lambda: "_".join(pick() for _ in range(5)),
+    ):
+        assert found(ordinary) <= 0.01
