@@ -6,8 +6,12 @@ Neighbouring windows of one anchor are one segment.  An anchor seen once has no
 segment seen twice is repeated as a whole; of the other segments of an anchor, one copy each goes
 into a run-length index, whose matching statistics mark the windows that begin elsewhere as well.
 
-Indexes are built per shard of anchors.  An anchor with very many distinct segments is not put into
-one shard: its windows are counted by 128-bit hash instead, which is exact for windows and splits.
+Indexes are built per shard of anchors.  An anchor with very many distinct segments is divided over
+several indexes: its windows are dealt by where the anchor stands in them (a few classes of places) and
+by the text that all windows of that class have around it, so each window is whole in one index and
+equal windows meet.  What is still crowded is divided again, by finer classes, down to single places.
+So digests only ever tell which segments are copies of each other; everything else is decided by the
+matching statistics of an index.
 
 Cases: a null text is empty; texts shorter than the window lose nothing; matches never cross texts;
 repeated rows are repeated strings; rows of equal or no id are told apart by their texts; texts of
@@ -36,23 +40,35 @@ WINDOW = 200
 GRAM = 32
 #: Places that one pass works on, bytes of one index, and segments of an anchor that one may hold.
 BLOCK, SHARD_BYTES, ANCHOR_SEGMENTS = 1 << 20, 1 << 20, 8192
+#: Classes of anchor places by which a crowded anchor is divided, one after another; then by place.
+CLASSES = (4, 16)
 _ODD = [np.uint64(0x9E3779B97F4A7C15 + 2 * 0x632BE5AB0F0E1D * k) for k in range(16)]
 _PLACE = np.uint64((1 << 24) - 1)
 
 
+def gram_keys(part: np.ndarray, gram: int) -> np.ndarray:
+    """A hash per gram of bytes."""
+    h = part.astype(np.uint64) + np.uint64(1)
+    size, level = 1, 0
+    while size < gram:
+        h = h[:-size] * _ODD[level] + h[size:]
+        size, level = 2 * size, level + 1
+    return mix(h)
+
+
+def _ordered(keys: np.ndarray) -> np.ndarray:
+    """Keys that compare by hash, then by place."""
+    return (keys & ~_PLACE) | np.arange(len(keys), dtype=np.uint64)
+
+
 def segments(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> Iterator[tuple[np.ndarray, ...]]:
     """(anchor hash, first window, windows) of all segments of flat texts, in order of place; blocks
     overlap by a window, so each window belongs to one segment."""
     ends = offsets[1:]
     for first in range(0, max(0, len(data) - window + 1), BLOCK):
         part = data[first : first + BLOCK + window - 1]
-        h = part.astype(np.uint64) + np.uint64(1)
-        size, level = 1, 0
-        while size < gram:
-            h = h[:-size] * _ODD[level] + h[size:]
-            size, level = 2 * size, level + 1
-        h = mix(h)
-        low = (h & ~_PLACE) | np.arange(len(h), dtype=np.uint64)
+        h = gram_keys(part, gram)
+        low = _ordered(h)
         wide, span = window - gram + 1, 1
         while 2 * span <= wide:
             low = np.minimum(low[:-span], low[span:])
@@ -142,19 +158,75 @@ def _index(window: int):
     return run
 
 
-def _hashes(window: int):
+def divided(text: bytes, window: int, gram: int, classes: int) -> Iterator[tuple[int, int, int]]:
+    """(group, first, windows): a segment's windows by the class of the anchor's place in them.  The group
+    is a digest of the class and of what all its windows have in common, anchor included."""
+    places, windows = window - gram + 1, len(text) - window + 1
+    # The anchor is the leftmost gram of least hash of the whole segment, as it is of each window.
+    at = int(_ordered(gram_keys(np.frombuffer(text, np.uint8), gram)).argmin())
+    width = -(-places // classes)
+    for low in range(0, places, width):
+        high = min(low + width, places) - 1  # places low to high of the anchor in the window
+        first, last = max(0, at - high), min(windows - 1, at - low)
+        if first <= last:
+            common = text[at - low : at - high + window]
+            yield _digest(low.to_bytes(4, "little") + common), first, last - first + 1
+
+
+_PARTS = "home long, segment long, first long, windows long, anchor long, part long, bytes binary"
+
+
+def _divide(window: int, gram: int, classes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for anchor, segment, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                n = len(text) - window + 1
-                keys = [hashlib.blake2b(text[k : k + window], digest_size=16).digest() for k in range(n)]
-                yield pa.RecordBatch.from_pydict(
-                    {"anchor": pa.array([anchor] * n, pa.int64()), "segment": pa.array([segment] * n, pa.int64()), "place": pa.array(range(n), pa.int64()), "hash": pa.array(keys, pa.binary())}
-                )
+            for row in batch.to_pylist():
+                parts = []
+                for group, first, windows in divided(row["bytes"], window, gram, classes):
+                    text = row["bytes"][first : first + windows + window - 1]
+                    anchor = _digest(row["anchor"].to_bytes(8, "little", signed=True) + group.to_bytes(8, "little", signed=True))
+                    parts.append((row["home"], row["segment"], row["first"] + first, windows, anchor, _digest(text), text))
+                names = [field.split()[0] for field in _PARTS.split(", ")]
+                kinds = [pa.int64()] * 6 + [pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*parts, strict=True), kinds, strict=True)], names=names)
 
     return run
 
 
+def _marks(pieces: DataFrame, window: int, shard_bytes: int) -> DataFrame:
+    """(anchor, segment, runs) from indexes of distinct segments, by shard of anchors."""
+    total = pieces.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
+    shards = max(1, total // shard_bytes)
+    dealt = pieces.select(F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"), "anchor", "segment", "bytes")
+    return dealt.groupBy("shard").applyInPandas(_index(window), "anchor long, segment long, runs array<long>")
+
+
+def _crowded_marks(pieces: DataFrame, window: int, gram: int, limit: int, shard_bytes: int) -> DataFrame | None:
+    """(anchor, segment, runs) of crowded anchors, divided until every index is of bounded size."""
+    open_, found = pieces.select(F.col("anchor").alias("home"), "segment", F.lit(0).cast("long").alias("first"), "anchor", "bytes"), None
+    for classes in (*CLASSES, window - gram + 1):
+        if open_.isEmpty():
+            break
+        parts = durable(open_.mapInArrow(_divide(window, gram, classes), _PARTS))
+        copies = durable(
+            parts.groupBy("anchor", "part").agg(F.count("*").alias("n"), F.min(F.struct("home", "segment", "first", "bytes")).alias("one"))
+        )
+        finest = classes > window - gram
+        crowd = copies.groupBy("anchor").agg(F.count("*").alias("d")).filter((F.col("d") > limit) & F.lit(not finest)).select("anchor")
+        crowd = durable(crowd)
+        calm = copies.join(crowd, "anchor", "left_anti").select("anchor", F.col("part").alias("segment"), "one.bytes")
+        runs = _marks(calm, window, shard_bytes).withColumnRenamed("segment", "part")
+        every = F.array(F.col("first"), F.col("first") + F.col("windows") - 1)
+        slim = parts.select("home", "segment", "first", "windows", "anchor", "part")
+        copied = slim.join(copies.filter("n > 1").select("anchor", "part"), ["anchor", "part"]).select("home", "segment", every.alias("runs"))
+        partly = slim.join(runs, ["anchor", "part"]).select("home", "segment", F.transform("runs", lambda r: r + F.col("first")).alias("runs"))
+        level = durable(copied.unionByName(partly))
+        found = level if found is None else found.unionByName(level)
+        open_ = copies.join(crowd, "anchor").select("one.home", "one.segment", "one.first", "anchor", "one.bytes")
+    if found is None:
+        return None
+    return found.groupBy(F.col("home").alias("anchor"), "segment").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+
+
 def _finish(window: int, emit_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -222,16 +294,9 @@ def remove_repeats(
     pieces = pieces.mapInArrow(_cut_out(window), "anchor long, segment long, bytes binary")
     crowded = mixed.groupBy("anchor").agg(F.count("*").alias("d")).filter(F.col("d") > anchor_segments).select("anchor", F.lit(True).alias("crowded"))
     pieces = durable(pieces.join(crowded, "anchor", "left"))
-    total = pieces.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
-    shards = max(1, total // shard_bytes)
-    calm = pieces.filter("crowded is null").select(F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"), "anchor", "segment", "bytes")
-    marks = calm.groupBy("shard").applyInPandas(_index(window), "anchor long, segment long, runs array<long>")
-    windows = pieces.filter("crowded").select("anchor", "segment", "bytes").mapInArrow(_hashes(window), "anchor long, segment long, place long, hash binary")
-    again = windows.distinct().groupBy("anchor", "hash").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    split = windows.distinct().join(again, ["anchor", "hash"]).groupBy("anchor", "segment").agg(
-        F.flatten(F.collect_list(F.array("place", "place"))).alias("runs")
-    )
-    marks = durable(marks.unionByName(split))
+    marks = _marks(pieces.filter("crowded is null"), window, shard_bytes)
+    split = _crowded_marks(pieces.filter("crowded"), window, gram, anchor_segments, shard_bytes)
+    marks = durable(marks if split is None else marks.unionByName(split))
 
     whole = mixed.filter("n > 1").select("anchor", "segment", F.lit(True).alias("whole"))
     judged = hits.join(whole.join(marks, ["anchor", "segment"], "full"), ["anchor", "segment"], "left")

@@ -50,6 +50,41 @@ def test_equals_brute_force(spark, rng, window, gram, crowd):
     assert all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 and len(r.spans) == r.n_spans for r in got)
 
 
+def test_crowded_anchors(spark, rng, monkeypatch):
+    """One passage in many different surroundings: every level of division decides some windows."""
+    window, gram = 60, 16
+    letters = "abcdefgh"
+    prose = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    line, long_ = prose(40), prose(90)
+    docs = [(k, prose(rng.randrange(50)) + line + prose(rng.randrange(50)), None, None) for k in range(60)]
+    docs += [(100 + k, line[:30] + prose(5) + long_[rng.randrange(30) :] + prose(9), None, None) for k in range(40)]
+    docs += [(200 + k, prose(3) + line + "same tail of all of them, and long enough"[: 10 + k], None, None) for k in range(25)]
+    levels = []
+    real = repeats._divide
+    monkeypatch.setattr(repeats, "_divide", lambda *given: levels.append(given[2]) or real(*given))
+    got = repeats.remove_repeats(spark.createDataFrame(docs, DOCS), window=window, gram=gram, anchor_segments=4, shard_bytes=2000).collect()
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got), key=str) == brute(docs, window)
+    assert levels == [4, 16, window - gram + 1]
+
+
+def test_division_keeps_every_window_once(rng):
+    """Equal windows of different segments fall into groups of the same name, each window into one."""
+    window, gram = 60, 16
+    data = np.frombuffer(bytes(rng.choice(b"abcdef") for _ in range(3000)), np.uint8)
+    data = np.concatenate([data, data[500:1500], data[100:700]])
+    groups = {}
+    for _, starts, counts in repeats.segments(data, np.array([0, len(data)]), window, gram):
+        for s, n in zip(starts.tolist(), counts.tolist()):
+            text = data[s : s + n + window - 1].tobytes()
+            held = []
+            for group, first, windows in repeats.divided(text, window, gram, 4):
+                for k in range(first, first + windows):
+                    held.append(k)
+                    groups.setdefault(text[k : k + window], set()).add(group)
+            assert sorted(held) == list(range(n))
+    assert all(len(g) == 1 for g in groups.values())
+
+
 def test_matching_statistics(rng):
     for _ in range(15):
         strings = [bytes(rng.choice(b"ab\xff\x00") for _ in range(rng.randrange(60))) for _ in range(rng.randrange(1, 8))]
