@@ -310,15 +310,18 @@ def shared_budget(spark, sf_dir):
       flagged AS (SELECT *, CASE WHEN f > coalesce(max(l) OVER (PARTITION BY k ORDER BY f, l ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) + 1 THEN 1 ELSE 0 END AS fresh FROM spans),
       islands AS (SELECT *, sum(fresh) OVER (PARTITION BY k ORDER BY f, l ROWS UNBOUNDED PRECEDING) AS island FROM flagged),
       merged AS (SELECT k, island, min(f) AS f, max(l) AS l FROM islands GROUP BY ALL)
-      SELECT CAST(k AS VARCHAR) AS document_id, string_agg(f || '-' || l, ',' ORDER BY f) AS row_ranges FROM merged GROUP BY k""",
+      SELECT CAST(k AS VARCHAR) AS document_id, string_agg(f || '-' || l, ',' ORDER BY f) AS row_ranges,
+        (SELECT max(CASE WHEN l_linenumber % 3 = 0 THEN l_linenumber * 4 ELSE NULLIF(CAST(l_quantity AS INTEGER) % 5, 0) END) FROM lineitem WHERE l_orderkey = k) AS total_rows FROM merged GROUP BY k""",
 )
 def table_coverage(spark, sf_dir):
-    """Merged row ranges per order."""
+    """Merged row ranges and the known number of rows per order."""
     first = F.col("l_linenumber") * 2
     parts = base.table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").cast("string").alias("document_id"),
         schema.meta(
-            data_row_start=first, data_row_end=first + F.col("l_quantity").cast("int") % 4
+            data_row_start=first, data_row_end=first + F.col("l_quantity").cast("int") % 4,
+            total_rows=F.when(F.col("l_linenumber") % 3 == 0, F.col("l_linenumber") * 4),
+            row_count=F.when(F.col("l_linenumber") % 3 > 0, F.col("l_quantity").cast("int") % 5),
         ).alias("meta"),
     )
     covered = tb.table_coverage(parts, ("document_id",))
@@ -327,6 +330,7 @@ def table_coverage(spark, sf_dir):
         F.array_join(
             F.transform("row_ranges", lambda r: F.concat_ws("-", r["first"], r["last"])), ","
         ).alias("row_ranges"),
+        "total_rows",
     )
 
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslens.functions import text as tx
-from corpuslens.functions.ordered import dense_index, top_per_key
+from corpuslens.functions.ordered import BUCKET, dense_index, top_per_key
 
 # Lengths, reply patterns and headings.
 HISTORY = 6
@@ -45,25 +45,27 @@ def recent_history(messages: DataFrame, n: int = HISTORY) -> DataFrame:
     )
 
 
-def history_before(messages: DataFrame, n: int = HISTORY) -> DataFrame:
-    """For every message, the ``n`` before it.
+def history_before(messages: DataFrame, n: int = HISTORY, bucket: int = BUCKET) -> DataFrame:
+    """For every message, the ``n`` before it.  ``turn`` is an integer.
 
-    Each message hands itself to the ``n`` positions after it, so a conversation of any length is
-    spread by position and no group holds more than ``n`` messages.  ``turn`` is an integer."""
+    A conversation is cut into buckets of positions; the last ``n`` messages of a bucket are handed to
+    the next one as well, and a window of ``n`` rows runs inside each bucket.  So a conversation of any
+    length is spread, and contents are moved twice: to find positions, and to their bucket."""
+    size = max(bucket, n)
     placed = dense_index(
         messages, CONVERSATION, F.floor(F.col("turn") / 4096), [F.col("turn")], "_at"
     )
-    handed = placed.select(
-        *CONVERSATION,
-        F.explode(F.sequence(F.col("_at") + 1, F.col("_at") + n)).alias("_for"),
-        F.struct(F.col("_at").alias("at"), "role", "content").alias("item"),
-    )
-    earlier = handed.groupBy(*CONVERSATION, F.col("_for").alias("_at")).agg(
-        F.transform(
-            F.array_sort(F.collect_list("item")), lambda m: F.struct(m["role"], m["content"])
-        ).alias("history")
+    own = F.floor(F.col("_at") / size)
+    last = F.col("_at") % size >= size - n
+    dealt = placed.select("*", F.explode(F.when(last, F.array(own, own + 1)).otherwise(F.array(own))).alias("_bucket"))
+    before = Window.partitionBy(*CONVERSATION, "_bucket").orderBy("_at").rowsBetween(-n, -1)
+    earlier = F.collect_list(F.struct("role", "content")).over(before)
+    return (
+        dealt.withColumn("history", earlier)
+        .where(F.col("_bucket") == own)
+        .withColumn("history", F.when(F.size("history") > 0, F.col("history")))
+        .drop("_at", "_bucket")
     )
-    return placed.join(earlier, [*CONVERSATION, "_at"], "left").drop("_at")
 
 
 def pending_clarification(messages: DataFrame) -> DataFrame:

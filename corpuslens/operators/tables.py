@@ -631,14 +631,14 @@ def table_coverage(chunks: DataFrame, keys: tuple[str, ...]) -> DataFrame:
         F.when(ranged, last).when(row > 0, row).alias("last"),
         F.when(known > 0, known).alias("known"),
     )
-    # Ranges are merged within slots of rows first, then the few merged ones across slots.
-    slot = F.floor(F.col("first") / ROWS_PER_SLOT)
-    per_slot = _merge_ranges(
-        spans.where(F.col("first").isNotNull()).select(*keys, "first", "last").distinct().withColumn("_slot", slot),
-        (*keys, "_slot"),
-    )
+    # Ranges are merged within slots of rows, then within slots of slots, then what is left across them:
+    # a table of a billion rows is a thousand windows, then one of a thousand rows.
+    merged = spans.where(F.col("first").isNotNull()).select(*keys, "first", "last").distinct()
+    for rows in (ROWS_PER_SLOT, ROWS_PER_SLOT**2):
+        slots = merged.withColumn("_slot", F.floor(F.col("first") / rows))
+        merged = _merge_ranges(slots, (*keys, "_slot")).drop("_slot")
     islands = (
-        _merge_ranges(per_slot.drop("_slot"), keys)
+        _merge_ranges(merged, keys)
         .groupBy(*keys)
         .agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("row_ranges"))
     )

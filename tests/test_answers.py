@@ -25,6 +25,9 @@ def test_history_is_the_last_messages_oldest_first(spark):
     assert got == [f"t{i}" for i in range(3, 9)]
     before = cv.history_before(talk.withColumn("turn", F.col("created_at")), 2).where("message_id = 'm5'").first()
     assert [m.content for m in before.history] == ["t3", "t4"]
+    # Small buckets: what a message sees does not depend on where a bucket ends.
+    plain = cv.history_before(talk.withColumn("turn", F.col("created_at")), 3).collect()
+    assert sorted(plain) == sorted(cv.history_before(talk.withColumn("turn", F.col("created_at")), 3, bucket=1).collect())
 
 
 CANDIDATES = [
