@@ -6,6 +6,7 @@ from __future__ import annotations
 def load():
     """(queries, oracles) of all catalog modules."""
     from corpuslens.catalog import (  # noqa: F401
+        chatting,
         corpus,
         grids,
         mixed,
