@@ -244,6 +244,29 @@ def chunk_store(spark, sf_dir):
     )
 
 
+@query(
+    "compacted_store",
+    with_(sqlbase.CHUNKS, body="""SELECT document_id, chunk_index, CASE WHEN doc_id % 3 = 0 THEN 'second ' ELSE '' END || md5(chunks.text) AS content,
+          doc_id % 3 = 0 AS rewritten FROM chunks JOIN docs USING (document_id)"""),
+)
+def compacted_store(spark, sf_dir):
+    """Every third document written again by another writer, the first version replayed after that (it
+    keeps its place), and the active chunks compacted into a new store."""
+    import uuid
+
+    path = f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
+    chunks = durable(base.text_chunks(spark, sf_dir).drop("meta"))
+    plain = chunks.withColumn("text", F.md5("text"))
+    third = plain.where("cast(document_id as long) % 3 = 0").withColumn("text", F.concat(F.lit("second "), "text"))
+    ing.write_chunks(plain, path, writer="load", version=1)
+    ing.write_chunks(third, path, writer="again", version=1)
+    ing.write_chunks(plain, path, writer="load", version=1)
+    ing.compact_chunks(spark, path, f"{path}-compact")
+    return ing.read_chunks(spark, f"{path}-compact").where("is_active").select(
+        "document_id", "chunk_index", F.col("text").alias("content"), F.startswith("text", F.lit("second")).alias("rewritten")
+    )
+
+
 _ARRIVALS_SQL = """docs AS (
   SELECT source AS project_id, doc_id || '#' || v AS document_id, 'doc-' || doc_id || '.txt' AS document_name,
          text || CASE v WHEN 0 THEN '' WHEN 1 THEN ' once more' ELSE ' and again' END AS text, doc_id, v

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -198,42 +199,75 @@ def delete_projects(tables: dict[str, DataFrame], gone: DataFrame) -> dict[str,
     return {name: df.join(doomed, "project_id", "left_anti") for name, df in tables.items()}
 
 
+_LOG = "project_id string, document_id string, sequence long, writer string, version long"
+
+
+def _log(spark: SparkSession, path: str) -> DataFrame:
+    """Which version of which writer holds a document, and when in the store's own order it came."""
+    try:
+        return spark.read.schema(_LOG).parquet(f"{path}/log")
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        return spark.createDataFrame([], _LOG)
+
+
 def write_chunks(chunks: DataFrame, path: str, *, writer: str, version: int) -> None:
     """Write one version of a writer; writing it again replaces just that version.
 
-    Writers never touch each other's versions, so a batch load and streams share a store."""
+    Writers never touch each other's versions, so a batch load and streams share a store.  The
+    version's documents go to a small log after its chunks: a version counts from then on, as a whole,
+    and newer by the log's sequence, whatever the clocks of the writers say.  A version that is written
+    again keeps its place; two writers at the same moment may share a number, and the later name wins."""
+    spark = chunks.sparkSession
+    mine = (F.col("writer") == writer) & (F.col("version") == version)
+    known = _log(spark, path).agg(F.max(F.when(mine, F.col("sequence"))).alias("own"), F.max("sequence").alias("last")).first()
+    sequence = known["own"] if known["own"] is not None else (known["last"] or 0) + 1
     (
         chunks.drop("is_active")
         .withColumn("writer", F.lit(writer))
         .withColumn("version", F.lit(version))
-        .withColumn("written_at", F.current_timestamp())
         .hint("rebalance", "project_id")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("writer", "version", "project_id")
-        .parquet(path)
+        .parquet(f"{path}/chunks")
     )
+    written = _stored(spark, path).where(mine).select(*DOC).distinct()
+    (
+        written.withColumns({"sequence": F.lit(sequence), "writer": F.lit(writer), "version": F.lit(version)})
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("sequence", "writer", "version")
+        .parquet(f"{path}/log")
+    )
+
+
+def _stored(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/chunks").withColumns({name: F.col(name).cast("string") for name in ("project_id", "writer")})
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     """The store: a chunk is active when its document was not written again later.
 
-    Only documents with several versions are looked up; texts and vectors are not shuffled while
-    these are few."""
-    stored = spark.read.parquet(path).withColumns(
-        {name: F.col(name).cast("string") for name in ("project_id", "writer")}
-    )
-    turn = F.struct("written_at", "writer", "version")
+    All that is grouped is the log, one row per document and version.  Versions that are not in it
+    are not read; only documents with several versions are looked up, so texts and vectors are not
+    shuffled while these are few."""
+    log = _log(spark, path)
+    turn = F.struct("sequence", "writer", "version")
     again = (
-        stored.groupBy(*DOC)
-        .agg(F.max(turn).alias("_newest"), F.min(turn).alias("_oldest"))
-        .where("_newest <> _oldest")
-        .select(*DOC, "_newest")
+        log.groupBy(*DOC)
+        .agg(F.max(turn).alias("_newest"), F.count(F.lit(1)).alias("_n"))
+        .where("_n > 1")
+        .select(*DOC, F.col("_newest.writer").alias("_writer"), F.col("_newest.version").alias("_version"))
     )
+    whole = log.select("writer", F.col("version").cast("int").alias("version")).distinct()
+    stored = join_small(_stored(spark, path), whole, ["writer", "version"], "left_semi")
+    newest = (F.col("writer") == F.col("_writer")) & (F.col("version") == F.col("_version"))
     return (
         join_small(stored, again, DOC, "left")
-        .withColumn("is_active", F.coalesce(turn == F.col("_newest"), F.lit(True)))
-        .drop("_newest", "written_at")
+        .withColumn("is_active", F.coalesce(newest, F.lit(True)))
+        .drop("_writer", "_version")
     )
 
 

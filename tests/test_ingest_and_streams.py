@@ -114,6 +114,20 @@ def test_writers_keep_their_own_versions(spark):
     assert {r.text for r in ing.read_chunks(spark, path + "-2").collect()} == {"two", "three"}
 
 
+def test_a_version_counts_once_it_is_logged(spark):
+    """Chunks without a log entry, as a writer that died leaves them, are not read; a replay keeps its place."""
+    path = fresh(spark)
+    first = run(spark, docs(spark, a="one"), vectors(spark, ("a", 0, [1.0, 0.0]))).chunks.drop("meta")
+    second = run(spark, docs(spark, a="two"), vectors(spark, ("a", 0, [1.0, 0.0]))).chunks.drop("meta")
+    ing.write_chunks(first, path, writer="z", version=1)
+    half = second.drop("is_active").withColumns({"writer": F.lit("dead"), "version": F.lit(1)})
+    half.write.mode("append").partitionBy("writer", "version", "project_id").parquet(f"{path}/chunks")
+    assert [r.text for r in ing.read_chunks(spark, path).collect()] == ["one"]
+    ing.write_chunks(second, path, writer="a", version=1)
+    ing.write_chunks(first, path, writer="z", version=1)
+    assert {(r.text, r.is_active) for r in ing.read_chunks(spark, path).collect()} == {("one", False), ("two", True)}
+
+
 def test_kept_summary_counts_late_requests(spark):
     root = fresh(spark)
     rows = requests(spark)
