@@ -36,34 +36,42 @@ def _asked(spark, sf_dir):
     )
 
 
-def _any_sql(column, patterns):
-    return f"regexp_matches({column}, '{'|'.join(patterns)}')"
-
-
-_LOOSE = [p.replace("(?!为)", "") for p in intent.FULL_PATTERNS_ZH]
-_OBJECTS = [p.replace("(?!为)", "") for p in intent.OBJECTS_ZH]
+# Fixed values, written out for the checking engine: what names listing, tables and their rows.
+_NAMED_LISTS = "server列表|服务器列表|账号列表|节点列表|主机列表|服务列表|配置表|记录列表"
+_NAMED_LISTS_EN = r"\bserver\s+list\b|\blist\s+of\s+servers\b|\bhost\s+list\b|\baccount\s+list\b"
+_LISTING_ZH = (
+    "(列出|罗列|显示).*(表格|数据表|配置表|记录表)|表格.*(列出|全部)|列出.*记录|"
+    "(列出|罗列|显示|展示).*(数据行|每一行|所有行|全部行|各行)|完整表格|表格内容|逐行|全部记录|所有记录"
+)
+_LISTING_EN = (
+    r"\blist\s+(all\s+)?(the\s+)?(server|servers|row|rows|record|records|entrie|entries|table|tables)\b|"
+    r"\bshow\s+(all\s+)?(the\s+)?(row|rows|table|tables|record|records)\b|\bshow\s+the\s+(full\s+)?table\b|"
+    r"\bcomplete\s+table\b|\btable\s+(content|contents)\b|\bevery\s+(row|record|entry)\b|\ball\s+(rows|records|entries)\b"
+)
+_VERBS_ZH = "列出|罗列|显示|展示"
+_VERBS_EN = r"\b(list|show|display|enumerate)\b"
+_THINGS_ZH = "表格|数据表|配置表|记录表|记录|条目|数据行|每一行|所有行|全部行|各行|服务器|主机|账号|节点|实例"
+_THINGS_EN = r"\b(table|row|record|records|entrie|entries|all\s+rows|every\s+row)\b|(^|[^a-z])(server|host|account|node|instance|record|entry)($|[^a-z])"
+_ONE_ROW = r"\bwhat\s+is\s+the\b|\bfind\s+the\b|\blookup\b|\b(propertie|properties)\s+of\b|\b(detail|details)\s+(of|for)\b|\b(attribute|attributes)\s+of\b"
 
 
 def _full_sql(column):
     """Whole-table intent without look-around: rows followed by 为 are taken out first."""
     bare = f"regexp_replace({column}, '(所有行|全部行|各行)为', '', 'g')"
     low = f"replace(lower({column}), 'ß', 'ss')"
-    action = f"({_any_sql(column, intent.ACTIONS_ZH)} OR {_any_sql(low, intent.ACTIONS_EN)})"
-    nouns = [f"(^|[^a-z]){n}($|[^a-z])" for n in intent.NOUNS_EN]
-    target = (
-        f"({_any_sql(bare, _OBJECTS)} OR {_any_sql(low, intent.OBJECTS_EN)}"
-        f" OR {_any_sql(column, intent.NOUNS_ZH)} OR {_any_sql(low, nouns)})"
-    )
+    found = lambda text, pattern: f"regexp_matches({text}, '{pattern}')"
+    verb = f"({found(column, _VERBS_ZH)} OR {found(low, _VERBS_EN)})"
+    thing = f"({found(bare, _THINGS_ZH)} OR {found(low, _THINGS_EN)})"
     return (
-        f"({_any_sql(column, intent.DOMAIN_PHRASES)} OR {_any_sql(low, intent.DOMAIN_PATTERNS)}"
-        f" OR {_any_sql(bare, _LOOSE)} OR {_any_sql(low, intent.FULL_PATTERNS_EN)} OR ({action} AND {target}))"
+        f"({found(column, _NAMED_LISTS)} OR {found(low, _NAMED_LISTS_EN)} OR {found(bare, _LISTING_ZH)}"
+        f" OR {found(low, _LISTING_EN)} OR ({verb} AND {thing}))"
     )
 
 
 @query(
     "table_intent",
     with_(_ASKED_SQL, body=f"""SELECT query_id, query, {_full_sql("query")} AS is_full_table,
-          {_full_sql("query")} OR {_any_sql("lower(query)", intent.SINGLE_ROW)} AS is_table FROM asked"""),
+          {_full_sql("query")} OR regexp_matches(lower(query), '{_ONE_ROW}') AS is_table FROM asked"""),
 )
 def table_intent(spark, sf_dir):
     """Which questions are about a table, and about all of it."""
