@@ -3,8 +3,8 @@
 Each language has one model of order 4 over lower-cased letters, all other characters being one
 blank.  Counts come from a bounded sample of labelled rows per language; probabilities and back-off
 weights of all languages stand side by side in arrays sorted by n-gram hash.  A text goes to the
-language of the lowest cross-entropy per character; it is rejected if that exceeds a bound
-calibrated on labelled rows that were kept out of the counts.
+language of the lowest cross-entropy per character; it is rejected if that exceeds a bound, a quantile
+of all labelled rows that were not counted, found by Spark.
 
 Cases: a null text, or one without a letter, is ``und`` with score 0 and rejected; without any
 labelled row every text is; ties go to the first language in order; texts of any length are read
@@ -27,10 +27,11 @@ from corpuslens.llm.common import flat, integer_id, steps
 from corpuslens.session import durable
 
 ORDER = 4
-#: Labelled rows per language that are learned from (about; taken by hash), and the share of them
-#: that calibrates the bound instead.
+#: Labelled rows per language that are counted (about; taken by hash).  All other labelled rows calibrate
+#: the bound; of a language with fewer, one in so many is left to do so, and none of one with very few.
 DOCS_PER_LANGUAGE = 2000
 CALIBRATION_SHARE = 5
+FEW_ROWS = 40
 #: The share of calibration rows that may be rejected, and what any text may be off (nats).
 REJECTED_SHARE = 0.0005
 SLACK = 0.35
@@ -281,16 +282,16 @@ def train(
     """Models from the rows of ``docs`` that have an id, a text and a language."""
     rows = docs.select(integer_id(docs, id_col).alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"))
     rows = rows.filter("id is not null and text is not null and lang is not null")
-    sizes = {r["lang"]: r["n"] for r in docs.filter(F.col(f"`{lang_col}`").isNotNull()).groupBy(F.col(f"`{lang_col}`").alias("lang")).agg(F.count("*").alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return Models([])
-    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, max(1, -(-n // docs_per_language)))])
-    sample = durable(
-        rows.filter(F.pmod(F.xxhash64("id"), share[F.col("lang")]) == 0).select(
-            "lang", "text", (F.pmod(F.xxhash64("id", F.lit(7)), F.lit(CALIBRATION_SHARE)) == 0).alias("calibrates")
-        )
-    )
-    counted = sample.filter("not calibrates").select("lang", "text").mapInArrow(_count, "lang string, gram binary, n long")
+    by = lambda value: F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, value(n))])[F.col("lang")]
+    # By id and text, so that rows which share an id are not all on one side.
+    mixed, again = F.xxhash64("id", "text"), F.xxhash64("id", "text", F.lit(7))
+    sampled = F.pmod(mixed, by(lambda n: max(1, -(-n // docs_per_language)))) == 0
+    spared = (F.pmod(again, F.lit(CALIBRATION_SHARE)) == 0) & by(lambda n: FEW_ROWS <= n <= docs_per_language)
+    counted_rows = sampled & ~spared
+    counted = rows.filter(counted_rows).select("lang", "text").mapInArrow(_count, "lang string, gram binary, n long")
     counts: dict[str, Counter] = {}
     for r in counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).collect():  # of the sample
         counts.setdefault(r["lang"], Counter())[bytes(r["gram"]).decode("utf-32-le")] = r["n"]
@@ -300,17 +301,28 @@ def train(
     n = len(models.languages)
     models.mean, models.bound = np.zeros(n), np.full(n, np.inf)
     shared = docs.sparkSession.sparkContext.broadcast(models)
-    tried = sample.filter("calibrates").select("lang", "text").mapInArrow(_score(shared), f"lang string, {_FOUND}")
-    off = tried.filter("lang = lang_pred and n_letters > 0").select("lang", "cross_entropy", "n_letters").collect()
-    seen = np.array([(models.languages.index(r["lang"]), r["cross_entropy"], r["n_letters"]) for r in off]).reshape(-1, 3)
-    for k in range(n):
-        own = seen[seen[:, 0] == k]
-        if len(own) < 20:  # too few of its own: those of all languages
-            own = seen
-        if len(own) >= 20:
-            root = np.sqrt(own[:, 2])
-            models.mean[k] = np.average(own[:, 1], weights=root)
-            models.bound[k] = np.quantile((own[:, 1] - models.mean[k]) * root, 1 - REJECTED_SHARE)
+    tried = rows.filter(~counted_rows).select("lang", "text").mapInArrow(_score(shared), f"lang string, {_FOUND}")
+    root = F.sqrt("n_letters")
+    seen = durable(
+        tried.filter("lang = lang_pred and n_letters > 0").select("lang", F.col("cross_entropy").alias("e"), root.alias("root"))
+    )
+    mean = (F.sum(F.col("e") * F.col("root")) / F.sum("root")).alias("mean")
+    own = {r["lang"]: r for r in seen.groupBy("lang").agg(F.count("*").alias("n"), mean).collect()}  # one row per language
+    everything = seen.agg(F.count("*").alias("n"), mean).first()
+    # Too few of its own: those of all languages.
+    source = {lang: own[lang] if lang in own and own[lang]["n"] >= 20 else everything for lang in models.languages}
+    known = {lang: r["mean"] for lang, r in source.items() if r["n"] >= 20}
+    if not known:
+        return models
+    off = (F.col("e") - F.col("mean")) * F.col("root")
+    bound = F.percentile_approx(off, F.lit(1 - REJECTED_SHARE), F.lit(200_000)).alias("bound")
+    means = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+    bounds = {r["lang"]: r["bound"] for r in seen.withColumn("mean", means[F.col("lang")]).groupBy("lang").agg(bound).collect()}
+    shared_bound = seen.agg(F.percentile_approx((F.col("e") - F.lit(everything["mean"])) * F.col("root"), F.lit(1 - REJECTED_SHARE), F.lit(200_000))).first()[0]
+    for k, lang in enumerate(models.languages):
+        if lang in known:
+            models.mean[k] = known[lang]
+            models.bound[k] = bounds[lang] if source[lang] is not everything else shared_bound
     return models
 
 

@@ -65,3 +65,63 @@ def test_nothing_to_learn_from(spark):
     assert langid.identify(frame, langid.train(frame)).first().lang_pred == "und"
     empty = spark.createDataFrame([], DOCS)
     assert langid.identify(empty, langid.train(empty)).count() == 0
+
+
+def plain_kneser_ney(texts, order=4):
+    """Probability of a character after a context, by the definition: absolute discounts, continuation
+    counts below the highest order, interpolation down to the uniform distribution."""
+    counts = [Counter() for _ in range(order + 1)]
+    for t in texts:
+        for k in range(len(t) - order + 1):
+            counts[order][t[k : k + order]] += 1
+    for n in range(order - 1, 0, -1):
+        for gram in counts[n + 1]:
+            counts[n][gram[1:]] += 1
+    discounts = {}
+    for n in range(1, order + 1):
+        one, two = (sum(v == x for v in counts[n].values()) for x in (1, 2))
+        discounts[n] = min(0.95, max(0.1, one / (one + 2 * two))) if one + two else 0.5
+
+    def p(context, c, alphabet):
+        value = 1 / alphabet
+        for n in range(1, order + 1):
+            tail = context[len(context) - n + 1 :]
+            after = {g: v for g, v in counts[n].items() if g[:-1] == tail}
+            if not after:
+                continue
+            total, d = sum(after.values()), discounts[n]
+            value = max(after.get(tail + c, 0) - d, 0) / total + d * len(after) / total * value
+        return value
+
+    return p
+
+
+def test_entropies_equal_plain_kneser_ney(rng):
+    texts = {lang: ["\0\0\0" + prose(rng, syllables, 6).replace(" ", "\0") for _ in range(5)] for lang, syllables in LANGS.items()}
+    counts = {lang: Counter(t[k : k + 4] for t in own for k in range(len(t) - 3)) for lang, own in texts.items()}
+    models = langid.Models.fit(counts)
+    plain = {lang: plain_kneser_ney(own) for lang, own in texts.items()}
+    tried = ["tha in", "ça ou è", "schung", "q", "er"] + [prose(rng, LANGS[lang], 4) for lang in LANGS]
+    entropy, letters = models.entropies(pa.array(tried), langid.Letters())
+    for row, text in enumerate(tried):
+        padded = "\0\0\0" + text.replace(" ", "\0")
+        for at, lang in enumerate(models.languages):
+            steps = [-np.log(plain[lang](padded[k - 3 : k], padded[k], models.alphabet)) for k in range(3, len(padded))]
+            assert abs(entropy[row, at] - np.mean(steps)) < 1e-4
+        assert letters[row] == len(text.replace(" ", ""))
+
+
+def test_few_rows_ties_and_repeats(spark, rng):
+    """A language of three rows is counted and can be predicted; equal languages go to the first; repeated rows and
+    rows that share an id are judged alike."""
+    docs = [(k, prose(rng, LANGS["aa"], 40), "aa", None) for k in range(200)]
+    docs += [(1000 + k, prose(rng, LANGS["cc"], 60), "cc", None) for k in range(3)]
+    docs += [(2000, prose(rng, LANGS["bb"], 60), lang, None) for lang in ("zz", "yy")] * 50
+    frame = spark.createDataFrame(docs, DOCS)
+    got = langid.identify(frame, langid.train(frame)).collect()
+    assert {r.lang_pred for r in got if r.doc_id in (1000, 1001, 1002)} == {"cc"}
+    assert len({(r.lang_pred, r.score) for r in got if r.doc_id == 2000}) <= 2 and {r.lang_pred for r in got if r.doc_id == 2000} <= {"yy", "zz"}
+    same = spark.createDataFrame([(k, "schung er ü " * 9, lang, None) for k in range(60) for lang in ("q1", "q2")], DOCS)
+    models = langid.Models.fit({lang: Counter({"\0\0\0a": 1, "\0\0ab": 1}) for lang in ("q2", "q1")})
+    models.mean, models.bound = np.zeros(2), np.full(2, np.inf)
+    assert {r.lang_pred for r in langid.identify(same, models).collect()} == {"q1"}
