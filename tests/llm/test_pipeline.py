@@ -71,5 +71,5 @@ def test_empty_table(spark, tmp_path):
 
 
 def test_registered():
-    assert {n.split("_")[0] for n in contract.queries() if n.startswith("op")} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in contract.queries() if n.startswith("op")} == {f"op{k}" for k in range(1, 14)}
     assert contract.queries()["pipeline"] is corpus_pipeline.run
