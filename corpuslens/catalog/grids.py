@@ -245,9 +245,10 @@ def table_sections(spark, sf_dir):
   FROM walk w JOIN fixed USING (c_custkey)""",
 )
 def table_chunks(spark, sf_dir):
-    """Greedy row groups with caption and header repeated."""
-    found = sections(spark, sf_dir).where("meta.type = 'table'")
-    return chunking.chunk_table(found, 40).select(
+    """Greedy row groups with caption and header repeated, cut where the rows lie."""
+    blocks, rows = gr.table_parts(cells(spark, sf_dir))
+    found = sc.number_blocks(blocks).where("meta.type = 'table'")
+    return chunking.chunk_table_rows(found, rows, 40).select(
         "document_id", "meta.data_row_start", "meta.data_row_end", "meta.total_rows",
         "meta.table_chunk_type", "text",
     )

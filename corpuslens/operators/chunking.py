@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from corpuslens import schema
 from corpuslens.functions import text as tx
 from corpuslens.functions.ordered import dense_index
+from corpuslens.operators.rowgroups import BUCKET_ROWS, greedy_groups
 
 CHUNK_SIZE = 800
 CHUNK_OVERLAP = 120
@@ -99,16 +100,14 @@ def _row_groups(sizes: pd.Series, room: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-def chunk_table(sections: DataFrame, size: int = CHUNK_SIZE) -> DataFrame:
-    """Greedy groups of whole rows, each repeating caption and header line.
-
-    A group always takes one row, then every further row that keeps rows plus repeated lines
-    within ``size`` words."""
-    check_window(size, 0)
+def _without_titles(sections: DataFrame, text: Column) -> DataFrame:
+    """Add ``_rows``, the lines of ``text`` but for the first that is the caption (``_caption``, at
+    ``_caption_at``, 0 where there is none) and the first that is the header line (``_header``), and
+    ``_fixed``, the words of these two."""
     lines = F.filter(
-        F.transform(F.split("text", "\n"), tx.strip), lambda line: line != ""
+        F.transform(F.split(text, "\n"), tx.strip), lambda line: line != ""
     )
-    parts = (
+    return (
         sections.withColumn("_lines", lines)
         .withColumn("_caption", F.coalesce(F.col("meta.caption"), F.lit("")))
         .withColumn("_header", header_line(F.col("meta.headers")))
@@ -139,8 +138,16 @@ def chunk_table(sections: DataFrame, size: int = CHUNK_SIZE) -> DataFrame:
             ),
         )
         .withColumn("_fixed", tx.word_count(F.col("_caption")) + tx.word_count(F.col("_header")))
-        .withColumn("_sizes", F.transform("_rows", tx.word_count))
     )
+
+
+def chunk_table(sections: DataFrame, size: int = CHUNK_SIZE) -> DataFrame:
+    """Greedy groups of whole rows, each repeating caption and header line.
+
+    A group always takes one row, then every further row that keeps rows plus repeated lines
+    within ``size`` words."""
+    check_window(size, 0)
+    parts = _without_titles(sections, F.col("text")).withColumn("_sizes", F.transform("_rows", tx.word_count))
     groups = F.when(
         F.size("_rows") == 0,
         F.array(F.struct(F.lit(0).alias("first"), F.lit(0).alias("rows"), F.lit(0).alias("words"))),
@@ -181,6 +188,72 @@ def chunk_table(sections: DataFrame, size: int = CHUNK_SIZE) -> DataFrame:
     )
 
 
+def chunk_table_rows(
+    sections: DataFrame, rows: DataFrame, size: int = CHUNK_SIZE, bucket_rows: int | None = None
+) -> DataFrame:
+    """``chunk_table`` for tables whose sections carry no text: their data rows are lines of
+    ``rows`` (project_id, document_id, table_index, row_index, line, caption, headers), so a table of
+    any height is cut by as many tasks as it has buckets.
+
+    Caption and headers of a row are those of its section's metadata.  A section without rows is one
+    chunk of its caption and header line."""
+    check_window(size, 0)
+    table = ["project_id", "document_id", "table_index"]
+
+    def lead(caption: Column, headers: Column) -> Column:
+        header = header_line(headers)
+        return F.concat_ws("\n", F.when(caption != "", caption), F.when(header != "", header))
+
+    def words_of(caption: Column, headers: Column) -> Column:
+        return tx.word_count(F.coalesce(caption, F.lit(""))) + tx.word_count(header_line(headers))
+
+    titled = _without_titles(sections, lead(F.col("meta.caption"), F.col("meta.headers"))).withColumn(
+        "table_index", F.col("meta.table_index")
+    )
+    ahead = titled.select(
+        *table, F.lit(-1).alias("row_index"), F.lit(size) - F.col("_fixed"), F.posexplode("_rows").alias("at", "line")
+    ).toDF(*table, "row_index", "room", "at", "line")
+    lines = rows.select(
+        *table,
+        F.col("row_index"),
+        (F.lit(size) - words_of(F.col("caption"), F.col("headers"))).alias("room"),
+        F.posexplode(F.transform(F.split("line", "\n"), tx.strip)).alias("at", "line"),
+    ).where(F.col("line") != "")
+    groups = greedy_groups(
+        lines.unionByName(ahead)
+        .withColumn("row", (F.col("row_index") + 1).cast("long"))
+        .withColumn("words", tx.word_count(F.col("line")))
+        .drop("row_index"),
+        table,
+        bucket_rows or BUCKET_ROWS,
+    ).withColumnsRenamed({"text": "_body", "first": "_first", "lines": "_count"})
+    empty = F.col("group").isNull()
+    first = F.coalesce("_first", F.lit(0)).cast("int")
+    last = F.when(empty, 0).otherwise(F.col("_first") + F.col("_count") - 1).cast("int")
+    total = F.coalesce(F.col("meta.row_count"), F.lit(0))
+    title = F.when(F.col("_caption_at") > 0, F.col("_caption")).otherwise(F.lit(""))
+    body = F.array_join(F.filter(F.array(title, "_header", "_body"), lambda line: line != ""), "\n")
+    bare = lead(F.col("meta.caption"), F.col("meta.headers"))
+    return (
+        titled.drop("_lines", "_rows").join(groups, table, "left")
+        .withColumn("text", F.when(empty, tx.strip(bare)).otherwise(body))
+        .where(F.col("text") != "")
+        .select(
+            *KEYS,
+            F.coalesce("group", F.lit(0)).cast("int").alias("local_index"),
+            "text",
+            F.when(empty, tx.word_count(bare)).otherwise(F.col("words") + F.col("_fixed")).alias("token_count"),
+            sealed(
+                F.col("meta"),
+                data_row_start=first,
+                data_row_end=last,
+                total_rows=total,
+                table_chunk_type=table_chunk_kind(first, last, total),
+            ).alias("meta"),
+        )
+    )
+
+
 def table_chunk_kind(first: Column, last: Column, total: Column) -> Column:
     whole = (total > 0) & (first == 1) & (last == total)
     return F.when(whole, F.lit("table")).otherwise(F.lit("table_group"))
@@ -225,14 +298,17 @@ def chunk_sections(
     overlap: int = CHUNK_OVERLAP,
     single_section: bool = False,
     tables: bool = True,
+    table_rows: DataFrame | None = None,
 ) -> DataFrame:
-    """All chunks of all sections, numbered and hashed."""
+    """All chunks of all sections, numbered and hashed.
+
+    With ``table_rows``, the texts of tables are there and not in their sections."""
     check_window(size, overlap)
     if tables:
         tabular = F.coalesce(F.col("meta.type") == "table", F.lit(False))
-        pieces = chunk_text(sections.where(~tabular), size, overlap).unionByName(
-            chunk_table(sections.where(tabular), size)
-        )
+        found = sections.where(tabular)
+        cut = chunk_table(found, size) if table_rows is None else chunk_table_rows(found, table_rows, size)
+        pieces = chunk_text(sections.where(~tabular), size, overlap).unionByName(cut)
     else:
         pieces = chunk_text(sections, size, overlap)
     numbered = assign_chunk_index(pieces, single_section)

@@ -290,53 +290,98 @@ def structure_tables(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows, durable(resolve_headers(detect_headers(rows, captions), captions))
 
 
+BLOCK = ("project_id", "document_id", "document_name", "block_index")
+
+
 def table_blocks(cells: DataFrame) -> DataFrame:
-    """Whole-table, header and per-row blocks, to be numbered within their document."""
-    rows, tables = structure_tables(cells)
-    described = rows.select(*TABLE, "row_index", "values", "nested").join(tables, [*KEY])
-    has_headers = F.size("headers") > 0
-    header_text = F.array_join(non_empty(F.col("headers")), " | ")
-    is_data = F.col("row_index") >= F.col("data_start")
-    row_line = F.when(is_data, F.array_join("values", " | "))
-    grouped = described.groupBy(*TABLE).agg(
-        F.transform(
-            F.array_sort(
-                F.collect_list(F.when(is_data, F.struct("row_index", row_line.alias("line"))))
-            ),
-            lambda item: item["line"],
-        ).alias("_lines"),
-        F.array_sort(
-            F.collect_list(
-                F.when(is_data & F.col("nested"), F.col("row_index") - F.col("data_start"))
-            )
-        ).alias("_nested"),
-        *[
-            F.first(name).alias(name)
-            for name in (
-                "caption", "headers", "column_count", "header_confidence", "header_source",
-            )
-        ],
+    """Whole-table, header and per-row blocks, to be numbered within their document.
+
+    The whole-table block holds the text of its table in one value; ``table_parts`` is the form
+    for tables of any height."""
+    described = _described(cells)
+    line = F.struct("row_index", _row_line().alias("line"))
+    lines = F.transform(
+        F.array_sort(F.collect_list(F.when(_is_data(), line))), lambda item: item["line"]
     )
-    whole_text = tx.strip(
+    grouped = _per_table(described, lines.alias("_lines"))
+    none = F.array().cast("array<string>")
+    text = tx.strip(
         F.array_join(
             F.concat(
-                F.when(F.coalesce("caption", F.lit("")) != "", F.array("caption")).otherwise(
-                    F.array().cast("array<string>")
-                ),
-                F.when(has_headers, F.array(header_text)).otherwise(
-                    F.array().cast("array<string>")
-                ),
+                F.when(_has_caption(), F.array("caption")).otherwise(none),
+                F.when(_has_headers(), F.array(_header_text())).otherwise(none),
                 F.col("_lines"),
             ),
             "\n",
         )
     )
-    keys = ["project_id", "document_id", "document_name", "block_index"]
-    whole = grouped.select(
-        *keys,
+    whole = _whole_blocks(grouped.withColumn("text", text).where(F.col("text") != ""))
+    return whole.unionByName(_header_blocks(described)).unionByName(_row_blocks(described))
+
+
+def table_parts(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(blocks, rows): the blocks of ``table_blocks``, where a whole table has no text, and the data
+    rows it consists of, one line each, for ``chunking.chunk_table_rows``.  No value and no task
+    holds a table."""
+    described = durable(_described(cells))
+    filled = F.max(_is_data() & (tx.strip(_row_line()) != "")).alias("_filled")
+    known = (
+        (tx.strip(F.coalesce("caption", F.lit(""))) != "")
+        | (_has_headers() & (tx.strip(_header_text()) != ""))
+        | F.coalesce("_filled", F.lit(False))
+    )
+    grouped = _per_table(described, filled).where(known)
+    whole = _whole_blocks(grouped.withColumn("text", F.lit(None).cast("string")))
+    blocks = whole.unionByName(_header_blocks(described)).unionByName(_row_blocks(described))
+    rows = described.where(_is_data()).select(
+        *TABLE, "row_index", _row_line().alias("line"), "caption", "headers"
+    )
+    return blocks, rows
+
+
+def _described(cells: DataFrame) -> DataFrame:
+    rows, tables = structure_tables(cells)
+    return rows.select(*TABLE, "row_index", "values", "nested").join(tables, [*KEY])
+
+
+def _has_headers() -> Column:
+    return F.size("headers") > 0
+
+
+def _has_caption() -> Column:
+    return F.coalesce("caption", F.lit("")) != ""
+
+
+def _header_text() -> Column:
+    return F.array_join(non_empty(F.col("headers")), " | ")
+
+
+def _is_data() -> Column:
+    return F.col("row_index") >= F.col("data_start")
+
+
+def _row_line() -> Column:
+    return F.array_join("values", " | ")
+
+
+def _per_table(described: DataFrame, *more: Column) -> DataFrame:
+    """One row per table: its header facts, the count of its data rows, which of them are nested."""
+    facts = ("caption", "headers", "column_count", "header_confidence", "header_source")
+    at = F.when(_is_data() & F.col("nested"), F.col("row_index") - F.col("data_start"))
+    return described.groupBy(*TABLE).agg(
+        F.count_if(_is_data()).cast("int").alias("_count"),
+        F.array_sort(F.collect_list(at)).alias("_nested"),
+        *[F.first(name).alias(name) for name in facts],
+        *more,
+    )
+
+
+def _whole_blocks(tables: DataFrame) -> DataFrame:
+    return tables.where(F.col("_count") + F.size("headers") > 0).select(
+        *BLOCK,
         F.lit(0).alias("part"),
         F.lit(0).alias("part_row"),
-        whole_text.alias("text"),
+        "text",
         schema.meta(
             format=F.lit("docx"),
             type=F.lit("table"),
@@ -346,19 +391,21 @@ def table_blocks(cells: DataFrame) -> DataFrame:
             caption=F.col("caption"),
             headers=F.col("headers"),
             column_count=F.col("column_count"),
-            row_count=F.size("_lines"),
+            row_count=F.col("_count"),
             header_confidence=F.col("header_confidence"),
             header_source=F.col("header_source"),
             nested_table_fallback=F.size("_nested") > 0,
             nested_rows=F.col("_nested"),
         ).alias("meta"),
-        (F.size("_lines") + F.size("headers")).alias("_content"),
-    ).where((F.col("text") != "") & (F.col("_content") > 0)).drop("_content")
-    header = described.where((F.col("row_index") == 0) & has_headers).select(
-        *keys,
+    )
+
+
+def _header_blocks(described: DataFrame) -> DataFrame:
+    return described.where((F.col("row_index") == 0) & _has_headers()).select(
+        *BLOCK,
         F.lit(1).alias("part"),
         F.lit(0).alias("part_row"),
-        header_text.alias("text"),
+        _header_text().alias("text"),
         schema.meta(
             format=F.lit("docx"),
             type=F.lit("table_header"),
@@ -370,11 +417,14 @@ def table_blocks(cells: DataFrame) -> DataFrame:
             header_source=F.col("header_source"),
         ).alias("meta"),
     ).where(F.col("text") != "")
+
+
+def _row_blocks(described: DataFrame) -> DataFrame:
     row_text = F.when(
-        has_headers, F.array_join(label_row(F.col("values"), F.col("headers")), " | ")
-    ).otherwise(F.array_join("values", " | "))
-    data = described.where(is_data).select(
-        *keys,
+        _has_headers(), F.array_join(label_row(F.col("values"), F.col("headers")), " | ")
+    ).otherwise(_row_line())
+    return described.where(_is_data()).select(
+        *BLOCK,
         F.lit(2).alias("part"),
         (F.col("row_index") - F.col("data_start") + 1).cast("int").alias("part_row"),
         row_text.alias("text"),
@@ -385,8 +435,7 @@ def table_blocks(cells: DataFrame) -> DataFrame:
             table_index=F.col("table_index"),
             block_index=F.col("block_index"),
             data_row=F.col("row_index") - F.col("data_start") + 1,
-            headers=F.when(has_headers, F.col("headers")),
+            headers=F.when(_has_headers(), F.col("headers")),
             nested_table_fallback=F.when(F.col("nested"), F.lit(True)),
         ).alias("meta"),
     ).where(F.regexp_replace("text", r"^[ |]+", "") != "")
-    return whole.unionByName(header).unionByName(data)
