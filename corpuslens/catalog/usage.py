@@ -151,6 +151,33 @@ def natural_order(spark, sf_dir):
     return _listing(spark, sf_dir).select("document_id", F.row_number().over(order).alias("position"))
 
 
+# Letters whose base letter is plain once accents are gone.
+_ACCENTED = "À-ÅÇ-ÏÑ-ÖÙ-Ýà-åç-ïñ-öù-ýÿ"
+_NAME_WORDS = (f"([A-Za-z]*[{_ACCENTED}][A-Za-z{_ACCENTED}]*)", "([A-Za-z]+)")
+
+
+@query(
+    "accented_order",
+    f"""SELECT document_id, CAST(row_number() OVER (PARTITION BY project_id ORDER BY strip_accents(lower(word)), number, doc_id) AS INTEGER) AS position
+      FROM (SELECT source AS project_id, CAST(doc_id AS VARCHAR) AS document_id, doc_id, doc_id % 37 AS number,
+          coalesce(nullif(regexp_extract(text, '{_NAME_WORDS[0]}', 1), ''), nullif(regexp_extract(text, '{_NAME_WORDS[1]}', 1), ''), 'untitled') AS word FROM documents)""",
+)
+def accented_order(spark, sf_dir):
+    """K7: documents named by their first accented word (else their first word) and a number, in
+    natural order: case and accents do not count."""
+    from pyspark.sql import Window
+
+    word = F.coalesce(
+        *[F.nullif(F.regexp_extract("text", pattern, 1), F.lit("")) for pattern in _NAME_WORDS], F.lit("untitled")
+    )
+    named = base.table(spark, sf_dir, "documents").select(
+        F.col("source").alias("project_id"), F.col("doc_id").cast("string").alias("document_id"), "doc_id",
+        F.concat(word, F.lit(" "), F.col("doc_id") % 37, F.lit(".txt")).alias("filename"),
+    )
+    order = Window.partitionBy("project_id").orderBy(mt.natural_key(F.col("filename")), "doc_id")
+    return named.select("document_id", F.row_number().over(order).alias("position"))
+
+
 @query(
     "list_documents",
     with_(_LISTING_SQL, body="""SELECT project_id, document_id, filename, position FROM (SELECT *, CAST(row_number() OVER (PARTITION BY project_id

@@ -10,6 +10,7 @@ from corpuslens.functions.ordered import top_per_key
 
 MAX_RECENT = 200
 PENDING = ("uploaded", "processing")
+NAME_COLLATION = "UNICODE_CI_AI"
 
 
 def summary_columns() -> list[Column]:
@@ -70,9 +71,9 @@ def corpus_summary(documents: DataFrame) -> DataFrame:
 
 
 def natural_key(name: Column) -> Column:
-    """Sort key: case-insensitive, runs of digits compared as numbers of up to 20 digits or, when
-    longer, by their length first."""
-    runs = tx.find_all(F.lower(name), r"\d+|\D+")
+    """Sort key: letters compared without case and accents, in the root order of Unicode, and runs of
+    digits as numbers, which is their length and then their digits."""
+    runs = tx.find_all(name, r"\d+|\D+")
     padded = F.transform(
         runs,
         lambda run: F.when(
@@ -83,7 +84,7 @@ def natural_key(name: Column) -> Column:
             ),
         ).otherwise(run),
     )
-    return F.array_join(padded, "")
+    return F.collate(F.array_join(padded, ""), NAME_COLLATION)
 
 
 def natural_order(documents: DataFrame) -> DataFrame:

@@ -165,6 +165,15 @@ def test_streamed_summary_closes_windows(spark):
     assert [(r.request_count, r.avg_latency_ms) for r in got] == [(2, 150.0), (3, 400.0)]
 
 
+def test_natural_order_without_case_and_accents(spark):
+    names = ["Über 2.txt", "uber 10.txt", "UBER 2.txt", "zebra.txt", "Éclair.txt", "eclair.txt", "écran 1.txt", "a-b.txt", "ab.txt", "007.txt", "7.txt", "12345678901234567890123.txt"]
+    df = spark.createDataFrame([("p", n, i) for i, n in enumerate(names)], "project_id string, filename string, created_at int")
+    assert [r.filename for r in mt.natural_order(df).collect()] == [
+        "007.txt", "7.txt", "12345678901234567890123.txt", "a-b.txt", "ab.txt", "Éclair.txt", "eclair.txt",
+        "écran 1.txt", "Über 2.txt", "UBER 2.txt", "uber 10.txt", "zebra.txt",
+    ]
+
+
 def test_corpus_summary_and_natural_order(spark):
     rows = [("p", "a10.txt", "indexed", 1), ("p", "A2.txt", "indexed", 2), ("p", "a2.txt", "failed", 1), ("p", "a10.txt", "uploaded", 2)]
     df = spark.createDataFrame(rows, "project_id string, filename string, status string, created_at int")
