@@ -36,7 +36,7 @@ FEW_ROWS = 40
 REJECTED_SHARE = 0.0005
 SLACK = 0.35
 UNKNOWN = "und"
-STEP = 1 << 20
+STEP = 1 << 18
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -306,6 +306,7 @@ def train(
     seen = durable(
         tried.filter("lang = lang_pred and n_letters > 0").select("lang", F.col("cross_entropy").alias("e"), root.alias("root"))
     )
+    shared.destroy()  # what follows reads the table; ``identify`` sends the finished models
     mean = (F.sum(F.col("e") * F.col("root")) / F.sum("root")).alias("mean")
     own = {r["lang"]: r for r in seen.groupBy("lang").agg(F.count("*").alias("n"), mean).collect()}  # one row per language
     everything = seen.agg(F.count("*").alias("n"), mean).first()
