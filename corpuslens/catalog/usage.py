@@ -65,8 +65,7 @@ def recorded_requests(spark, sf_dir):
     schema = requests(spark, sf_dir).schema
     arriving = spark.readStream.schema(schema).parquet(f"{path}/in")
     sm.record_requests(arriving, f"{path}/out", f"{path}/ckpt").awaitTermination()
-    stored = spark.read.parquet(f"{path}/out").withColumn("project_id", F.col("project_id").cast("string"))
-    return stored.groupBy("project_id", "model").agg(F.count(F.lit(1)).alias("requests"))
+    return sm.read_requests(spark, f"{path}/out").groupBy("project_id", "model").agg(F.count(F.lit(1)).alias("requests"))
 
 
 @query(

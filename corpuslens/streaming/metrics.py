@@ -2,25 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from corpuslens.operators.metrics import summary_columns
 
 
+#: Folders of the metrics table; the number of files a batch writes does not grow with the projects.
+PROJECT_BUCKETS = 16
+
+
+def _project_bucket(project: Column) -> Column:
+    return F.pmod(F.xxhash64(project), F.lit(PROJECT_BUCKETS)).cast("int")
+
+
 def record_requests(requests: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Append request rows to the metrics table, by project."""
+    """Append request rows to the metrics table, in a fixed number of buckets of projects."""
     return (
-        requests.writeStream.format("parquet")
+        requests.withColumn("project_bucket", _project_bucket(F.col("project_id")))
+        .writeStream.format("parquet")
         .option("path", path)
         .option("checkpointLocation", checkpoint)
-        .partitionBy("project_id")
+        .partitionBy("project_bucket")
         .trigger(availableNow=True)
         .start()
     )
 
 
+def read_requests(spark: SparkSession, path: str, project_id: str | None = None) -> DataFrame:
+    """The recorded requests, or those of one project, of whose bucket alone files are read."""
+    stored = spark.read.parquet(path)
+    if project_id is not None:
+        name = F.lit(project_id)
+        stored = stored.where((F.col("project_bucket") == _project_bucket(name)) & (F.col("project_id") == name))
+    return stored.drop("project_bucket")
+
+
 _MEANS = {
     "latency_ms": "avg_latency_ms",
     "retrieval_latency_ms": "avg_retrieval_latency_ms",

@@ -146,6 +146,19 @@ def requests(spark):
     return spark.createDataFrame(rows, "request_id string, project_id string, created_at timestamp, latency_ms int, retrieval_latency_ms int, generation_latency_ms int, citation_count int")
 
 
+def test_recorded_requests_take_a_bounded_number_of_folders(spark):
+    root = fresh(spark)
+    rows = requests(spark).drop("project_id").crossJoin(spark.range(200).select(F.concat(F.lit("0"), "id").alias("project_id")))
+    rows.coalesce(1).write.parquet(f"{root}/in")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{root}/in")
+    sm.record_requests(stream, f"{root}/out", f"{root}/ckpt").awaitTermination()
+    stored = sm.read_requests(spark, f"{root}/out")
+    assert sorted(stored.columns) == sorted(rows.columns)
+    assert stored.select(*rows.columns).exceptAll(rows).isEmpty() and stored.count() == 1400
+    assert stored.select(F.input_file_name()).distinct().count() <= sm.PROJECT_BUCKETS
+    assert [r.project_id for r in sm.read_requests(spark, f"{root}/out", "07").collect()] == ["07"] * 7
+
+
 def test_chat_summary_skips_nulls_and_keeps_idle_projects(spark):
     projects = spark.createDataFrame([("p",), ("idle",)], "project_id string")
     got = {r.project_id: r for r in mt.chat_summary(requests(spark), projects).collect()}
