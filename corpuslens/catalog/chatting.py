@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpuslens import schema
 from corpuslens.catalog import base
 from corpuslens.catalog.registry import query, with_
+from corpuslens.operators.prompts import NO_ANSWER
 from corpuslens.plans.chat import chat_turns as answer_turns
 from corpuslens.session import durable
 
@@ -56,18 +57,20 @@ def _store(spark, sf_dir):
     "chat_turns",
     with_(
         *_SQL,
-        """convs AS (SELECT DISTINCT conv_id AS c FROM conversations),
+        f"""convs AS (SELECT DISTINCT conv_id AS c FROM conversations),
         steps AS (
           SELECT c, 1 AS step, 'clarification' AS route, 'I found multiple relevant tables. Please choose one:' || chr(10) || '1. order_list_east_' || (c % 20) || '.docx - order list - table 1'
             || chr(10) || '2. order_list_west_' || (c % 20) || '.docx - order list - table 1' AS answer, '' AS citations, CAST(0 AS INTEGER) AS citation_count FROM convs
-          UNION ALL SELECT c, 2, 'generate', 'answer to ' || c, array_to_string(f.kept, ','), CAST(len(f.kept) AS INTEGER)
+          UNION ALL SELECT c, 2, CASE WHEN len(f.kept) = 0 THEN 'refusal' ELSE 'generate' END, CASE WHEN len(f.kept) = 0 THEN '{NO_ANSWER}' ELSE 'answer to ' || c END,
+            array_to_string(f.kept, ','), CAST(len(f.kept) AS INTEGER)
           FROM convs JOIN fitted ON p = c % 20 AND side = CASE WHEN c % 2 = 0 THEN 'east' ELSE 'west' END)""",
         body="SELECT CAST(c AS VARCHAR) AS conversation_id, step, route, answer, citations, citation_count FROM steps",
     ),
 )
 def chat_turns(spark, sf_dir):
     """M1-M9 in a chain: every conversation asks for a table that two documents hold, is asked back, chooses by
-    ordinal, and is answered with the rows that fit; citations and request metrics come with it."""
+    ordinal, and is answered with the rows that fit, or refused where no row group does; citations and request
+    metrics come with it."""
     given = base.table(spark, sf_dir, "conversations")
     project = (F.col("conv_id") % PROJECTS).cast("string")
     conversation = F.col("conv_id").cast("string")

@@ -77,3 +77,21 @@ def test_invalid_requests_are_returned(spark, store):
     done, got = turn(spark, store, [("p", "x", "m", 0, "user", "a", None)], x="\t\n", y="show the server list")
     assert {r.query_id: r.reject_reason for r in done.found.rejected.collect()} == {"x": "query must not be empty"}
     assert set(got) == {"y"}
+
+
+def test_chat_turns_equals_its_sql_where_no_row_group_fits(spark, tmp_path):
+    """Project 0 has an eastern table whose row groups are all wider than the budget."""
+    import __spark_entry__ as contract
+    from check_oracles import compare, connect
+
+    n = F.col("id")
+    spark.range(30_400).select(
+        n.alias("o_orderkey"), F.when(n < 30_000, 0).otherwise(1).cast("long").alias("o_custkey"),
+        F.lit("F").alias("o_orderstatus"), F.lit("5-LOW").alias("o_orderpriority"),
+    ).coalesce(1).write.parquet(f"{tmp_path}/given")
+    spark.createDataFrame([(c, 0, "user", "Hello there.") for c in (0, 1)], "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/said")
+    for name, folder in (("orders", "given"), ("conversations", "said")):
+        next((tmp_path / folder).glob("*.parquet")).rename(tmp_path / f"{name}.parquet")
+    got = contract.queries()["chat_turns"](spark, str(tmp_path))
+    assert {(r.conversation_id, r.route) for r in got.collect() if r.step == 2} == {("0", "refusal"), ("1", "generate")}
+    assert compare(got, connect(str(tmp_path)), contract.oracle_sql()["chat_turns"]) is None
