@@ -89,6 +89,40 @@ def test_grid_spans_merges_and_nested_text(spark):
     ]
 
 
+def test_merges_of_tall_tables_cross_buckets_of_rows(spark):
+    """Columns continued over whole buckets and over rows that are not there, and a width only one row knows."""
+    n = 4 * grids.FILL_ROWS + 9
+    gap = range(grids.FILL_ROWS + 5, 3 * grids.FILL_ROWS + 7)
+    rows, expected = [], {}
+    above = [None, None, None]
+    for r in range(n):
+        own = [
+            str(r) if r % 300 == 0 else None,
+            f"b{r}" if r == 3 else None,
+            "" if r == 0 or r % 7 else None,
+        ]
+        if r in gap:
+            continue
+        above = [o if o is not None or r == 0 else a for o, a in zip(own, above, strict=True)]
+        above = [(o or "") if r == 0 else a for o, a in zip(own, above, strict=True)]
+        expected[r] = [*above, "w" if r == n - 1 else ""]
+        for c, o in enumerate([*own, *(["w"] if r == n - 1 else [])]):
+            rows.append(("p", "t", "t.docx", 0, 0, r, c, o or "", 1, "continue" if o is None else None, False, None))
+    rows += [("p", "small", "s.docx", 0, 0, r, 0, "x" if r == 0 else "", 1, "continue" if r else None, False, None) for r in range(3)]
+    cells = spark.createDataFrame(rows, table_cells(spark, {"d": [["a"]]}).schema)
+    found = grids.expand_grid(cells)
+    got = {r.row_index: list(r["values"]) for r in found.where("document_id = 't'").collect()}
+    assert got == expected
+    assert [list(r["values"]) for r in found.where("document_id = 'small'").collect()] == [["x"]] * 3
+
+
+def test_grid_is_not_dealt_out_cell_by_cell(spark):
+    """Above the cut, rows of merged tables are filled where they lie."""
+    found = grids.expand_grid(table_cells(spark, {"d": [["a", "b"], [("", 1, "continue", None), "c"]]}))
+    assert "hashpartitioning" not in found._jdf.queryExecution().toString()
+    assert sorted(list(r["values"]) for r in found.collect()) == [["a", "b"], ["a", "c"]]
+
+
 def test_headers(spark):
     tables = {
         "marked": [(["x1", "x2"], True), ["a", "b"]],
