@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 from support import table_cells
 
+from corpuslens.functions import text as tx
 from corpuslens.functions.ordered import carry_forward, dense_index
 from corpuslens.operators import chunking, grids
 from corpuslens.sources import sections as sc
@@ -178,3 +179,21 @@ def test_ordered_helpers_match_plain_windows(spark):
         count[r.k] = r.n + 1
         last[r.k] = raw[r.o] if raw[r.o] is not None else last.get(r.k)
         assert r.v == last[r.k]
+
+
+def test_rows_of_a_table_are_dealt_out_once(spark):
+    """Keys that are constants (one table per document) cost no second exchange."""
+    cells = table_cells(spark, {"d": [["a", "b"], [("", 1, "continue", None), "c"]]}).withColumn("table_index", F.lit(0)).withColumn("block_index", F.lit(0))
+    found = grids.raw_rows(cells).groupBy(*grids.TABLE, "_bucket", "_deal").agg(F.count("*"))
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_rows_given_whole_equal_rows_given_by_cells(spark):
+    """A reader's rows with their cells in any order, spans, merges and nested text."""
+    cells = table_cells(spark, {"d": [[("t", 2, None, None)], ["a", ("b", None, None, "in")], [("", 1, "continue", None), "c"]], "e": [(["x"], True)]})
+    cell = F.struct("col_index", "text", "span", "v_merge", "nested_text")
+    rows = cells.groupBy(*grids.TABLE, "row_index", "is_header_marker").agg(F.reverse(F.array_sort(F.collect_list(cell))).alias("cells"))
+    order = ["document_id", "row_index"]
+    got, want = grids.expand_grid(rows).orderBy(*order).collect(), grids.expand_grid(cells).orderBy(*order).collect()
+    assert got == want and len(got) == 4
+    assert grids.structure_tables(rows)[1].orderBy("document_id").collect() == grids.structure_tables(cells)[1].orderBy("document_id").collect()
