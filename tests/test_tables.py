@@ -187,3 +187,19 @@ def test_header_match(spark):
     df = spark.createDataFrame(rows, "q string, h string, want double")
     got = df.select(tables.header_match(tables.normalise_text(F.col("q")), tables.normalise_text(F.col("h"))).alias("s"), "want").collect()
     assert [r.s for r in got] == [r.want for r in got]
+
+
+def test_candidates_are_dealt_out_before_they_are_scored(spark):
+    """A pool that comes from one task is not scored by one task: one exchange, below the matching of headers."""
+    facets = spark.range(1).select(F.lit("q").alias("query_id"), F.lit(0).alias("facet_index"), F.lit("list hosts").alias("facet_query"))
+    pool = facets.crossJoin(spark.range(0, 50, 1, 1)).select(
+        "query_id", "facet_index", "facet_query", F.col("id").cast("string").alias("document_id"),
+        F.concat("id", F.lit(".docx")).alias("document_name"), F.lit("vector").alias("mode"), F.col("id").cast("int").alias("rank"),
+        F.lit(0.5).alias("vector_score"), F.lit(None).cast("double").alias("keyword_score"), F.lit(None).cast("double").alias("fused_score"),
+        schema.meta(table_index=F.lit(0), caption=F.lit("c"), headers=F.array(F.lit("host"))).alias("meta"),
+    )
+    scored = tables.score_tables(pool)
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan.split("Range")[0]
+    assert plan.index("Aggregate") < plan.index("RepartitionByExpression")
+    assert scored.count() == 50 and scored.where("header_score = 1.0").count() == 50
