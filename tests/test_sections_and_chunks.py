@@ -197,3 +197,10 @@ def test_rows_given_whole_equal_rows_given_by_cells(spark):
     got, want = grids.expand_grid(rows).orderBy(*order).collect(), grids.expand_grid(cells).orderBy(*order).collect()
     assert got == want and len(got) == 4
     assert grids.structure_tables(rows)[1].orderBy("document_id").collect() == grids.structure_tables(cells)[1].orderBy("document_id").collect()
+
+
+def test_word_count_of_odd_texts(spark):
+    texts = ["", " ", "a", " a", "a ", " a\tb \n", "a b", None]
+    found = spark.createDataFrame([(t,) for t in texts], "t string").select(tx.word_count(F.col("t")), F.size(tx.words(F.col("t")))).collect()
+    assert [r[0] for r in found] == [r[1] for r in found]
+    assert [r[0] for r in found][:7] == [0, 0, 1, 1, 1, 2, 2]

@@ -203,3 +203,16 @@ def test_candidates_are_dealt_out_before_they_are_scored(spark):
     assert "RepartitionByExpression" in plan.split("Range")[0]
     assert plan.index("Aggregate") < plan.index("RepartitionByExpression")
     assert scored.count() == 50 and scored.where("header_score = 1.0").count() == 50
+
+
+def test_a_fit_is_folded_once_per_offer(spark):
+    """Sharing a budget folds each list once for its share and once for what is left, not once per field it returns."""
+    item = "array<struct<_at:int,words:int,chunk_id:string>>"
+    groups = spark.createDataFrame([("q", d, 0, f, [f]) for f, d in enumerate("ab")], "query_id string, document_id string, table_index int, first_facet int, facet_indexes array<int>")
+    lists = spark.createDataFrame(
+        [("a", [(1, 2, "a1")], 1), ("b", [(1, 4, "b1"), (2, 4, "b2")], 2)], f"document_id string, items {item}, total int"
+    )
+    kept, outcome = tables.share_budget(groups, lists, ("document_id",), 10)
+    assert sorted((r.document_id, r.words_used, r.is_partial) for r in outcome.collect()) == [("a", 2, False), ("b", 8, False)]
+    assert outcome._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") <= 16  # 29 when each field folded anew
+    assert [r.chunk_id for r in kept.orderBy("rank").collect()] == ["a1", "b1", "b2"]
