@@ -486,5 +486,6 @@ def evaluation_run(spark, sf_dir):
         F.col("item_id").cast("string").alias("question_id"), F.col("text").alias("answer"),
         F.lit('{"passed": true, "score": 1, "reason": "ok"}').alias("judge_raw_response"),
     )
-    done = run_eval(asked, base.embedded_chunks(spark, sf_dir), answers, "run-1", judge_enabled=True)
+    chunks = durable(base.embedded_chunks(spark, sf_dir))
+    done = run_eval(asked, chunks, answers, "run-1", judge_enabled=True)
     return done.results.select("run_id", "question_id", "hit", "citation_covered", "refused", "answer_matched", "score")
