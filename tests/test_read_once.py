@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import pytest
 from pyspark.sql import functions as F
-from support import chunk_rows
+from support import chunk_rows, questions
 
 from corpuslens.catalog import load, mixed, quality, search
-from corpuslens.operators import chunking, postings
+from corpuslens.operators import chunking, keyword, postings
 from corpuslens.sources import sections as sc
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -56,3 +56,18 @@ def test_sections_are_cut_without_a_second_look(spark):
 def test_texts_are_cut_into_terms_before_they_are_moved(spark):
     plan = _plan(postings._project_packs(chunk_rows(spark, [("a", 0, "red node01-x")])))
     assert 0 <= plan.index("RebalancePartitions") < plan.index("regexp_extract_all")
+
+
+def test_packs_without_the_document_never_reach_python(spark):
+    """A pack of other documents has lists that no task could read."""
+    chunks = chunk_rows(spark, [("a", 0, "node01-east red"), ("b", 0, "node01-west blue")])
+    own = postings.build_index(chunks)
+    broken = own.packs.select(
+        "project_id", "document_names", "chunk_indexs", F.array(F.lit("z")).alias("document_ids"), "chunk_ids", "surfaces",
+        F.lit(None).cast("array<int>").alias("starts"), F.lit(None).cast("array<int>").alias("entries"),
+    )
+    index = postings.Index(own.packs.unionByName(broken), own.vocabulary, own.counts)
+    asked = questions(spark, [("q", "node01-east red"), ("r", "blue")]).withColumn("document_id", F.when(F.col("query_id") == "q", "a").otherwise("b"))
+    found = keyword.retrieve_keyword(asked, None, 5, index=index).collect()
+    assert sorted(found) == sorted(keyword.retrieve_keyword(asked, chunks, 5).collect())
+    assert {(r.query_id, r.document_id) for r in found} == {("q", "a"), ("r", "b")}
