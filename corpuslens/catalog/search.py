@@ -78,10 +78,10 @@ def query_term_groups(spark, sf_dir):
     )
 
 
-def _keyword(spark, sf_dir, top_k):
-    return keyword.retrieve_keyword(
-        base.queries(spark, sf_dir), base.text_chunks(spark, sf_dir), top_k
-    )
+def _keyword(spark, sf_dir, top_k, chunks=None):
+    if chunks is None:
+        chunks = base.text_chunks(spark, sf_dir)
+    return keyword.retrieve_keyword(base.queries(spark, sf_dir), chunks, top_k)
 
 
 @query(
@@ -166,9 +166,11 @@ def cosine_similarity(spark, sf_dir):
     )
 
 
-def _vector(spark, sf_dir, top_k):
+def _vector(spark, sf_dir, top_k, chunks=None):
+    if chunks is None:
+        chunks = base.text_chunks(spark, sf_dir)
     return vector.retrieve_vector(
-        base.queries(spark, sf_dir), base.embedded_chunks(spark, sf_dir), top_k
+        base.queries(spark, sf_dir), base.with_vectors(spark, sf_dir, chunks), top_k
     )
 
 
@@ -185,8 +187,17 @@ def vector_search(spark, sf_dir):
     return _vector(spark, sf_dir, TOP).withColumn("vector_score", F.round("vector_score", 9))
 
 
-def _fused(spark, sf_dir, top_k):
-    return fusion.fuse_rrf(_vector(spark, sf_dir, POOL), _keyword(spark, sf_dir, POOL), top_k)
+def _chunks(spark, sf_dir):
+    """Chunks cut once for all that read them: both routes, and texts looked up for what they find."""
+    return durable(base.text_chunks(spark, sf_dir))
+
+
+def _fused(spark, sf_dir, top_k, chunks=None):
+    if chunks is None:
+        chunks = _chunks(spark, sf_dir)
+    return fusion.fuse_rrf(
+        _vector(spark, sf_dir, POOL, chunks), _keyword(spark, sf_dir, POOL, chunks), top_k
+    )
 
 
 @query(
@@ -295,8 +306,10 @@ reranked AS (
   FROM overlapped)""".format(pool=POOL)
 
 
-def _with_text(spark, sf_dir, candidates):
-    contents = base.text_chunks(spark, sf_dir).select("chunk_id", "text", "meta")
+def _with_text(spark, sf_dir, candidates, chunks=None):
+    if chunks is None:
+        chunks = base.text_chunks(spark, sf_dir)
+    contents = chunks.select("chunk_id", "text", "meta")
     asked = base.queries(spark, sf_dir).select("query_id", "query")
     return join_small(contents, durable(candidates), ["chunk_id"]).join(asked, "query_id")
 
@@ -311,7 +324,8 @@ def _with_text(spark, sf_dir, candidates):
 )
 def rerank_overlap(spark, sf_dir):
     """V9: pools reordered by word overlap."""
-    pool = _with_text(spark, sf_dir, _fused(spark, sf_dir, POOL))
+    chunks = _chunks(spark, sf_dir)
+    pool = _with_text(spark, sf_dir, _fused(spark, sf_dir, POOL, chunks), chunks)
     return rerank.rerank(pool, TOP).select(
         "query_id", "chunk_id", F.round("reranker_score", 9).alias("reranker_score"),
         "pre_rerank_rank", F.round("pre_rerank_fused_score", 9).alias("pre_rerank_fused_score"), "rank",
@@ -335,7 +349,8 @@ EVIDENCE_SQL = f"""kinds AS (SELECT *, CASE WHEN exact_identifiers > 0 THEN 'exa
 )
 def select_evidence(spark, sf_dir):
     """Protected identifier evidence, then rank fill."""
-    pool = _with_text(spark, sf_dir, _fused(spark, sf_dir, POOL))
+    chunks = _chunks(spark, sf_dir)
+    pool = _with_text(spark, sf_dir, _fused(spark, sf_dir, POOL, chunks), chunks)
     return evidence.select_evidence(pool, TOP).select(
         "query_id", "chunk_id", "evidence_selection_reason", "rank"
     )
@@ -352,8 +367,9 @@ def select_evidence(spark, sf_dir):
 )
 def retrieval_log_chunks(spark, sf_dir):
     """Logged chunks of every query with preview."""
-    logged = logs.log_chunk_rows(_fused(spark, sf_dir, TOP))
-    return logs.log_detail(logged, base.text_chunks(spark, sf_dir)).select(
+    chunks = _chunks(spark, sf_dir)
+    logged = durable(logs.log_chunk_rows(_fused(spark, sf_dir, TOP, chunks)))
+    return logs.log_detail(logged, chunks).select(
         "retrieval_log_id", "chunk_id", "rank", "document_id", "document_name", "chunk_index",
         "text_preview", F.round("fused_score", 9).alias("fused_score"),
     )
