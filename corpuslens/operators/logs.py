@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpuslens.functions.joins import join_small
+
 RESULT_PREVIEW = 300
 DETAIL_PREVIEW = 500
 LOGGED_SCORES = ("vector_score", "keyword_score", "fused_score")
@@ -82,9 +84,11 @@ def result_view(results: DataFrame) -> DataFrame:
 
 
 def log_detail(log_chunks: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Logged chunks with their document and a preview, inactive versions included."""
+    """Logged chunks with their document and a preview, inactive versions included.
+
+    ``log_chunks`` is a stored table: it is measured, and texts are moved only where it is large."""
     stored = chunks.select(
         "project_id", "chunk_id", "document_id", "document_name", "chunk_index",
         F.substring("text", 1, DETAIL_PREVIEW).alias("text_preview"),
     )
-    return log_chunks.join(stored, ["project_id", "chunk_id"]).orderBy("retrieval_log_id", "rank")
+    return join_small(stored, log_chunks, ["project_id", "chunk_id"]).orderBy("retrieval_log_id", "rank")
