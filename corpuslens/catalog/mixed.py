@@ -269,5 +269,6 @@ def mixed_modes(spark, sf_dir):
     asked = base.queries(spark, sf_dir).withColumn(
         "mode", F.element_at(F.array(*map(F.lit, _MODES)), (F.col("item_id") % 3 + 1).cast("int"))
     )
-    found = retrieval.retrieve(fusion.with_request_defaults(asked.withColumn("top_k", F.lit(_WIDTH))), base.embedded_chunks(spark, sf_dir), max_limit=_WIDTH)
+    chunks = durable(base.embedded_chunks(spark, sf_dir))
+    found = retrieval.retrieve(fusion.with_request_defaults(asked.withColumn("top_k", F.lit(_WIDTH))), chunks, max_limit=_WIDTH)
     return found.select("query_id", "chunk_id", "rank", F.round("vector_score", 9).alias("vector_score"), "keyword_score")

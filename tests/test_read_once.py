@@ -23,7 +23,7 @@ def _plan(df):
 
 @pytest.mark.parametrize(
     "name",
-    ["evaluation_run", "retrieval_log_chunks", "rerank_overlap", "select_evidence", "eval_hits", "hybrid_search"],
+    ["evaluation_run", "retrieval_log_chunks", "rerank_overlap", "select_evidence", "eval_hits", "hybrid_search", "mixed_modes"],
 )
 def test_chunks_are_cut_once(spark, monkeypatch, name):
     """What the routes get is a stored table, not the cutting of all documents."""
