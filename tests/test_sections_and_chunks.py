@@ -7,6 +7,7 @@ from support import table_cells
 from corpuslens.functions import text as tx
 from corpuslens.functions.ordered import carry_forward, dense_index
 from corpuslens.operators import chunking, grids
+from corpuslens.session import durable
 from corpuslens.sources import sections as sc
 
 
@@ -199,6 +200,46 @@ def test_rows_given_whole_equal_rows_given_by_cells(spark):
     assert grids.structure_tables(rows)[1].orderBy("document_id").collect() == grids.structure_tables(cells)[1].orderBy("document_id").collect()
 
 
+def test_rows_of_tables_are_stored_once(spark, monkeypatch):
+    """Structure is read off the filled buckets: no second copy of the rows, and one row per table where a bucket is a table."""
+    kept = []
+
+    def seen(df):
+        kept.append(durable(df))
+        return kept[-1]
+
+    monkeypatch.setattr(grids, "durable", seen)
+    rows, tables = grids.structure_tables(table_cells(spark, {"d": [["a", "b"], [("", 1, "continue", None), "c"]], "e": [["x"], ["1"]]}))
+    assert [df.count() for df in kept if {"texts", "values", "rows"} & set(df.columns)] == [2]
+    assert rows.count() == 4 and tables.count() == 2
+    assert "hashpartitioning" not in rows._jdf.queryExecution().toString()
+
+
+def test_only_the_first_prefix_of_a_column_is_told_apart(spark):
+    """Cells of other prefixes are one group; where the first row has no cell, all are kept apart."""
+    cells = table_cells(spark, {"d": [["web-1", ""], ["web-2", "ab1"], ["db-3", "cd2"], ["x-4", "ab3"]]})
+    rows = grids.expand_grid(cells).withColumn("head", F.array(F.lit("web-1"), F.lit("")))
+    found = grids._by_prefix(rows, ("head",), first=F.get("head", F.col("col"))).collect()
+    assert sorted((r.col, r.prefix or "", r.n, r.first_row) for r in found) == [(0, "", 2, 2), (0, "web", 2, 0), (1, "ab1", 1, 1), (1, "ab3", 1, 3), (1, "cd2", 1, 2)]
+
+
+def test_a_tall_table_changes_nothing_of_the_others(spark):
+    """Captions and headers are the same where every table is one bucket and where one is not."""
+    small = {
+        "captioned": [[("Hosts", 2, None, None)], ["Name", "Role"], ["web", "front"], ["db", ("", 1, "continue", None)]],
+        "lone": [["Hosts", ""], ["Name", "Role"], ["web", "front"]],
+        "marked": [(["x1", "x2"], True), ["a", "b"]],
+        "rows": [["web-01", "10"], ["web-02", "2.0"], ["web-03", "3 0"]],
+        "repeats": [["Name", "Role"], ["Name", "1"], ["2", "3"]],
+        "gap": [["", "b"], ["Name"], [("", 1, "continue", None), "c"]],
+    }
+    tall = {"tall": [["Name", "Role"]] + [["a", ("", 1, "continue" if r % 3 else None, None)] for r in range(grids.FILL_ROWS)]}
+    alone, beside = (grids.structure_tables(table_cells(spark, t))[1].where("document_id <> 'tall'").collect() for t in (small, {**small, **tall}))
+    assert len(alone) == len(small) and sorted(alone) == sorted(beside)
+    captions = {r.document_id: r.caption for r in alone}
+    assert captions["captioned"] == "Hosts" and captions["lone"] == "Hosts" and captions["rows"] is None
+
+
 def test_word_count_of_odd_texts(spark):
     texts = ["", " ", "a", " a", "a ", " a\tb \n", "a b", None]
     found = spark.createDataFrame([(t,) for t in texts], "t string").select(tx.word_count(F.col("t")), F.size(tx.words(F.col("t")))).collect()

@@ -50,6 +50,21 @@ def test_facets(spark, query, want):
     assert spark.createDataFrame([(query,)], "q string").select(intent.facets(F.col("q"))).first()[0] == want
 
 
+@pytest.mark.parametrize(
+    "query, header, want",
+    [
+        ("show the host name", "host name", 1.0), ("show servers", "my servers", 1.0), ("show server", "servers", 0.9),
+        ("show the hosts", "主机", 0.8), ("主机", "server", 0.8), ("the user name", "用户", 0.8), ("node", "mail", 0.0), ("", "", 0.0),
+    ],
+)
+def test_header_match_with_the_question_known(spark, query, header, want):
+    """What is known of the question beforehand gives what each header would have worked out."""
+    df = spark.createDataFrame([(query, header)], "q string, h string")
+    known = df.withColumn("m", tables._long_tokens(F.col("q"))).withColumn("c", tables._asked_concepts(F.col("q")))
+    plain = df.select(tables.header_match(F.col("q"), F.col("h"))).first()[0]
+    assert plain == known.select(tables.header_match(*map(F.col, "qhmc"))).first()[0] == want
+
+
 def items(spark, sizes, query="q", kind="table_row"):
     rows = [(query, f"c{i:03}", i, "w " * n) for i, n in enumerate(sizes)]
     df = spark.createDataFrame(rows, "query_id string, chunk_id string, chunk_index int, text string")
