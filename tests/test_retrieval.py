@@ -19,6 +19,7 @@ from corpuslens.operators.postings import (
     explode_terms,
     pack_postings,
     project_identifiers,
+    query_terms,
     read_index,
     write_index,
 )
@@ -317,3 +318,38 @@ def test_folding_equals_full_case_folding(spark):
     df = spark.createDataFrame([(c,) for c in chars] + [(f"5 {c}B",) for c in chars], "c string")
     got = df.select("c", tx.casefold(F.col("c")).alias("f")).collect()
     assert [r.c for r in got if r.f != r.c.casefold()] == []
+
+
+def test_a_task_lets_out_only_what_can_still_be_kept(spark):
+    """Chunks of equal scores in many packs: a pack hands on those before the best the task has seen, not all it ties with."""
+    chunks = chunk_rows(spark, [(f"d{(i * 37) % 400:03}", 0, "red " + ("blue" if i % 40 == 0 else "green")) for i in range(400)])
+    packs = pack_postings(chunk_terms(chunks.coalesce(1)), 8)
+    asked = keyword.with_scope(questions(spark, [("few", "red"), ("more", "red blue")]).withColumn("n", F.when(F.col("query_id") == "few", 3).otherwise(12)))
+    terms = query_terms(asked)
+    tiers = spark.createDataFrame([], "project_id string, scope string, query_id string, gid int, kind string, surface string, tier int")
+    scored = keyword.score_packs(packs.coalesce(1), asked, terms, tiers, 750, F.col("n"))
+    rows = [(r.query_id, -r.keyword_score, r.document_name) for r in scored.collect()]
+    blue = [f"d{(i * 37) % 400:03}.txt" for i in range(0, 400, 40)]
+    names = sorted(f"d{i:03}.txt" for i in range(400))
+    assert sorted(r for r in rows if r[0] == "few")[:3] == [("few", -1.0, n) for n in names[:3]]
+    wanted = sorted([(-2.0, n) for n in blue] + [(-1.0, n) for n in names if n not in blue])[:12]
+    assert [r[1:] for r in sorted(r for r in rows if r[0] == "more")[:12]] == wanted
+    # All 400 left the task for each question before.
+    assert sum(r[0] == "few" for r in rows) < 40 and sum(r[0] == "more" for r in rows) < 150
+
+
+def test_a_full_memory_forgets_no_result(spark, monkeypatch):
+    """Where a task cannot remember the best chunks of all questions, more rows leave it and the result is the same."""
+    chunks = chunk_rows(spark, [(f"d{i:02}", 0, "red node01-x" if i % 3 else "blue red") for i in range(60)])
+    asked = questions(spark, [("a", "red node01"), ("b", "blue"), ("c", "red blue")])
+    want = sorted(keyword.retrieve_keyword(asked, chunks, 4).collect())
+    packs = pack_postings(chunk_terms(chunks.coalesce(1)), 5)
+    best = keyword._Best()
+    monkeypatch.setattr(keyword, "REMEMBERED", 3)
+    best.put("p", "q", [(0.0, ("x",))] * 3)
+    best.put("p", "r", [(0.0, ("y",))])
+    assert best.of("p", "r") == [] and len(best.of("p", "q")) == 3
+    best.put("other", "r", [(0.0, ("y",))] * 2)
+    assert best.of("p", "q") == [] and best.count == 2
+    own = build_index(chunks)
+    assert sorted(keyword.retrieve_keyword(asked, None, 4, index=Index(packs, own.vocabulary, own.counts)).collect()) == want
