@@ -10,7 +10,7 @@ from corpuslens.catalog import base
 from corpuslens.catalog.registry import query, with_
 from corpuslens.operators.prompts import NO_ANSWER
 from corpuslens.plans.chat import chat_turns as answer_turns
-from corpuslens.session import durable
+from corpuslens.session import durable, released_shuffles
 
 PROJECTS, BUDGET = 20, 4000
 
@@ -85,17 +85,18 @@ def chat_turns(spark, sf_dir):
         F.lit(None).cast("array<float>").alias("embedding"), F.lit("keyword").alias("mode"),
     )
     answers = latest.select(conversation.alias("query_id"), F.concat(F.lit("answer to "), conversation).alias("answer"), F.lit("m").alias("model"), F.lit(7).alias("latency_ms"))
-    store = durable(_store(spark, sf_dir))
-    first = answer_turns(turns, messages, store, answers, budget=BUDGET)
-    asked = durable(first.answers)
-    reply = latest.select(conversation.alias("query_id"), F.when(F.col("conv_id") % 2 == 0, "first").otherwise("option 2").alias("question"))
-    after = messages.unionByName(
-        asked.join(latest.select(conversation.alias("query_id"), project.alias("project_id"), "turn"), "query_id").select(
-            "project_id", F.col("query_id").alias("conversation_id"), F.lit("asked").alias("message_id"), (F.col("turn") + 1).alias("created_at"),
-            F.lit("assistant").alias("role"), F.col("answer").alias("content"), "metadata",
+    with released_shuffles(spark):
+        store = durable(_store(spark, sf_dir))
+        first = answer_turns(turns, messages, store, answers, budget=BUDGET)
+        asked = durable(first.answers)
+        reply = latest.select(conversation.alias("query_id"), F.when(F.col("conv_id") % 2 == 0, "first").otherwise("option 2").alias("question"))
+        after = messages.unionByName(
+            asked.join(latest.select(conversation.alias("query_id"), project.alias("project_id"), "turn"), "query_id").select(
+                "project_id", F.col("query_id").alias("conversation_id"), F.lit("asked").alias("message_id"), (F.col("turn") + 1).alias("created_at"),
+                F.lit("assistant").alias("role"), F.col("answer").alias("content"), "metadata",
+            )
         )
-    )
-    second = answer_turns(turns.drop("question").join(reply, "query_id"), after, store, answers, budget=BUDGET)
+        second = answer_turns(turns.drop("question").join(reply, "query_id"), after, store, answers, budget=BUDGET)
 
     def rows(done, step):
         cited = done.citations.groupBy(F.col("message_id").alias("query_id")).agg(

@@ -11,7 +11,7 @@ from corpuslens.operators import conversations as cv
 from corpuslens.operators import prompts as pr
 from corpuslens.operators import tables as tb
 from corpuslens.operators.postings import Index
-from corpuslens.plans.retrieval import Retrieved, retrieve_full
+from corpuslens.plans.retrieval import Retrieved, retrieve_full, with_texts
 from corpuslens.session import durable
 
 TIMES = ("latency_ms", "retrieval_latency_ms", "generation_latency_ms")
@@ -20,8 +20,8 @@ TIMES = ("latency_ms", "retrieval_latency_ms", "generation_latency_ms")
 @dataclass(frozen=True)
 class Answered:
     """answers: route, text, model and message metadata per turn; citations and violations of the
-    answered ones; requests: one metrics row per turn; prompts: what the model was asked; found: the
-    retrieval behind it."""
+    answered ones; requests: one metrics row per turn; prompts: what the model was asked, of turns that
+    are not asked back; found: the retrieval behind it."""
 
     answers: DataFrame
     citations: DataFrame
@@ -138,7 +138,10 @@ def chat_turns(
         F.when(single, F.col("chosen.table_index")).alias("preferred_table_index"),
     )
     found = retrieve_full(queries, chunks, index, facet_vectors, confirmed_tables(resolved), budget)
-    results = durable(found.results)
+    results = found.ranked  # without texts: a chunk is found by many turns
+    plans = durable(_clarifications(found.outcomes))
+    # A turn that is asked back never reaches the model: no texts are gathered for it.
+    back = plans.where("requires_clarification").select("query_id")
     said = cv.recent_history(messages, history).join(
         turns.select("query_id", *cv.CONVERSATION), list(cv.CONVERSATION)
     ).select("query_id", "history")
@@ -150,9 +153,13 @@ def chat_turns(
         found.outcomes.join(compound, "query_id", "left_semi"), sources,
         found.coverage.join(compound, "query_id", "left_semi"),
     ).unionByName(pr.partial_note(found.coverage.join(compound, "query_id", "left_anti")))
-    prompts = durable(pr.build_prompts(found.queries, results, said, notes))
-    plans = durable(_clarifications(found.outcomes))
-    routed = pr.answer_route(prompts, plans, answers.select("query_id", "answer", "model"))
+    shown = with_texts(results.join(back, "query_id", "left_anti"), chunks)
+    prompts = durable(pr.build_prompts(found.queries.join(back, "query_id", "left_anti"), shown, said, notes))
+    sourced = results.select("query_id").distinct().withColumn("_sourced", F.lit(True))
+    states = found.queries.select("query_id").join(sourced, "query_id", "left").select(
+        "query_id", F.col("_sourced").isNull().alias("should_refuse")
+    )
+    routed = pr.answer_route(states, plans, answers.select("query_id", "answer", "model"))
     asked = found.queries.select("query_id", "query")
     chosen = found.outcomes.where("selected is not null")
     answered = durable(_metadata(routed, plans.join(asked, "query_id"), chosen))

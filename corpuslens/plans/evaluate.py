@@ -85,7 +85,7 @@ def run_eval(
         raise ValueError(NO_QUESTIONS)
     asked = questions.withColumnRenamed("question_id", "query_id").withColumnRenamed("question", "query")
     found = durable(
-        retrieve_full(asked, chunks, index).results.select(
+        retrieve_full(asked, chunks, index).ranked.select(
             F.col("query_id").alias("question_id"), "chunk_id", "document_id", "rank"
         )
     )

@@ -95,3 +95,38 @@ def test_chat_turns_equals_its_sql_where_no_row_group_fits(spark, tmp_path):
     got = contract.queries()["chat_turns"](spark, str(tmp_path))
     assert {(r.conversation_id, r.route) for r in got.collect() if r.step == 2} == {("0", "refusal"), ("1", "generate")}
     assert compare(got, connect(str(tmp_path)), contract.oracle_sql()["chat_turns"]) is None
+
+
+def test_texts_are_gathered_only_for_turns_that_reach_the_model(spark, store, monkeypatch):
+    """Twenty turns find the same chunks: no cut of the retrieval copies a text, and a turn that is asked back has no prompt."""
+    from corpuslens.plans import chat, retrieval
+
+    cuts = []
+    for module in (chat, retrieval):
+        monkeypatch.setattr(module, "durable", lambda df: cuts.append(df) or durable(df))
+    asked = {f"c{i}": "show the server list" for i in range(20)} | {"row": "which role has web1", "none": "zebra"}
+    done, got = turn(spark, store, [("p", "c0", "m0", 0, "user", "hello", None)], **asked)
+    assert {got[f"c{i}"].route for i in range(20)} == {"clarification"}
+    assert (got["row"].route, got["none"].route) == ("generate", "refusal")
+    assert cuts and not any("text" in df.columns for df in cuts)
+    prompts = {r.query_id: r for r in done.prompts.collect()}
+    assert set(prompts) == {"row", "none"} and prompts["none"].should_refuse and not prompts["none"].messages
+    system = prompts["row"].messages[0].content
+    results = [r for r in done.found.results.collect() if r.query_id == "row"]
+    assert results and all(r.text and r.text in system for r in results)
+    assert "text" not in done.found.ranked.columns and done.found.ranked.count() == done.found.results.count()
+
+
+def test_reranking_reads_texts_only_where_it_is_asked_for(spark, store):
+    from corpuslens.plans.retrieval import retrieve_full
+
+    rows = [(q, "p", "which role has web1 store", None, "keyword", q == "on") for q in ("on", "off")]
+    found = retrieve_full(
+        spark.createDataFrame(rows, "query_id string, project_id string, query string, embedding array<float>, mode string, reranker_enabled boolean"), store
+    )
+    got = {q: sorted(((r.rank, r.reranker_score, r.text) for r in found.results.collect() if r.query_id == q)) for q in ("on", "off")}
+    assert got["on"] and all(score is not None for _, score, _ in got["on"]) and all(score is None for _, score, _ in got["off"])
+    words = {"which", "role", "has", "web1", "store"}
+    for _, score, text in got["on"]:
+        have = set("".join(c if c.isalnum() else " " for c in text.lower()).split())
+        assert score == pytest.approx(len(words & have) / len(words))
