@@ -71,3 +71,22 @@ def test_packs_without_the_document_never_reach_python(spark):
     found = keyword.retrieve_keyword(asked, None, 5, index=index).collect()
     assert sorted(found) == sorted(keyword.retrieve_keyword(asked, chunks, 5).collect())
     assert {(r.query_id, r.document_id) for r in found} == {("q", "a"), ("r", "b")}
+
+
+def test_the_table_store_is_cut_with_what_retrieval_reads(spark, monkeypatch):
+    """No hashes are stored with the tables that questions are asked of, and shuffles go with the query that made them."""
+    from corpuslens.catalog import tableqa
+    from corpuslens.session import SHUFFLE_CLEANUP
+
+    def seen(asked, store):
+        raise _Seen(store.columns, spark.conf.get(SHUFFLE_CLEANUP), store.where("is_active").limit(1).count())
+
+    monkeypatch.setattr(tableqa.retrieval, "retrieve_full", seen)
+    before = spark.conf.get(SHUFFLE_CLEANUP)
+    for name in ("retrieve_tables", "table_prompts"):
+        with pytest.raises(_Seen) as found:
+            load()[0][name](spark, SF_DIR)
+        columns, cleanup, rows = found.value.args
+        assert cleanup == "true" and rows == 1
+        assert set(columns) == {"project_id", "document_id", "document_name", "chunk_index", "chunk_id", "text", "meta", "is_active", "embedding"}
+    assert spark.conf.get(SHUFFLE_CLEANUP) == before
